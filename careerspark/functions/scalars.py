@@ -77,7 +77,8 @@ def percent_label(share: str | Column, above: float | None = None) -> Column:
 
 def trimmed_number(c: str | Column, digits: int = 3) -> Column:
     """``0.35`` -> ``.350``, ``-0.012`` -> ``-.012``."""
-    return F.regexp_replace(F.format_string(f"%.{digits}f", as_col(c)), r"^(-?)0\.", "$1.")
+    text = F.regexp_replace(F.format_string(f"%.{digits}f", round_half_up(c, digits)), r"^(-?)0\.", "$1.")
+    return F.when(as_col(c).isNotNull(), text)
 
 
 # ---- dates -----------------------------------------------------------------

@@ -6,6 +6,8 @@ doubles hold exactly, so sums do not depend on the order in which rows are added
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from ..functions.scalars import round_half_up
 from ..operators.classify import grade, rank_group, ranked_flag
 from ..operators.resolve import attach_ranking
 from ..operators.sequence import milestone_means, number_events, split_columns, split_diff
+from ..sources.stages import save_stage
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,16 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a temporary one only where none is set, as on a single machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="careerspark-")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A summary written once, for queries that read it several times."""
+    return save_stage(df, f"{name}-{uuid.uuid4().hex}", work_folder(df.sparkSession))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -57,6 +70,12 @@ def line_log(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
+def supplier_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """The log with the number ``num`` of each line of a supplier; sizes are counted before the join."""
+    return number_events(line_log(spark, folder), "l_suppkey", ORDER, "num",
+                         sizes=table(spark, folder, "lineitem").select("l_suppkey"))
+
+
 LOG = """log AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_returnflag,
          l_linestatus, floor(l_discount * 100 + 0.5) / 16.0 AS x, o_custkey, CAST(o_orderdate AS DATE) AS d

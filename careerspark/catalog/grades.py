@@ -8,9 +8,9 @@ from ..config import GRADE_LEVELS
 from ..operators import classify
 from ..operators.classify import grade, inverted_grade
 from ..operators.resolve import attach_person
-from ..operators.sequence import milestone_means, number_events, split_columns
-from .base import (LINE_KEY, LOG, ORDER, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers,
-                   grade_sql, line_log, numbered_sql, query, ranking_sql, rounded_sql, table)
+from ..operators.sequence import milestone_means, split_columns
+from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql, line_log,
+                   numbered_sql, query, ranking_sql, rounded_sql, supplier_numbered, table)
 
 # Both roles keyed alike: returned lines by supplier, all lines by customer.
 ROLES = f"""{LOG}, a AS (SELECT l_suppkey AS k, count(*) AS a_total, avg(x) AS a_mean FROM log WHERE l_returnflag = 'R' GROUP BY l_suppkey),
@@ -66,8 +66,7 @@ g AS (SELECT *, {", ".join(f"{grade_sql(c, 'total', n)} AS {c}_grade" for c, n i
 
 
 def supplier_grades(spark, folder):
-    log = number_events(line_log(spark, folder), "l_suppkey", ORDER, "num")
-    means = milestone_means(log, "l_suppkey", "num", split_columns("x", [150, 600]), [
+    means = milestone_means(supplier_numbered(spark, folder), "l_suppkey", "num", split_columns("x", [150, 600]), [
         F.count(F.lit(1)).alias("total"), F.avg("x").alias("career")])
     return means.withColumns({f"{c}_grade": grade(c, total="total", min_total=n) for c, n in SUPPLIER_GATES.items()})
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as fn
 from ..sources import delimited, stages
-from .base import query, rounded_sql, table
+from .base import query, rounded_sql, table, work_folder
 
 # Order dates as text; for pending orders only the year is known, and some prices are words.
 TEXT = """t AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
@@ -28,11 +27,6 @@ def _text(spark, folder):
         F.when(urgent, "unknown").otherwise(F.floor("o_totalprice").cast("string")).alias("o_totalprice"))
 
 
-def _root(spark) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as on a single machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="careerspark-")
-
-
 @query(f"""WITH {TEXT} SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(try_strptime(o_orderdate, '%m/%d/%Y') AS DATE) AS o_orderdate,
 TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM t""")
 def read_dates(spark, folder):
@@ -50,7 +44,7 @@ def parse_problems(spark, folder):
 TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM t""")
 def csv_round_trip(spark, folder):
     """Orders written as CSV text and read back with declared types."""
-    path = f"{_root(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
     delimited.write_table(_text(spark, folder), path, "csv")
     return delimited.read_csv(spark, path, SCHEMA, DATES)
 
@@ -58,7 +52,7 @@ def csv_round_trip(spark, folder):
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stage_round_trip(spark, folder):
     """Customers saved as a stage and loaded again."""
-    base, name = _root(spark), f"customer-{uuid.uuid4().hex}"
+    base, name = work_folder(spark), f"customer-{uuid.uuid4().hex}"
     stages.save_stage(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), name, base)
     return stages.load_stage(spark, name, base)
 

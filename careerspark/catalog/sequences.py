@@ -8,7 +8,8 @@ from ..functions.scalars import years_from_weeks
 from ..operators import sequence as seq
 from ..operators.report import occurrence_rate
 from ..operators.stats import exact_quantiles as quantiles
-from .base import LINE_KEY, LOG, ORDER, ORDER_SQL, line_log, numbered_sql, query, rounded_sql, six, table
+from .base import (LINE_KEY, LOG, ORDER, ORDER_SQL, line_log, numbered_sql, query, rounded_sql, six, supplier_numbered,
+                   table)
 
 EVENT_ORDER = ["ts", "event_id"]
 CENTS = "CAST(floor(value * 100 + 0.5) AS BIGINT)"
@@ -49,8 +50,8 @@ def group_mean(spark, folder):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, num, total, rolling, career FROM numbered""")
 def annotated_supplier_log(spark, folder):
     """Number, total, running mean and career mean of each line, from one partitioning."""
-    out = seq.annotate(line_log(spark, folder), "l_suppkey", ORDER, number="num", size="total",
-                       running_means={"rolling": "x"}, group_means={"career": "x"})
+    out = seq.annotate(line_log(spark, folder), "l_suppkey", ORDER, number="num", size="total", running_means={"rolling": "x"},
+                       group_means={"career": "x"}, sizes=table(spark, folder, "lineitem").select("l_suppkey"))
     return out.select(*LINE_KEY, "num", "total", "rolling", "career")
 
 
@@ -62,8 +63,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey,
 FROM log""")
 def number_two_roles(spark, folder):
     """Both roles of every line: two shuffles by design."""
-    first = seq.annotate(line_log(spark, folder), "l_suppkey", ORDER, number="supplier_num", size="supplier_total")
-    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total")
+    log = line_log(spark, folder)
+    first = seq.annotate(log, "l_suppkey", ORDER, number="supplier_num", size="supplier_total",
+                         sizes=table(spark, folder, "lineitem").select("l_suppkey"))
+    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total", sizes=log)
     return both.select(*LINE_KEY, "o_custkey", "supplier_num", "customer_num", "supplier_total", "customer_total")
 
 
@@ -75,7 +78,7 @@ CUTS = [150, 300, 450, 600]
 {", ".join(f"avg(CASE WHEN num BETWEEN {a} AND {b} THEN x END) AS {q}" for q, (a, b) in BUCKETS.items())}
 FROM numbered GROUP BY l_suppkey""")
 def milestone_means_supplier(spark, folder):
-    log = seq.number_events(line_log(spark, folder), "l_suppkey", ORDER, "num")
+    log = supplier_numbered(spark, folder)
     return seq.milestone_means(log, "l_suppkey", "num", {q: ("x", a, b) for q, (a, b) in BUCKETS.items()})
 
 
@@ -83,7 +86,7 @@ def milestone_means_supplier(spark, folder):
 {", ".join(f"avg(CASE WHEN num <= {n} THEN x END) AS first_{n}, avg(CASE WHEN num > {n} THEN x END) AS post_{n}" for n in CUTS)}
 FROM numbered GROUP BY l_suppkey""")
 def split_means(spark, folder):
-    log = seq.number_events(line_log(spark, folder), "l_suppkey", ORDER, "num")
+    log = supplier_numbered(spark, folder)
     return seq.split_means(log, "l_suppkey", "num", "x", CUTS)
 
 
@@ -92,7 +95,7 @@ m AS (SELECT l_suppkey, avg(CASE WHEN num <= 150 THEN x END) AS first_150, avg(C
       FROM numbered GROUP BY l_suppkey)
 SELECT l_suppkey, first_150, post_150, {rounded_sql("post_150 - first_150", 3)} AS diff FROM m""")
 def split_difference(spark, folder):
-    log = seq.number_events(line_log(spark, folder), "l_suppkey", ORDER, "num")
+    log = supplier_numbered(spark, folder)
     means = seq.split_means(log, "l_suppkey", "num", "x", [150])
     return seq.split_diff(means, "first_150", "post_150", "diff")
 
@@ -104,7 +107,7 @@ SELECT l_suppkey, {", ".join(f"(avg(CASE WHEN num BETWEEN {a} AND {b} THEN day E
 FROM days GROUP BY l_suppkey, born""")
 def milestone_age(spark, folder):
     """Mean age in each bucket, in years of 52 weeks, counted from the first order."""
-    log = seq.number_events(line_log(spark, folder), "l_suppkey", ORDER, "num").withColumn("day", F.unix_date("d"))
+    log = supplier_numbered(spark, folder).withColumn("day", F.unix_date("d"))
     means = seq.milestone_means(log, "l_suppkey", "num", {q: ("day", a, b) for q, (a, b) in BUCKETS.items()},
                                 [F.min("day").alias("born")])
     return means.select("l_suppkey", *[years_from_weeks((F.col(q) - F.col("born")) / 7.0).alias(f"{q}_age") for q in BUCKETS])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from .base import CAREERS, careers_query, customer_careers, query, rounded_sql, six
+from .base import CAREERS, careers_query, customer_careers, query, rounded_sql, saved, six
 
 WHERE_SQL = "total >= 20 AND first_10 IS NOT NULL AND post_10 IS NOT NULL"
 
@@ -75,10 +75,12 @@ FROM g GROUP BY {by}, point"""
 @query(kde_sql(value="diff_10", by="ranked", where="total >= 20 AND diff_10 BETWEEN -0.15 AND 0.15", limits="SELECT -0.15 AS lo, 0.15 AS hi"))
 def kde_difference(spark, folder):
     """Density of the before/after difference inside fixed limits."""
-    return six(stats.kde(_careers(spark, folder), "diff_10", ["ranked"], limits=(-0.15, 0.15)), "x", "density")
+    careers = saved(_careers(spark, folder).select("ranked", "diff_10"), "differences")
+    return six(stats.kde(careers, "diff_10", ["ranked"], limits=(-0.15, 0.15)), "x", "density")
 
 
 @query(kde_sql(value="career", by="rank_group", where="total >= 20", limits="SELECT min(x) AS lo, max(x) AS hi FROM v"))
 def kde_career(spark, folder):
     """Density of the career value per rank group, over the range of all groups."""
-    return six(stats.kde(_careers(spark, folder), "career", ["rank_group"]), "x", "density")
+    careers = saved(_careers(spark, folder).select("rank_group", "career"), "careers")
+    return six(stats.kde(careers, "career", ["rank_group"]), "x", "density")

@@ -2,8 +2,8 @@
 
 Numbering needs all events of one entity in order, and one entity may hold a large part of the log.
 ``annotate`` therefore looks for entities with more rows than one task should sort. Without any, a plain
-window is planned. Those that exist are cut into cells along the leading order column: each cell is ordered by
-a task of its own, and a small ledger of per-cell counts and sums carries the totals from cell to cell.
+window is planned. Those that exist are cut into cells along the order columns: each cell is ordered by a task of
+its own, and a small ledger of per-cell counts and sums carries the totals from cell to cell.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from ..functions.scalars import as_col, max_of, mean_of, min_of, round_half_up,
 MAX_GROUP_ROWS_CONF = "spark.careerspark.maxGroupRows"
 MAX_GROUP_ROWS = 5_000_000
 MAX_HOT_GROUPS = 100_000    # groups beyond these each hold under 1/100,000 of the log
-MAX_CELLS = 1_000_000       # bound of the broadcast ledger
+MAX_CELLS = 100_000         # per level; with the levels, the bound of the broadcast ledger
+MAX_LEVELS = 4
 CELLS_PER_TASK_SHARE = 8    # finer than needed, because events are not spread evenly over the range
 
 
@@ -46,7 +47,7 @@ def _position(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(dtype, T.TimestampNTZType):
-        in_day = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+        in_day = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
         return F.unix_date(c.cast("date")) * F.lit(86400.0) + in_day
     if isinstance(dtype, T.StringType):
         lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
@@ -57,56 +58,104 @@ def _position(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot split groups along {name}: {dtype.simpleString()}")
 
 
-def hot_groups(df: DataFrame, entity: str | Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """Entities too large for one task, with the range and number of the cells they are cut into.
+def _matching(keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    return cond
+
+
+def _oversized(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the groups with more than ``limit`` rows, fetched and pinned; None when there are none.
+
+    Counts are pre-aggregated in each task. At most ``rows / limit`` groups qualify, and no more than
+    ``MAX_HOT_GROUPS`` are fetched.
+    """
+    found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+             .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS).select(*keys).collect())
+    if not found:
+        return None
+    schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+
+
+def hot_cells(df: DataFrame, entity: str | Sequence[str], order: Sequence[str],
+              sizes: DataFrame | None = None) -> list[DataFrame]:
+    """How the entities too large for one task are cut: one small literal table per level, none without such entities.
 
-    One counting pass with map-side partial sums. The answer has at most ``rows / maxGroupRows`` entries and at
-    most ``MAX_HOT_GROUPS``, so it is fetched and pinned: both users of the cells then see the same ones even
-    if a lost executor makes Spark compute a part again. Returns None when no entity is that large.
+    A level cuts each group evenly along the first order column that varies in it. Cells that are still too large,
+    because events crowd in a part of the range or share a date, are cut again on the next level. The tables are
+    pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute a part again.
+    ``sizes`` is a table with the same entities that is cheaper to count, such as the log before its joins.
     """
-    spark, keys = df.sparkSession, _keys(entity)
-    limit = int(spark.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS)))
-    pos = _position(df, _keys(order)[0])
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-        .filter(F.col("_n") > limit)
-        .orderBy(F.col("_n").desc())
-        .limit(MAX_HOT_GROUPS)
-    )
-    rows = found.collect()
+    keys, cols = _keys(entity), _keys(order)
+    limit = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS)))
+    groups, path, levels = _oversized(df if sizes is None else sizes, keys, limit), list(keys), []
+    if groups is None:
+        return levels
+    members = df.join(F.broadcast(groups), _matching(keys), "left_semi").withColumn("_cell", _no_cell())
+    while groups is not None and len(levels) < MAX_LEVELS:
+        level = _level(members.join(F.broadcast(groups), _matching(path), "left_semi"), keys, cols, limit)
+        if level is None:
+            break
+        levels.append(level)
+        members = _apply_level(members, keys, cols, level)
+        path = [*keys, "_cell"]
+        groups = _oversized(members, path, limit)
+    return levels
+
+
+def _no_cell() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _level(members: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
+    """Range, column and number of the cells of each group; groups that cannot be cut are left out."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(order):
+        pos = _position(members, c)
+        aggs += [F.min(pos).alias(f"_lo{i}"), F.max(pos).alias(f"_hi{i}"), F.count(pos).alias(f"_known{i}"),
+                 (F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), F.count(F.lit(1)))).alias(f"_constant{i}")]
+    rows = []
+    for r in members.groupBy(*keys, "_cell").agg(*aggs).collect():   # one row per group of _oversized
+        at = next((i for i in range(len(order)) if not r[f"_constant{i}"]), None)
+        if at is None:
+            continue
+        lo, hi, known = r[f"_lo{at}"], r[f"_hi{at}"], r[f"_known{at}"]
+        if known and (hi > lo or known < r["_n"]):
+            rows.append((r, at, lo, hi, max(2, math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE)))
     if not rows:
         return None
-    wanted = [max(2, math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE) for r in rows]
-    shrink = min(1.0, MAX_CELLS / sum(wanted))
-    cells = [max(2, int(w * shrink)) for w in wanted]
+    shrink = min(1.0, MAX_CELLS / sum(wanted for *_, wanted in rows))
     schema = T.StructType(
-        [T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys]
-        + [T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()),
-           T.StructField("_cells", T.LongType()), T.StructField("_base", T.LongType()),
-           T.StructField("_hot", T.LongType())]
-    )
-    data, base = [], 0
-    for i, (r, n) in enumerate(zip(rows, cells)):
-        data.append((*[r[k] for k in keys], r["_lo"], r["_hi"], n, base, i))
-        base += n + 1
-    return spark.createDataFrame(data, schema)
-
-
-def _with_cells(df: DataFrame, keys: list[str], order: Sequence[str], hot: DataFrame, how: str) -> DataFrame:
-    """Adds ``_hot`` (group number) and ``_cell`` (cell number, unique over all hot groups; NULL elsewhere)."""
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    pos = _position(df, _keys(order)[0])
+        [T.StructField(f"_hot_{k}", members.schema[k].dataType) for k in [*keys, "_cell"]]
+        + [T.StructField("_at", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
+           T.StructField("_hi", T.DoubleType()), T.StructField("_cells", T.LongType())])
+    data = [(*[r[k] for k in keys], r["_cell"], at, lo, hi, max(2, int(wanted * shrink))) for r, at, lo, hi, wanted in rows]
+    return members.sparkSession.createDataFrame(data, schema)
+
+
+def _apply_level(df: DataFrame, keys: list[str], order: list[str], level: DataFrame) -> DataFrame:
+    pos = F.lit(None).cast("double")
+    for i in reversed(range(len(order))):
+        pos = F.when(F.col("_at") == i, _position(df, order[i])).otherwise(pos)
     step = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((pos - F.col("_lo")) * F.col("_cells") / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
-    cell = F.when(pos.isNull(), F.col("_cells")).otherwise(F.least(step, F.col("_cells") - 1))
+                  F.floor((F.col("_pos") - F.col("_lo")) * F.col("_cells") / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
+    cell = F.when(F.col("_pos").isNull(), F.col("_cells")).otherwise(F.least(step, F.col("_cells") - 1))
+    path = [*keys, "_cell"]
     return (
-        df.join(F.broadcast(hot), match, how)
-        .withColumn("_cell", F.when(F.col("_hot").isNotNull(), F.col("_base") + cell))
-        .drop(*[f"_hot_{k}" for k in keys], "_lo", "_hi", "_cells", "_base")
-    )
+        df.join(F.broadcast(level), _matching(path), "left")
+        .withColumn("_pos", pos)
+        .withColumn("_cell", F.when(F.col("_cells").isNotNull(), F.concat("_cell", F.array(cell))).otherwise(F.col("_cell")))
+        .drop(*[f"_hot_{k}" for k in path], "_at", "_lo", "_hi", "_cells", "_pos"))
+
+
+def _with_cells(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame]) -> DataFrame:
+    """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut."""
+    out = df.withColumn("_cell", _no_cell())
+    for level in levels:
+        out = _apply_level(out, keys, order, level)
+    return out
 
 
 # ---- the annotated log -----------------------------------------------------
@@ -123,23 +172,22 @@ def annotate(
     group_sums: Mapping[str, str] | None = None,
     group_means: Mapping[str, str] | None = None,
     split: bool = True,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Adds order-dependent columns to every event in one pass over one partitioning.
 
     ``order`` must be a total order inside an entity, or numbers of tied rows are arbitrary. ``number`` counts
     1, 2, 3 ..; ``size`` is the number of events of the entity; the mappings are ``{new column: measure}``.
-    Null measures are skipped. ``split=False`` skips the search for hot groups where sizes are known to be small.
+    Null measures are skipped. The search for oversized entities is one counting pass; ``sizes`` names a cheaper
+    table to count (see ``hot_cells``), and ``split=False`` leaves it out where sizes are known to be small.
     """
     keys = _keys(entity)
     running_sums, running_means = dict(running_sums or {}), dict(running_means or {})
     group_sums, group_means = dict(group_sums or {}), dict(group_means or {})
     measures = sorted({*running_sums.values(), *running_means.values(), *group_sums.values(), *group_means.values()})
-    hot = hot_groups(df, keys, order) if split else None
+    levels = hot_cells(df, keys, order, sizes) if split else []
 
-    if hot is None:
-        cut, source = [], df
-    else:
-        cut, source = ["_cell"], _with_cells(df, keys, order, hot, "left").drop("_hot")
+    cut, source = ([], df) if not levels else (["_cell"], _with_cells(df, keys, _keys(order), levels))
     upto = Window.partitionBy(*keys, *cut).orderBy(*_ordering(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys, *cut)
@@ -161,15 +209,17 @@ def annotate(
             ordered[f"_gn{i}"] = F.count(m).over(whole)
     out = source.withColumns(ordered)
 
-    if hot is not None:
-        out = out.join(F.broadcast(_ledger(df, keys, order, hot, measures)), "_cell", "left")
+    if levels:
+        ledger = _ledger(df, keys, _keys(order), levels, measures)
+        out = out.join(F.broadcast(ledger), _matching([*keys, "_cell"]), "left")
         carried = {}
         for name in ordered:
-            before = F.coalesce(F.col(f"_led{name}"), F.lit(0))
-            if name in ("_number",) or name.startswith("_r"):
-                carried[name] = F.coalesce(F.col(name), F.when(F.col(f"_led{name}").isNotNull(), F.lit(0))) + before
+            led = F.col(f"_led{name}")
+            if name == "_number" or name.startswith("_r"):
+                here = F.coalesce(F.col(name), F.when(led.isNotNull(), F.lit(0)))
+                carried[name] = here + F.coalesce(led, F.lit(0))
             else:
-                carried[name] = F.when(F.col("_cell").isNotNull(), F.col(f"_led{name}")).otherwise(F.col(name))
+                carried[name] = F.when(F.size("_cell") > 0, led).otherwise(F.col(name))
         out = out.withColumns(carried)
 
     final = {}
@@ -190,27 +240,29 @@ def annotate(
     return out.select(*[F.col(c) for c in kept], *[v.alias(k) for k, v in final.items()])
 
 
-def _ledger(df: DataFrame, keys: list[str], order: Sequence[str], hot: DataFrame, measures: list[str]) -> DataFrame:
-    """Per cell of a hot group: what lies before it, and the totals of its group. At most ``MAX_CELLS``-odd rows."""
-    per_cell = (
-        _with_cells(df, keys, order, hot, "inner")
-        .groupBy("_hot", "_cell")
-        .agg(F.count(F.lit(1)).alias("_c"),
-             *[F.sum(m).alias(f"_s{i}") for i, m in enumerate(measures)],
-             *[F.count(m).alias(f"_n{i}") for i, m in enumerate(measures)])
-    )
-    before = Window.partitionBy("_hot").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy("_hot")
+def _ledger(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame], measures: list[str]) -> DataFrame:
+    """Per cell: what lies before it in its group, and the totals of the group.
+
+    At most ``MAX_LEVELS * (MAX_CELLS + MAX_HOT_GROUPS)`` rows, however large the log is.
+    """
+    hot = levels[0].select(*[f"_hot_{k}" for k in keys])
+    cells = _with_cells(df.join(F.broadcast(hot), _matching(keys), "left_semi"), keys, order, levels)
+    per_cell = cells.groupBy(*keys, "_cell").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(m).alias(f"_s{i}") for i, m in enumerate(measures)],
+        *[F.count(m).alias(f"_n{i}") for i, m in enumerate(measures)])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.sum("_c").over(before).alias("_led_number"), F.sum("_c").over(group).alias("_led_size")]
     for i in range(len(measures)):
         cols += [F.sum(f"_s{i}").over(before).alias(f"_led_rs{i}"), F.sum(f"_n{i}").over(before).alias(f"_led_rn{i}"),
                  F.sum(f"_s{i}").over(group).alias(f"_led_gs{i}"), F.sum(f"_n{i}").over(group).alias(f"_led_gn{i}")]
-    return per_cell.select("_cell", *cols)
+    return per_cell.select(*[F.col(k).alias(f"_hot_{k}") for k in [*keys, "_cell"]], *cols)
 
 
-def number_events(df: DataFrame, entity, order, out: str = "event_num", split: bool = True) -> DataFrame:
+def number_events(df: DataFrame, entity, order, out: str = "event_num", split: bool = True,
+                  sizes: DataFrame | None = None) -> DataFrame:
     """Sequence number of each event of an entity."""
-    return annotate(df, entity, order, number=out, split=split)
+    return annotate(df, entity, order, number=out, split=split, sizes=sizes)
 
 
 def running_mean(df: DataFrame, entity, order, measure: str, out: str = "running_mean") -> DataFrame:

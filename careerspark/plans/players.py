@@ -60,10 +60,10 @@ def _milestones(step: int, cuts: tuple[int, ...]) -> dict:
     return columns
 
 
-def _careers(log: DataFrame, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
+def _careers(log: DataFrame, counted: DataFrame, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
              extra: list[Column]) -> DataFrame:
     key, name = f"{role}_ID", f"{role}_NAME"
-    numbered = number_events(log, key, ORDER, "_num").withColumn("_day", F.unix_date("DATE"))
+    numbered = number_events(log, key, ORDER, "_num", sizes=counted).withColumn("_day", F.unix_date("DATE"))
     columns = _milestones(step, cuts)
     careers = milestone_means(numbered, key, "_num", columns, [
         F.max_by(F.col(name), F.struct(*ORDER)).alias(name), F.avg("EVENT_WOBA").alias(f"CAREER_WOBA_{role}"),
@@ -97,7 +97,7 @@ def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None
     """One row per batter. ``latest`` is the ranking in force at debut."""
     log = measured(plays)
     own = role_log(log, player_roles(log), people, "BAT_ID", "TOTAL_PA_WOBA", "Pitcher")
-    out = _careers(own, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [])
+    out = _careers(own, log, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [])
 
     def graded(value: str, gate: str) -> Column:
         return grade(value, total="CAREER_TOTAL_PA", min_total=BATTER_GATES[gate])
@@ -116,7 +116,7 @@ def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = Non
     """One row per pitcher, lower rates graded better. ``null_policy`` applies to the workload fields."""
     log = measured(plays)
     own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter")
-    out = _careers(own, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
+    out = _careers(own, log, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
         mean_of("PITCH_COUNT_FINAL", null_policy).alias("AVG_PIT_COUNT"), min_of("INNING", null_policy).alias("IP_MIN"),
         mean_of("PIT_REST", null_policy).alias("AVG_DAYS_REST"), mean_of("INNING", null_policy).alias("IP_MEAN")])
     out = workload_class(out, "AVG_PIT_COUNT", "IP_MIN", "IP_MEAN", "PITCHER_TYPE")

@@ -15,11 +15,17 @@ YEAR_ONLY = "%Y"   # format name for a date that is only a year
 
 def typed(c: str, dtype: T.DataType, fmt: str | None = None) -> Column:
     """Text column as another type; what does not parse becomes NULL."""
+    text = F.col(_quoted(c))
     if fmt == YEAR_ONLY:
-        return year_date(F.col(c).try_cast("int"))
+        return year_date(text.try_cast("int"))
     if fmt is not None:
-        return parse_date(c, fmt)
-    return F.col(c) if isinstance(dtype, T.StringType) else F.col(c).try_cast(dtype)
+        return parse_date(text, fmt)
+    return text if isinstance(dtype, T.StringType) else text.try_cast(dtype)
+
+
+def _quoted(name: str) -> str:
+    """Column names of the files contain dots."""
+    return f"`{name}`"
 
 
 def read_text(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, **options) -> DataFrame:
@@ -50,8 +56,8 @@ def parse_problems(raw: DataFrame, schema: T.StructType, date_formats: Mapping[s
             continue
         fmt = formats.get(f.name)
         expected = f"date {fmt}" if fmt else f.dataType.simpleString()
-        bad = F.col(f.name).isNotNull() & typed(f.name, f.dataType, fmt).isNull()
-        checks.append(F.when(bad, F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("raw_value"),
+        bad = F.col(_quoted(f.name)).isNotNull() & typed(f.name, f.dataType, fmt).isNull()
+        checks.append(F.when(bad, F.struct(F.lit(f.name).alias("column"), F.col(_quoted(f.name)).alias("raw_value"),
                                            F.lit(expected).alias("expected"))))
     found = raw.select(*row_id, F.explode(F.array_compact(F.array(*checks))).alias("_p"))
     return found.select(*row_id, "_p.*")

@@ -19,6 +19,7 @@ from ..functions.scalars import round_half_up
 from ..operators.classify import grade, rank_group, ranked_flag
 from ..operators.resolve import attach_ranking
 from ..operators.sequence import milestone_means, number_events, split_columns, split_diff
+from ..operators.skew import oversized
 from ..sources.stages import save_stage
 
 
@@ -71,9 +72,12 @@ def line_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_numbered(spark: SparkSession, folder: str) -> DataFrame:
-    """The log with the number ``num`` of each line of a supplier; sizes are counted before the join."""
-    return number_events(line_log(spark, folder), "l_suppkey", ORDER, "num",
-                         sizes=table(spark, folder, "lineitem").select("l_suppkey"))
+    """The log with the number ``num`` of each line of a supplier; group sizes are counted before the join."""
+    return number_events(line_log(spark, folder), "l_suppkey", ORDER, "num", heavy=heavy_suppliers(spark, folder))
+
+
+def heavy_suppliers(spark: SparkSession, folder: str) -> DataFrame | None:
+    return oversized(table(spark, folder, "lineitem"), "l_suppkey")
 
 
 LOG = """log AS (

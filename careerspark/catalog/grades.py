@@ -9,7 +9,9 @@ from ..operators import classify
 from ..operators.classify import grade, inverted_grade
 from ..operators.resolve import attach_person
 from ..operators.sequence import milestone_means, split_columns
-from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql, line_log,
+from ..operators.skew import oversized
+from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql,
+                   heavy_suppliers, line_log,
                    numbered_sql, query, ranking_sql, rounded_sql, supplier_numbered, table)
 
 # Both roles keyed alike: returned lines by supplier, all lines by customer.
@@ -43,16 +45,19 @@ def role_flags(spark, folder):
     log, roles = _roles(spark, folder)
     s_flags = classify.role_flags(roles, "k", "a_total", "supplier_out", "Pitcher")
     c_flags = classify.role_flags(roles, "k", "b_total", "customer_out", "Batter")
-    flagged = classify.attach_flags(classify.attach_flags(log, s_flags, "l_suppkey", "k"), c_flags, "o_custkey", "k")
+    flagged = classify.attach_flags(log, s_flags, "l_suppkey", "k", heavy_suppliers(spark, folder))
+    flagged = classify.attach_flags(flagged, c_flags, "o_custkey", "k", oversized(log, "o_custkey"))
     return classify.drop_out_of_role(flagged, "customer_out").select(*LINE_KEY, "o_custkey", "supplier_out")
 
 
 @query(f"""WITH {LOG} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, s_name AS S_s_name, s_nationkey AS S_s_nationkey,
 c_name AS C_c_name, c_mktsegment AS C_c_mktsegment FROM log LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN customer ON o_custkey = c_custkey""")
 def attach_person_two_roles(spark, folder):
-    out = attach_person(line_log(spark, folder).select(*LINE_KEY, "o_custkey"), table(spark, folder, "supplier"),
-                        "l_suppkey", "s_suppkey", "S_", ["s_name", "s_nationkey"])
-    return attach_person(out, table(spark, folder, "customer"), "o_custkey", "c_custkey", "C_", ["c_name", "c_mktsegment"])
+    log = line_log(spark, folder).select(*LINE_KEY, "o_custkey")
+    out = attach_person(log, table(spark, folder, "supplier"), "l_suppkey", "s_suppkey", "S_", ["s_name", "s_nationkey"],
+                        heavy_suppliers(spark, folder))
+    return attach_person(out, table(spark, folder, "customer"), "o_custkey", "c_custkey", "C_", ["c_name", "c_mktsegment"],
+                         oversized(log, "o_custkey"))
 
 
 # ---- supplier grades: the flagship -----------------------------------------

@@ -8,7 +8,8 @@ from ..functions.scalars import years_from_weeks
 from ..operators import sequence as seq
 from ..operators.report import occurrence_rate
 from ..operators.stats import exact_quantiles as quantiles
-from .base import (LINE_KEY, LOG, ORDER, ORDER_SQL, line_log, numbered_sql, query, rounded_sql, six, supplier_numbered,
+from ..operators.skew import join_back, oversized
+from .base import (LINE_KEY, LOG, ORDER, ORDER_SQL, heavy_suppliers, line_log, numbered_sql, query, rounded_sql, six, supplier_numbered,
                    table)
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -51,7 +52,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, num, total, rolling, care
 def annotated_supplier_log(spark, folder):
     """Number, total, running mean and career mean of each line, from one partitioning."""
     out = seq.annotate(line_log(spark, folder), "l_suppkey", ORDER, number="num", size="total", running_means={"rolling": "x"},
-                       group_means={"career": "x"}, sizes=table(spark, folder, "lineitem").select("l_suppkey"))
+                       group_means={"career": "x"}, heavy=heavy_suppliers(spark, folder))
     return out.select(*LINE_KEY, "num", "total", "rolling", "career")
 
 
@@ -65,8 +66,8 @@ def number_two_roles(spark, folder):
     """Both roles of every line: two shuffles by design."""
     log = line_log(spark, folder)
     first = seq.annotate(log, "l_suppkey", ORDER, number="supplier_num", size="supplier_total",
-                         sizes=table(spark, folder, "lineitem").select("l_suppkey"))
-    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total", sizes=log)
+                         heavy=heavy_suppliers(spark, folder))
+    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total", heavy=oversized(log, "o_custkey"))
     return both.select(*LINE_KEY, "o_custkey", "supplier_num", "customer_num", "supplier_total", "customer_total")
 
 
@@ -120,7 +121,7 @@ FROM orders JOIN born ON o_custkey = k""")
 def age_at(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
     born = orders.groupBy("o_custkey").agg(F.min("d").alias("birth"))
-    return seq.age_at(seq.join_back(orders, born, ["o_custkey"]), "d", "birth").select("o_orderkey", "age_wks", "age_yrs")
+    return seq.age_at(join_back(orders, born, ["o_custkey"]), "d", "birth").select("o_orderkey", "age_wks", "age_yrs")
 
 
 @query("""SELECT o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import (GRADE_SCORES, HIGHER_IS_BETTER, LOWER_IS_BETTER, RANK_EDGES, RELIEVER_MEAN_INNING,
                       RELIEVER_PITCHES, ROLE_HIGH, ROLE_LOW, STARTER_PITCHES)
 from ..functions.scalars import as_col, round_half_up, thousandths
+from .skew import AUTO, lookup_join
 
 # ---- roles -----------------------------------------------------------------
 
@@ -39,14 +40,11 @@ def role_flags(roles: DataFrame, key: str, total: str, out: str, out_of_role: st
     return roles.filter(F.col(total) >= 1).select(key, (F.col(role) == out_of_role).alias(out))
 
 
-def attach_flags(log: DataFrame, flags: DataFrame, log_key: str, key: str | None = None) -> DataFrame:
-    """Inner join of a per-entity flag table to the log; each entity has one flag row.
-
-    Unhinted on purpose: flags grow with the number of entities, so the planner decides by their size.
-    """
-    key = key or log_key
-    renamed = flags.withColumnRenamed(key, "_flag_key")
-    return log.join(renamed, F.col(log_key) == F.col("_flag_key"), "inner").drop("_flag_key")
+def attach_flags(log: DataFrame, flags: DataFrame, log_key: str, key: str | None = None,
+                 heavy: DataFrame | None | str = AUTO) -> DataFrame:
+    """Inner join of a per-entity flag table to the log; each entity has one flag row."""
+    renamed = flags.withColumnRenamed(key or log_key, "_flag_key")
+    return lookup_join(log, renamed, {log_key: "_flag_key"}, "inner", heavy=heavy).drop("_flag_key")
 
 
 def drop_out_of_role(log: DataFrame, flag: str) -> DataFrame:

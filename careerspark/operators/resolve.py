@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..config import MIN_GAP_WEEKS, REFRESH_GAP_NULL_AFTER, REFRESH_RANKED_AFTER
 from ..functions.scalars import date_lit, if_else, weeks_between
 from .sequence import arg_max_rows
+from .skew import AUTO, lookup_join
 
 MAX_LITERAL_ROWS = 100_000   # literal tables up to this size are broadcast
 
@@ -20,14 +21,14 @@ MAX_LITERAL_ROWS = 100_000   # literal tables up to this size are broadcast
 
 
 def attach_person(df: DataFrame, people: DataFrame, key: str, person_key: str, prefix: str,
-                  cols: Sequence[str] | None = None) -> DataFrame:
+                  cols: Sequence[str] | None = None, heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Left join of one person row per key, its columns prefixed with the role.
 
-    Unhinted: a small dimension is broadcast by its size, a large one is joined by shuffle.
+    Without a hint: a small dimension is broadcast by its size, a large one is joined by shuffle.
     """
     cols = [c for c in (cols or people.columns) if c != person_key]
     side = people.select(F.col(person_key).alias("_person"), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return df.join(side, F.col(key) == F.col("_person"), "left").drop("_person")
+    return lookup_join(df, side, {key: "_person"}, heavy=heavy).drop("_person")
 
 
 def enrich(summary: DataFrame, agg: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -45,12 +46,13 @@ def _literal(df: DataFrame, rows: Sequence[tuple], schema: T.StructType) -> Data
 
 def apply_aliases(df: DataFrame, aliases: Mapping[str, str] | DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Whole-name replacement. ``aliases`` is a mapping or a table ``(name, canonical_name)``."""
+    small = not isinstance(aliases, DataFrame) and len(aliases) <= MAX_LITERAL_ROWS
     if isinstance(aliases, DataFrame):
         table = aliases.groupBy(F.col("name").alias("_alias")).agg(F.min("canonical_name").alias("_canonical"))
     else:
         schema = T.StructType([T.StructField("_alias", T.StringType()), T.StructField("_canonical", T.StringType())])
         table = _literal(df, list(aliases.items()), schema)
-    return (df.join(table, F.col(col) == F.col("_alias"), "left")
+    return (lookup_join(df, table, {col: "_alias"}, heavy=None if small else AUTO)
             .withColumn(out or col, F.coalesce(F.col("_canonical"), F.col(col))).drop("_alias", "_canonical"))
 
 
@@ -195,7 +197,7 @@ def latest_ranking(rankings: DataFrame, entity: str, gap: str, min_gap: float =
 def attach_ranking(df: DataFrame, latest: DataFrame, key: str, entity: str, rank: str) -> DataFrame:
     """Rank in force at debut, NULL for entities that were not ranked."""
     side = latest.select(F.col(entity).alias("_entity"), F.col(rank).alias(rank))
-    return df.join(side, F.col(key) == F.col("_entity"), "left").drop("_entity")
+    return df.join(side, F.col(key) == F.col("_entity"), "left").drop("_entity")   # one row per entity on both sides
 
 
 def refresh_ids(rankings: DataFrame, update: DataFrame, *, name: str, id: str, year: str, debut: str, gap: str,

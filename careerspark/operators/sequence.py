@@ -8,154 +8,20 @@ its own, and a small ledger of per-cell counts and sums carries the totals from
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import as_col, max_of, mean_of, min_of, round_half_up, weeks_between, years_from_weeks
-
-MAX_GROUP_ROWS_CONF = "spark.careerspark.maxGroupRows"
-MAX_GROUP_ROWS = 5_000_000
-MAX_HOT_GROUPS = 100_000    # groups beyond these each hold under 1/100,000 of the log
-MAX_CELLS = 100_000         # per level; with the levels, the bound of the broadcast ledger
-MAX_LEVELS = 4
-CELLS_PER_TASK_SHARE = 8    # finer than needed, because events are not spread evenly over the range
-
-
-def _keys(entity: str | Sequence[str]) -> list[str]:
-    return [entity] if isinstance(entity, str) else list(entity)
-
+from .skew import AUTO, hot_cells, hot_rows, join_back, join_cells, key_list, lookup_join, with_cells
 
 def _ordering(order: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in _keys(order)]
+    return [F.col(c).asc_nulls_last() for c in key_list(order)]
 
 
 def _reverse(order: Sequence[str]) -> list[Column]:
-    return [F.col(c).desc_nulls_first() for c in _keys(order)]
-
-
-# ---- hot groups ------------------------------------------------------------
-
-def _position(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the sort order of the column; NULL for NULL and NaN."""
-    dtype, c = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        in_day = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
-        return F.unix_date(c.cast("date")) * F.lit(86400.0) + in_day
-    if isinstance(dtype, T.StringType):
-        lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(lead, 16, 10).cast("double")
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        value = c.cast("double")
-        return F.when(~F.isnan(value), F.greatest(F.lit(-1e300), F.least(F.lit(1e300), value)))
-    raise TypeError(f"cannot split groups along {name}: {dtype.simpleString()}")
-
-
-def _matching(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    return cond
-
-
-def _oversized(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys of the groups with more than ``limit`` rows, fetched and pinned; None when there are none.
-
-    Counts are pre-aggregated in each task. At most ``rows / limit`` groups qualify, and no more than
-    ``MAX_HOT_GROUPS`` are fetched.
-    """
-    found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-             .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS).select(*keys).collect())
-    if not found:
-        return None
-    schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
-
-
-def hot_cells(df: DataFrame, entity: str | Sequence[str], order: Sequence[str],
-              sizes: DataFrame | None = None) -> list[DataFrame]:
-    """How the entities too large for one task are cut: one small literal table per level, none without such entities.
-
-    A level cuts each group evenly along the first order column that varies in it. Cells that are still too large,
-    because events crowd in a part of the range or share a date, are cut again on the next level. The tables are
-    pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute a part again.
-    ``sizes`` is a table with the same entities that is cheaper to count, such as the log before its joins.
-    """
-    keys, cols = _keys(entity), _keys(order)
-    limit = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS)))
-    groups, path, levels = _oversized(df if sizes is None else sizes, keys, limit), list(keys), []
-    if groups is None:
-        return levels
-    members = df.join(F.broadcast(groups), _matching(keys), "left_semi").withColumn("_cell", _no_cell())
-    while groups is not None and len(levels) < MAX_LEVELS:
-        level = _level(members.join(F.broadcast(groups), _matching(path), "left_semi"), keys, cols, limit)
-        if level is None:
-            break
-        levels.append(level)
-        members = _apply_level(members, keys, cols, level)
-        path = [*keys, "_cell"]
-        groups = _oversized(members, path, limit)
-    return levels
-
-
-def _no_cell() -> Column:
-    return F.array().cast("array<bigint>")
-
-
-def _level(members: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
-    """Range, column and number of the cells of each group; groups that cannot be cut are left out."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(order):
-        pos = _position(members, c)
-        aggs += [F.min(pos).alias(f"_lo{i}"), F.max(pos).alias(f"_hi{i}"), F.count(pos).alias(f"_known{i}"),
-                 (F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), F.count(F.lit(1)))).alias(f"_constant{i}")]
-    rows = []
-    for r in members.groupBy(*keys, "_cell").agg(*aggs).collect():   # one row per group of _oversized
-        at = next((i for i in range(len(order)) if not r[f"_constant{i}"]), None)
-        if at is None:
-            continue
-        lo, hi, known = r[f"_lo{at}"], r[f"_hi{at}"], r[f"_known{at}"]
-        if known and (hi > lo or known < r["_n"]):
-            rows.append((r, at, lo, hi, max(2, math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE)))
-    if not rows:
-        return None
-    shrink = min(1.0, MAX_CELLS / sum(wanted for *_, wanted in rows))
-    schema = T.StructType(
-        [T.StructField(f"_hot_{k}", members.schema[k].dataType) for k in [*keys, "_cell"]]
-        + [T.StructField("_at", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
-           T.StructField("_hi", T.DoubleType()), T.StructField("_cells", T.LongType())])
-    data = [(*[r[k] for k in keys], r["_cell"], at, lo, hi, max(2, int(wanted * shrink))) for r, at, lo, hi, wanted in rows]
-    return members.sparkSession.createDataFrame(data, schema)
-
-
-def _apply_level(df: DataFrame, keys: list[str], order: list[str], level: DataFrame) -> DataFrame:
-    pos = F.lit(None).cast("double")
-    for i in reversed(range(len(order))):
-        pos = F.when(F.col("_at") == i, _position(df, order[i])).otherwise(pos)
-    step = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((F.col("_pos") - F.col("_lo")) * F.col("_cells") / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
-    cell = F.when(F.col("_pos").isNull(), F.col("_cells")).otherwise(F.least(step, F.col("_cells") - 1))
-    path = [*keys, "_cell"]
-    return (
-        df.join(F.broadcast(level), _matching(path), "left")
-        .withColumn("_pos", pos)
-        .withColumn("_cell", F.when(F.col("_cells").isNotNull(), F.concat("_cell", F.array(cell))).otherwise(F.col("_cell")))
-        .drop(*[f"_hot_{k}" for k in path], "_at", "_lo", "_hi", "_cells", "_pos"))
-
-
-def _with_cells(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame]) -> DataFrame:
-    """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut."""
-    out = df.withColumn("_cell", _no_cell())
-    for level in levels:
-        out = _apply_level(out, keys, order, level)
-    return out
+    return [F.col(c).desc_nulls_first() for c in key_list(order)]
 
 
 # ---- the annotated log -----------------------------------------------------
@@ -171,23 +37,22 @@ def annotate(
     running_means: Mapping[str, str] | None = None,
     group_sums: Mapping[str, str] | None = None,
     group_means: Mapping[str, str] | None = None,
-    split: bool = True,
-    sizes: DataFrame | None = None,
+    heavy: DataFrame | None | str = AUTO,
 ) -> DataFrame:
     """Adds order-dependent columns to every event in one pass over one partitioning.
 
     ``order`` must be a total order inside an entity, or numbers of tied rows are arbitrary. ``number`` counts
     1, 2, 3 ..; ``size`` is the number of events of the entity; the mappings are ``{new column: measure}``.
-    Null measures are skipped. The search for oversized entities is one counting pass; ``sizes`` names a cheaper
-    table to count (see ``hot_cells``), and ``split=False`` leaves it out where sizes are known to be small.
+    Null measures are skipped. The search for oversized entities is one counting pass over ``df``; ``heavy`` takes
+    the answer of ``oversized`` for a cheaper table, or None where sizes are known to be small.
     """
-    keys = _keys(entity)
+    keys = key_list(entity)
     running_sums, running_means = dict(running_sums or {}), dict(running_means or {})
     group_sums, group_means = dict(group_sums or {}), dict(group_means or {})
     measures = sorted({*running_sums.values(), *running_means.values(), *group_sums.values(), *group_means.values()})
-    levels = hot_cells(df, keys, order, sizes) if split else []
+    levels = hot_cells(df, keys, order, heavy)
 
-    cut, source = ([], df) if not levels else (["_cell"], _with_cells(df, keys, _keys(order), levels))
+    cut, source = ([], df) if not levels else (["_cell"], with_cells(df, keys, key_list(order), levels))
     upto = Window.partitionBy(*keys, *cut).orderBy(*_ordering(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys, *cut)
@@ -210,8 +75,8 @@ def annotate(
     out = source.withColumns(ordered)
 
     if levels:
-        ledger = _ledger(df, keys, _keys(order), levels, measures)
-        out = out.join(F.broadcast(ledger), _matching([*keys, "_cell"]), "left")
+        ledger = _ledger(df, keys, key_list(order), levels, measures)
+        out = join_cells(out, ledger, keys)
         carried = {}
         for name in ordered:
             led = F.col(f"_led{name}")
@@ -245,8 +110,7 @@ def _ledger(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[D
 
     At most ``MAX_LEVELS * (MAX_CELLS + MAX_HOT_GROUPS)`` rows, however large the log is.
     """
-    hot = levels[0].select(*[f"_hot_{k}" for k in keys])
-    cells = _with_cells(df.join(F.broadcast(hot), _matching(keys), "left_semi"), keys, order, levels)
+    cells = with_cells(hot_rows(df, keys, levels), keys, order, levels)
     per_cell = cells.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_c"), *[F.sum(m).alias(f"_s{i}") for i, m in enumerate(measures)],
         *[F.count(m).alias(f"_n{i}") for i, m in enumerate(measures)])
@@ -259,10 +123,10 @@ def _ledger(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[D
     return per_cell.select(*[F.col(k).alias(f"_hot_{k}") for k in [*keys, "_cell"]], *cols)
 
 
-def number_events(df: DataFrame, entity, order, out: str = "event_num", split: bool = True,
-                  sizes: DataFrame | None = None) -> DataFrame:
+def number_events(df: DataFrame, entity, order, out: str = "event_num",
+                  heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Sequence number of each event of an entity."""
-    return annotate(df, entity, order, number=out, split=split, sizes=sizes)
+    return annotate(df, entity, order, number=out, heavy=heavy)
 
 
 def running_mean(df: DataFrame, entity, order, measure: str, out: str = "running_mean") -> DataFrame:
@@ -275,39 +139,27 @@ def group_total(df: DataFrame, entity, out: str = "group_total") -> DataFrame:
 
     Counts are pre-aggregated and joined back, so no task has to hold a whole group.
     """
-    keys = _keys(entity)
+    keys = key_list(entity)
     return join_back(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
 
 
 def group_mean(df: DataFrame, entity, measure: str, out: str = "group_mean") -> DataFrame:
     """Mean of the measure over all rows of the entity, on each row."""
-    keys = _keys(entity)
+    keys = key_list(entity)
     return join_back(df, df.groupBy(*keys).agg(F.avg(measure).alias(out)), keys)
 
 
-def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins a per-key aggregate to the rows it came from, NULL keys included.
-
-    Without a hint: adaptive execution broadcasts a small aggregate and splits skewed partitions otherwise.
-    """
-    renamed = agg.withColumnsRenamed({k: f"_agg_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_agg_{k}"))
-    return df.join(renamed, cond, how).drop(*[f"_agg_{k}" for k in keys])
-
-
 # ---- one row per entity ----------------------------------------------------
 
 def entity_totals(df: DataFrame, entity, measure: str, total: str = "total", mean: str = "mean") -> DataFrame:
     """Events and mean measure per entity."""
-    return df.groupBy(*_keys(entity)).agg(F.count(F.lit(1)).alias(total), F.avg(measure).alias(mean))
+    return df.groupBy(*key_list(entity)).agg(F.count(F.lit(1)).alias(total), F.avg(measure).alias(mean))
 
 
 def latest_attributes(df: DataFrame, entity, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Attribute values on the last event of each entity."""
-    keys = _keys(entity)
-    last = F.max_by(F.struct(*cols), F.struct(*_keys(order))).alias("_last")
+    keys = key_list(entity)
+    last = F.max_by(F.struct(*cols), F.struct(*key_list(order))).alias("_last")
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
@@ -323,7 +175,7 @@ def milestone_means(df: DataFrame, entity, seq: str, columns: Mapping[str, tuple
     ``columns`` is ``{new column: (measure, first number, last number or None)}``; ``extra`` takes further
     aggregates of the same pass.
     """
-    return df.groupBy(*_keys(entity)).agg(
+    return df.groupBy(*key_list(entity)).agg(
         *extra, *[bucket_mean(m, seq, lo, hi).alias(new) for new, (m, lo, hi) in columns.items()])
 
 
@@ -351,7 +203,7 @@ def split_diff(df: DataFrame, first: str, post: str, out: str, digits: int | Non
 def workload(df: DataFrame, entity, means: Mapping[str, str] | None = None, mins: Mapping[str, str] | None = None,
              null_policy: str = "skip") -> DataFrame:
     """Means and minima of workload fields per entity."""
-    return df.groupBy(*_keys(entity)).agg(
+    return df.groupBy(*key_list(entity)).agg(
         *[mean_of(c, null_policy).alias(new) for new, c in (means or {}).items()],
         *[min_of(c, null_policy).alias(new) for new, c in (mins or {}).items()])
 
@@ -363,7 +215,7 @@ def tail_n(df: DataFrame, group, order: Sequence[str], n: int) -> DataFrame:
 
     Spark keeps at most ``n`` rows per group in each task before the shuffle, so a huge group stays small.
     """
-    w = Window.partitionBy(*_keys(group)).orderBy(*_reverse(order))
+    w = Window.partitionBy(*key_list(group)).orderBy(*_reverse(order))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
@@ -373,20 +225,18 @@ def tail_matches(df: DataFrame, group, order: Sequence[str], n: int, predicate:
 
     Rows outside ``where`` do not count as part of the group. Groups with fewer than ``n`` rows never qualify.
     """
-    keys = _keys(group)
+    keys = key_list(group)
     ends = tail_n(df if where is None else df.filter(where), keys, order, n)
     hits = F.count_if(predicate).over(Window.partitionBy(*keys))
     return ends.withColumn("_hits", hits).filter(F.col("_hits") == n).drop("_hits")
 
 
 def _extreme_rows(df: DataFrame, group, col: str, pick, null_policy: str) -> DataFrame:
-    keys = _keys(group)
+    keys = key_list(group)
     best = df.groupBy(*keys).agg(pick(col, null_policy).alias("_best")).filter(F.col("_best").isNotNull())
     renamed = best.withColumnsRenamed({k: f"_agg_{k}" for k in keys})
-    cond = F.col(col) == F.col("_best")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_agg_{k}"))
-    return df.join(renamed, cond, "left_semi")
+    on = {**{k: f"_agg_{k}" for k in keys}, col: "_best"}
+    return lookup_join(df.filter(F.col(col).isNotNull()), renamed, on, "left_semi", null_safe=True)
 
 
 def arg_max_rows(df: DataFrame, group, col: str, null_policy: str = "propagate") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import round_half_up
-from .sequence import join_back
+from .skew import join_back
 
 
 def select_at(df: DataFrame, positions: Sequence[int]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..functions.student_t import p_value, t_quantile
-from .sequence import annotate, join_back
+from .sequence import annotate
+from .skew import join_back
 
 # ---- correlation and lines -------------------------------------------------
 

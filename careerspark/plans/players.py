@@ -21,6 +21,7 @@ from ..operators.report import publish
 from ..operators.resolve import attach_person, attach_ranking
 from ..operators.sequence import cohort, entity_totals, milestone_means, number_events, split_columns, split_diff
 from ..operators.shape import round_cols
+from ..operators.skew import lookup_join, oversized
 
 ORDER = ["DATE", "row_idx"]
 QUARTERS = ("ONE", "TWO", "THREE", "FOUR")
@@ -39,12 +40,13 @@ def player_roles(log: DataFrame) -> DataFrame:
     return round_cols(roles, ["CAREER_WOBA_BAT", "CAREER_WOBA_PIT"], 3)
 
 
-def role_log(log: DataFrame, roles: DataFrame, people: DataFrame, key: str, total: str, out_of_role: str) -> DataFrame:
+def role_log(log: DataFrame, roles: DataFrame, people: DataFrame, key: str, total: str, out_of_role: str,
+             heavy: DataFrame | None) -> DataFrame:
     """Events of players of the cohort in their own role."""
     flags = role_flags(roles, "PLAYER_ID", total, "_out", out_of_role, role="PLAYER_TYPE").filter(~F.col("_out"))
     members = cohort(people, "PLAY_DEBUT", after=COHORT_AFTER).select(F.col("PLAYERID").alias("PLAYER_ID"))
     eligible = members.join(flags.select("PLAYER_ID"), "PLAYER_ID", "left_semi")
-    return log.join(eligible, F.col(key) == F.col("PLAYER_ID"), "left_semi")
+    return lookup_join(log, eligible, {key: "PLAYER_ID"}, "left_semi", heavy=heavy)
 
 
 def _milestones(step: int, cuts: tuple[int, ...]) -> dict:
@@ -60,15 +62,15 @@ def _milestones(step: int, cuts: tuple[int, ...]) -> dict:
     return columns
 
 
-def _careers(log: DataFrame, counted: DataFrame, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
+def _careers(log: DataFrame, heavy: DataFrame | None, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
              extra: list[Column]) -> DataFrame:
     key, name = f"{role}_ID", f"{role}_NAME"
-    numbered = number_events(log, key, ORDER, "_num", sizes=counted).withColumn("_day", F.unix_date("DATE"))
+    numbered = number_events(log, key, ORDER, "_num", heavy).withColumn("_day", F.unix_date("DATE"))
     columns = _milestones(step, cuts)
     careers = milestone_means(numbered, key, "_num", columns, [
         F.max_by(F.col(name), F.struct(*ORDER)).alias(name), F.avg("EVENT_WOBA").alias(f"CAREER_WOBA_{role}"),
         F.count(F.lit(1)).alias(total), *extra])
-    dated = attach_person(careers, people, key, "PLAYERID", f"{role}_", ["BIRTHDATE", "PLAY_DEBUT", "PLAY_LASTGAME"])
+    dated = attach_person(careers, people, key, "PLAYERID", f"{role}_", ["BIRTHDATE", "PLAY_DEBUT", "PLAY_LASTGAME"], heavy=None)
     ages = [c for c in columns if c.endswith("_AGE")]
     born = F.unix_date(f"{role}_BIRTHDATE")
     dated = dated.withColumns({c: years_from_weeks((F.col(c) - born) / 7.0) for c in ages})
@@ -96,8 +98,9 @@ def _ranked(df: DataFrame, latest: DataFrame | None, key: str) -> DataFrame:
 def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None) -> DataFrame:
     """One row per batter. ``latest`` is the ranking in force at debut."""
     log = measured(plays)
-    own = role_log(log, player_roles(log), people, "BAT_ID", "TOTAL_PA_WOBA", "Pitcher")
-    out = _careers(own, log, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [])
+    heavy = oversized(log, "BAT_ID")
+    own = role_log(log, player_roles(log), people, "BAT_ID", "TOTAL_PA_WOBA", "Pitcher", heavy)
+    out = _careers(own, heavy, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [])
 
     def graded(value: str, gate: str) -> Column:
         return grade(value, total="CAREER_TOTAL_PA", min_total=BATTER_GATES[gate])
@@ -115,8 +118,9 @@ def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None
 def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, null_policy: str = "skip") -> DataFrame:
     """One row per pitcher, lower rates graded better. ``null_policy`` applies to the workload fields."""
     log = measured(plays)
-    own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter")
-    out = _careers(own, log, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
+    heavy = oversized(log, "PIT_ID")
+    own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter", heavy)
+    out = _careers(own, heavy, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
         mean_of("PITCH_COUNT_FINAL", null_policy).alias("AVG_PIT_COUNT"), min_of("INNING", null_policy).alias("IP_MIN"),
         mean_of("PIT_REST", null_policy).alias("AVG_DAYS_REST"), mean_of("INNING", null_policy).alias("IP_MEAN")])
     out = workload_class(out, "AVG_PIT_COUNT", "IP_MIN", "IP_MEAN", "PITCHER_TYPE")

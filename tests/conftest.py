@@ -23,7 +23,7 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def small_groups(spark):
     """Treats groups over 300 rows as too large for one task."""
-    from careerspark.operators.sequence import MAX_GROUP_ROWS_CONF
+    from careerspark.operators.skew import MAX_GROUP_ROWS_CONF
     spark.conf.set(MAX_GROUP_ROWS_CONF, "300")
     yield
     spark.conf.unset(MAX_GROUP_ROWS_CONF)

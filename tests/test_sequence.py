@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from careerspark.operators import sequence as seq
+from careerspark.operators import skew
 
 VALUES = [0.0, 0.9, 0.0, 1.2, 0.9]
 
@@ -84,7 +85,7 @@ ALL = dict(number="num", size="n", running_sums={"rs": "x"}, running_means={"rm"
 
 def test_cut_groups_give_the_same_numbers_and_means(spark, small_groups):
     df = skewed(spark)
-    plain = seq.annotate(df, "e", ["d", "row"], split=False, **ALL)
+    plain = seq.annotate(df, "e", ["d", "row"], heavy=None, **ALL)
     cut = seq.annotate(df, "e", ["d", "row"], **ALL)
     assert cut.columns == plain.columns
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
@@ -92,9 +93,9 @@ def test_cut_groups_give_the_same_numbers_and_means(spark, small_groups):
 
 def test_no_cell_is_larger_than_the_limit(spark, small_groups):
     df = skewed(spark)
-    levels = seq.hot_cells(df, "e", ["d", "row"])
+    levels = skew.hot_cells(df, "e", ["d", "row"])
     assert len(levels) > 1   # days with many rows need a second level
-    sizes = seq._with_cells(df, ["e"], ["d", "row"], levels).groupBy("e", "_cell").count()
+    sizes = skew.with_cells(df, ["e"], ["d", "row"], levels).groupBy("e", "_cell").count()
     assert sizes.agg(F.max("count")).first()[0] <= 300
 
 
@@ -106,18 +107,36 @@ def test_positions_follow_the_sort_order(spark, small_groups, order):
         F.timestamp_micros(i * 7919 % 1500 * 250000).cast("timestamp_ntz").alias("ntz"),
         F.concat(F.chr(F.lit(65) + i % 26), F.lit("é"), i.cast("string")).alias("text"),
         F.when(i % 50 == 0, float("nan")).when(i % 51 == 0, float("inf")).otherwise(i * 7919 % 1500 - 700.5).alias("real"), (i % 2 == 0).alias("flag"))
-    plain = {r.row: r.num for r in seq.number_events(df, "e", [order, "row"], "num", split=False).collect()}
+    plain = {r.row: r.num for r in seq.number_events(df, "e", [order, "row"], "num", heavy=None).collect()}
     cut = {r.row: r.num for r in seq.number_events(df, "e", [order, "row"], "num").collect()}
     assert cut == plain
 
 
 def test_small_groups_are_not_cut(spark):
-    assert seq.hot_cells(skewed(spark), "e", ["d", "row"]) == []
+    assert skew.hot_cells(skewed(spark), "e", ["d", "row"]) == []
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_joins_around_oversized_keys(spark, small_groups, how, null_safe):
+    df = skewed(spark)
+    side = df.filter("e IS NULL OR e % 2 = 1").groupBy("e").agg(F.sum("x").alias("total")).withColumnRenamed("e", "k")
+    assert skew.oversized(df, "e").count() > 1
+    cut = skew.lookup_join(df, side, {"e": "k"}, how, null_safe)
+    plain = skew.lookup_join(df, side, {"e": "k"}, how, null_safe, heavy=None)
+    assert cut.columns == plain.columns and sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_extreme_rows_of_oversized_groups(spark, small_groups):
+    df = skewed(spark).filter("x IS NOT NULL")
+    best = {r.e: r.m for r in df.groupBy("e").agg(F.max("x").alias("m")).collect()}
+    want = {r.row for r in df.collect() if r.x == best[r.e]}
+    assert {r.row for r in seq.arg_max_rows(df, "e", "x").collect()} == want
 
 
 def test_sizes_may_be_counted_elsewhere(spark, small_groups):
     df = skewed(spark)
-    assert seq.hot_cells(df, "e", ["d", "row"], sizes=df.select("e").filter("e > 100")) == []
+    assert skew.hot_cells(df, "e", ["d", "row"], heavy=skew.oversized(df.select("e").filter("e > 100"), "e")) == []
 
 
 # ---- one row per entity, group ends ----------------------------------------

@@ -77,7 +77,12 @@ def supplier_numbered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def heavy_suppliers(spark: SparkSession, folder: str) -> DataFrame | None:
-    return oversized(table(spark, folder, "lineitem"), "l_suppkey")
+    lines = table(spark, folder, "lineitem")
+    return oversized(lines, "l_suppkey", rows_of=lines)
+
+
+def heavy_customers(log: DataFrame, folder: str) -> DataFrame | None:
+    return oversized(log, "o_custkey", rows_of=table(log.sparkSession, folder, "lineitem"))
 
 
 LOG = """log AS (
@@ -117,7 +122,8 @@ GATES = {"first_10": 10, "post_10": 40, "first_40": 40, "post_40": 60, "career":
 
 def customer_careers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer: totals, means before and after 10 and 40 lines, rank, grades."""
-    log = number_events(line_log(spark, folder), "o_custkey", ORDER, "num")
+    log = line_log(spark, folder)
+    log = number_events(log, "o_custkey", ORDER, "num", heavy_customers(log, folder))
     out = milestone_means(log, "o_custkey", "num", split_columns("x", [10, 40]), [
         F.count(F.lit(1)).alias("total"), F.avg("x").alias("career"), F.min("d").alias("debut"), F.max("d").alias("last_day")])
     latest = balance_ranking(table(spark, folder, "customer"), "c_custkey", "c_acctbal")

@@ -9,9 +9,8 @@ from ..operators import classify
 from ..operators.classify import grade, inverted_grade
 from ..operators.resolve import attach_person
 from ..operators.sequence import milestone_means, split_columns
-from ..operators.skew import oversized
 from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql,
-                   heavy_suppliers, line_log,
+                   heavy_customers, heavy_suppliers, line_log,
                    numbered_sql, query, ranking_sql, rounded_sql, supplier_numbered, table)
 
 # Both roles keyed alike: returned lines by supplier, all lines by customer.
@@ -46,7 +45,7 @@ def role_flags(spark, folder):
     s_flags = classify.role_flags(roles, "k", "a_total", "supplier_out", "Pitcher")
     c_flags = classify.role_flags(roles, "k", "b_total", "customer_out", "Batter")
     flagged = classify.attach_flags(log, s_flags, "l_suppkey", "k", heavy_suppliers(spark, folder))
-    flagged = classify.attach_flags(flagged, c_flags, "o_custkey", "k", oversized(log, "o_custkey"))
+    flagged = classify.attach_flags(flagged, c_flags, "o_custkey", "k", heavy_customers(log, folder))
     return classify.drop_out_of_role(flagged, "customer_out").select(*LINE_KEY, "o_custkey", "supplier_out")
 
 
@@ -57,7 +56,7 @@ def attach_person_two_roles(spark, folder):
     out = attach_person(log, table(spark, folder, "supplier"), "l_suppkey", "s_suppkey", "S_", ["s_name", "s_nationkey"],
                         heavy_suppliers(spark, folder))
     return attach_person(out, table(spark, folder, "customer"), "o_custkey", "c_custkey", "C_", ["c_name", "c_mktsegment"],
-                         oversized(log, "o_custkey"))
+                         heavy_customers(log, folder))
 
 
 # ---- supplier grades: the flagship -----------------------------------------

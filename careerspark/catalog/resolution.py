@@ -12,7 +12,7 @@ from ..operators.profiling import unresolved as unresolved_names
 from ..operators.report import debut_rate as rate
 from ..operators.report import last_listed as last
 from ..operators.resolve import Correction, Step
-from .base import query, table
+from .base import query, saved, table
 
 # Yearly lists of the 100 customers with the largest order totals; names of one segment are written in capitals.
 LISTS = """totals AS (SELECT o_custkey, year(o_orderdate) AS y, sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS cents FROM orders GROUP BY ALL),
@@ -23,15 +23,16 @@ lists AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_n
 
 
 def yearly_lists(spark, folder):
+    """Written once, like any input list: the steps below read it several times."""
     totals = table(spark, folder, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(
         F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")).alias("cents"))
     w = Window.partitionBy("y").orderBy(F.col("cents").desc(), "o_custkey")
     placed = totals.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 100)
     listed = placed.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     shouted = F.when(F.col("c_mktsegment") == "BUILDING", F.upper("c_name")).otherwise(F.col("c_name"))
-    return listed.select(shouted.alias("name"), "rank", year_date("y").alias("year"),
+    return saved(listed.select(shouted.alias("name"), "rank", year_date("y").alias("year"),
                          F.when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2).alias("position"),
-                         F.when(F.col("c_nationkey") == 24, F.col("c_custkey")).alias("id"))
+                         F.when(F.col("c_nationkey") == 24, F.col("c_custkey")).alias("id")), "lists")
 
 
 # ---- the cascade -----------------------------------------------------------

@@ -8,8 +8,8 @@ from ..functions.scalars import years_from_weeks
 from ..operators import sequence as seq
 from ..operators.report import occurrence_rate
 from ..operators.stats import exact_quantiles as quantiles
-from ..operators.skew import join_back, oversized
-from .base import (LINE_KEY, LOG, ORDER, ORDER_SQL, heavy_suppliers, line_log, numbered_sql, query, rounded_sql, six, supplier_numbered,
+from ..operators.skew import join_back
+from .base import (LINE_KEY, LOG, ORDER, ORDER_SQL, heavy_customers, heavy_suppliers, line_log, numbered_sql, query, rounded_sql, six, supplier_numbered,
                    table)
 
 EVENT_ORDER = ["ts", "event_id"]
@@ -67,7 +67,7 @@ def number_two_roles(spark, folder):
     log = line_log(spark, folder)
     first = seq.annotate(log, "l_suppkey", ORDER, number="supplier_num", size="supplier_total",
                          heavy=heavy_suppliers(spark, folder))
-    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total", heavy=oversized(log, "o_custkey"))
+    both = seq.annotate(first, "o_custkey", ORDER, number="customer_num", size="customer_total", heavy=heavy_customers(log, folder))
     return both.select(*LINE_KEY, "o_custkey", "supplier_num", "customer_num", "supplier_total", "customer_total")
 
 

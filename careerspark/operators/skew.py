@@ -36,14 +36,18 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS)))
 
 
-def oversized(df: DataFrame, keys: str | Sequence[str]) -> DataFrame | None:
+def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | None = None) -> DataFrame | None:
     """Keys of the groups with too many rows for one task, as a small literal table; None when there are none.
 
     One pass over the key columns, counted in each task before the shuffle. At most ``rows / maxGroupRows`` groups
     qualify and no more than ``MAX_HOT_GROUPS`` are taken, so fetching and broadcasting them is bounded. Count the
     cheapest table that has the keys, such as a log before its joins, and use the answer for several operators.
+    ``rows_of`` is a stored table with at least as many rows as ``df``: when it is small as a whole, which its files
+    tell without being read, nothing needs to be counted by key.
     """
     keys = key_list(keys)
+    if rows_of is not None and rows_of.count() <= group_limit(df):
+        return None
     found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit(df))
              .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS).select(*keys).collect())
     if not found:

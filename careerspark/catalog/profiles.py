@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import weeks_between
 from ..operators import profiling
 from ..operators.profiling import QUANTILES
 from .base import query, rounded_sql, six, table
@@ -63,13 +64,14 @@ def date_range(spark, folder):
 
 
 @query("""WITH o AS (SELECT event_type, min(value) AS min_value, max(value) AS max_value FROM events WHERE value <> 0 GROUP BY event_type),
-a AS (SELECT event_type, CAST(0.02 AS DOUBLE) AS allowed_low, max(value) AS allowed_high FROM events WHERE user_id < 100 GROUP BY event_type)
+a AS (SELECT event_type, CAST(0.02 AS DOUBLE) AS allowed_low, max(value) AS allowed_high FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY event_type)
 SELECT o.event_type, min_value, max_value, allowed_low, allowed_high FROM o JOIN a ON o.event_type = a.event_type WHERE min_value < allowed_low OR max_value > allowed_high""")
 def range_violations(spark, folder):
-    """Event types whose values leave the range seen for the first users."""
+    """Event types whose values leave the range seen in the first half of the month."""
     events = table(spark, folder, "events")
     observed = profiling.ranges(events, ["value"], ["event_type"], F.col("value") != 0)
-    allowed = events.filter(F.col("user_id") < 100).groupBy("event_type").agg(F.lit(0.02).alias("allowed_low"), F.max("value").alias("allowed_high"))
+    early = events.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    allowed = early.groupBy("event_type").agg(F.lit(0.02).alias("allowed_low"), F.max("value").alias("allowed_high"))
     return profiling.range_violations(observed, allowed, ["event_type"], "min_value", "max_value")
 
 
@@ -118,7 +120,6 @@ def inspect(spark, folder):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, gap FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) / 7.0 AS gap
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE NOT (gap BETWEEN -100 AND 200)""")
 def gap_outliers(spark, folder):
-    from ..functions.scalars import weeks_between
     lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     gaps = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", weeks_between("l_shipdate", "o_orderdate").alias("gap"))
     return profiling.gap_outliers(gaps, "gap", -100, 200)

@@ -39,9 +39,23 @@ def ols(spark, folder):
     return six(stats.ols(_careers(spark, folder), "first_10", "post_10", ["ranked"]), "slope", "intercept", "r2")
 
 
-@query(None)
+BAND = f"""WITH RECURSIVE {CAREERS}, s AS (SELECT ranked, CAST(count(*) AS DOUBLE) AS n, count(*) - 2.0 AS dof, avg(first_10) AS mx, avg(post_10) AS my,
+    regr_sxx(post_10, first_10) AS sxx, regr_syy(post_10, first_10) AS syy, regr_sxy(post_10, first_10) AS sxy,
+    min(first_10) AS lo_x, max(first_10) AS hi_x FROM careers WHERE {WHERE_SQL} GROUP BY ranked HAVING count(*) > 2),
+whole AS (SELECT ranked, CAST(dof AS DOUBLE) AS dof, {SIMPSON.format(a='0.0')} * 0.05 AS target FROM s),
+search AS (SELECT ranked, dof, target, CAST(0.0 AS DOUBLE) AS lo, pi() / 2 AS hi, 0 AS i FROM whole
+  UNION ALL SELECT ranked, dof, target, CASE WHEN {SIMPSON.format(a='((lo + hi) / 2)')} > target THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN {SIMPSON.format(a='((lo + hi) / 2)')} > target THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM search WHERE i < 50),
+q AS (SELECT ranked, tan((lo + hi) / 2) * sqrt(dof) AS tq FROM search WHERE i = 50),
+g AS (SELECT s.*, tq, point, lo_x + (hi_x - lo_x) * point / 79.0 AS x, sqrt(greatest(syy - sxy / sxx * sxy, 0.0) / (n - 2.0)) AS se
+      FROM s JOIN q ON s.ranked = q.ranked CROSS JOIN (SELECT unnest(range(0, 80)) AS point)),
+b AS (SELECT *, my + sxy / sxx * (x - mx) AS fit, tq * se * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx) AS half FROM g)"""
+
+
+@query(f"""{BAND} SELECT ranked, CAST(point AS INTEGER) AS point, {rounded_sql("x", 6)} AS x, {rounded_sql("fit", 6)} AS fit,
+{rounded_sql("fit - half", 6)} AS lower, {rounded_sql("fit + half", 6)} AS upper FROM b""")
 def ols_band(spark, folder):
-    """Needs a quantile of the t distribution, which the SQL side has no function for: checked against a table in the tests."""
+    """The t quantile of the SQL side is found by bisection in a recursive query."""
     return six(stats.ols_band(_careers(spark, folder), "first_10", "post_10", ["ranked"]), "x", "fit", "lower", "upper")
 
 
@@ -73,7 +87,7 @@ FROM g GROUP BY {by}, point"""
 
 
 @query(kde_sql(value="diff_10", by="ranked", where="total >= 20 AND diff_10 BETWEEN -0.15 AND 0.15", limits="SELECT -0.15 AS lo, 0.15 AS hi"))
-def kde_difference(spark, folder):
+def kde(spark, folder):
     """Density of the before/after difference inside fixed limits."""
     careers = saved(_careers(spark, folder).select("ranked", "diff_10"), "differences")
     return six(stats.kde(careers, "diff_10", ["ranked"], limits=(-0.15, 0.15)), "x", "density")

@@ -7,7 +7,7 @@ aggregate. Ages need no join to the log, because a mean age is a mean date minus
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +63,12 @@ def _milestones(step: int, cuts: tuple[int, ...]) -> dict:
 
 
 def _careers(log: DataFrame, heavy: DataFrame | None, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
-             extra: list[Column]) -> DataFrame:
+             extra: list[Column], order: Sequence[str]) -> DataFrame:
     key, name = f"{role}_ID", f"{role}_NAME"
-    numbered = number_events(log, key, ORDER, "_num", heavy).withColumn("_day", F.unix_date("DATE"))
+    numbered = number_events(log, key, order, "_num", heavy).withColumn("_day", F.unix_date("DATE"))
     columns = _milestones(step, cuts)
     careers = milestone_means(numbered, key, "_num", columns, [
-        F.max_by(F.col(name), F.struct(*ORDER)).alias(name), F.avg("EVENT_WOBA").alias(f"CAREER_WOBA_{role}"),
+        F.max_by(F.col(name), F.struct(*order)).alias(name), F.avg("EVENT_WOBA").alias(f"CAREER_WOBA_{role}"),
         F.count(F.lit(1)).alias(total), *extra])
     dated = attach_person(careers, people, key, "PLAYERID", f"{role}_", ["BIRTHDATE", "PLAY_DEBUT", "PLAY_LASTGAME"], heavy=None)
     ages = [c for c in columns if c.endswith("_AGE")]
@@ -95,12 +95,12 @@ def _ranked(df: DataFrame, latest: DataFrame | None, key: str) -> DataFrame:
         "PROSPECT_RANK_GROUP": rank_group("PROSPECT_RANK"), "TOP_100_PROSPECT": ranked_flag("PROSPECT_RANK")})
 
 
-def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None) -> DataFrame:
-    """One row per batter. ``latest`` is the ranking in force at debut."""
+def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, order: Sequence[str] = ORDER) -> DataFrame:
+    """One row per batter. ``latest`` is the ranking in force at debut, ``order`` the total order of the log."""
     log = measured(plays)
     heavy = oversized(log, "BAT_ID")
     own = role_log(log, player_roles(log), people, "BAT_ID", "TOTAL_PA_WOBA", "Pitcher", heavy)
-    out = _careers(own, heavy, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [])
+    out = _careers(own, heavy, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [], order)
 
     def graded(value: str, gate: str) -> Column:
         return grade(value, total="CAREER_TOTAL_PA", min_total=BATTER_GATES[gate])
@@ -115,14 +115,15 @@ def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None
     return _ranked(out, latest, "BAT_ID")
 
 
-def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, null_policy: str = "skip") -> DataFrame:
+def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, null_policy: str = "skip",
+             order: Sequence[str] = ORDER) -> DataFrame:
     """One row per pitcher, lower rates graded better. ``null_policy`` applies to the workload fields."""
     log = measured(plays)
     heavy = oversized(log, "PIT_ID")
     own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter", heavy)
     out = _careers(own, heavy, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
         mean_of("PITCH_COUNT_FINAL", null_policy).alias("AVG_PIT_COUNT"), min_of("INNING", null_policy).alias("IP_MIN"),
-        mean_of("PIT_REST", null_policy).alias("AVG_DAYS_REST"), mean_of("INNING", null_policy).alias("IP_MEAN")])
+        mean_of("PIT_REST", null_policy).alias("AVG_DAYS_REST"), mean_of("INNING", null_policy).alias("IP_MEAN")], order)
     out = workload_class(out, "AVG_PIT_COUNT", "IP_MIN", "IP_MEAN", "PITCHER_TYPE")
     out = round_cols(out, ["AVG_PIT_COUNT", "AVG_DAYS_REST", "IP_MEAN"], 1)
     starter = F.col("PITCHER_TYPE") == "STARTER"

@@ -106,4 +106,4 @@ def published_batters(spark, folder):
 def published_pitchers(spark, folder):
     plays = _plays(spark, folder)
     nobody = spark.createDataFrame([], "ID string, PROSPECT_RANK int")
-    return players.publish_players(players.pitchers(plays, _people(plays), nobody, order=ORDER), "PIT")
+    return players.publish_players(players.pitchers(plays, _people(plays), nobody, "skip", ORDER), "PIT")

@@ -78,7 +78,7 @@ def resolve_step(df: DataFrame, people: DataFrame, name: str, id: str, person_na
     """Left join on the name, then fill missing IDs. Names with several IDs give several rows."""
     side = (people if where is None else people.filter(where)).select(
         F.col(person_name).alias("_name"), F.col(person_id).alias("_id")).distinct()
-    return (df.join(side, (F.col(name) == F.col("_name")) & F.col(id).isNull(), "left")
+    return (lookup_join(df, side, {name: "_name"}, where=F.col(id).isNull(), unique=False)
             .withColumn(id, F.coalesce(F.col(id), F.col("_id"))).drop("_name", "_id"))
 
 
@@ -117,17 +117,17 @@ def resolve_cascade(df: DataFrame, steps: Sequence[Step], *, name: str, id: str,
         raise ValueError("aliased steps come last")
     out = df.withColumn(step_out, F.when(F.col(id).isNotNull(), F.lit(0)))
     if raw:
-        out = _fill(out, _candidates(raw, on_ambiguous), name, id, step_out)
+        out = _fill(out, _candidates(raw, on_ambiguous), name, id, step_out, on_ambiguous == "first")
     if corrected:
         fixed = out.withColumn("_fixed", F.col(name)) if aliases is None else apply_aliases(out, aliases, name, "_fixed")
         fixed = fixed.withColumn(name, F.when(F.col(id).isNull(), F.col("_fixed")).otherwise(F.col(name))).drop("_fixed")
-        out = _fill(fixed, _candidates(corrected, on_ambiguous), name, id, step_out)
+        out = _fill(fixed, _candidates(corrected, on_ambiguous), name, id, step_out, on_ambiguous == "first")
     return out
 
 
-def _fill(df: DataFrame, found: DataFrame, name: str, id: str, step_out: str) -> DataFrame:
+def _fill(df: DataFrame, found: DataFrame, name: str, id: str, step_out: str, unique: bool) -> DataFrame:
     side = found.withColumnRenamed("_step", "_by")
-    return (df.join(side, (F.col(name) == F.col("_name")) & F.col(id).isNull(), "left")
+    return (lookup_join(df, side, {name: "_name"}, where=F.col(id).isNull(), unique=unique)
             .withColumns({id: F.coalesce(F.col(id), F.col("_id")), step_out: F.coalesce(F.col(step_out), F.col("_by"))})
             .drop("_name", "_id", "_by"))
 
@@ -213,7 +213,7 @@ def refresh_ids(rankings: DataFrame, update: DataFrame, *, name: str, id: str, y
     side = (update.filter(F.col(update_id).isNotNull() & ~F.col(update_name).isin(list(exclude)))
             .select(F.col(update_name).alias("_name"), F.col(update_id).alias("_id"), F.col(update_debut).alias("_debut"))
             .join(open_names, "_name", "left_semi"))
-    filled = (rankings.join(side, F.col(name) == F.col("_name"), "left")
+    filled = (lookup_join(rankings, side, {name: "_name"}, unique=False)
               .withColumns({id: F.coalesce(F.col(id), F.col("_id")), debut: F.coalesce(F.col(debut), F.col("_debut"))})
               .drop("_name", "_id", "_debut"))
     late = F.col(debut) > date_lit(gap_null_after)

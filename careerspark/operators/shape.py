@@ -68,11 +68,12 @@ def complete_grid(df: DataFrame, levels: Mapping[str, Sequence], fill: Mapping[s
 def share(df: DataFrame, n: str, out: str = "share", by: Sequence[str] | None = None) -> DataFrame:
     """Share of the grand total, or of the total of a group.
 
-    Totals are aggregated and joined back (one row, or one row per group) rather than gathered in one window.
+    ``df`` is a table of counts, so its groups are short. Totals are aggregated and joined back (one row, or one row
+    per group) rather than gathered in one window.
     """
     if not by:
         total = df.select(F.sum(n)).scalar()
         return df.withColumn(out, F.try_divide(F.col(n).cast("double"), total.cast("double")))
     totals = df.groupBy(*by).agg(F.sum(n).alias("_total"))
-    return join_back(df, totals, list(by)).withColumn(
+    return join_back(df, totals, list(by), heavy=None).withColumn(
         out, F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double"))).drop("_total")

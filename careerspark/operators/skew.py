@@ -19,6 +19,7 @@ MAX_GROUP_ROWS = 5_000_000
 MAX_HOT_GROUPS = 100_000    # groups beyond these each hold under 1/100,000 of the log
 MAX_CELLS = 100_000         # per level; with the levels, the bound of the broadcast ledger
 MAX_LEVELS = 4
+SALTS = 64                  # parts of an oversized key in a join of many to many
 CELLS_PER_TASK_SHARE = 8    # finer than needed, because events are not spread evenly over the range
 
 
@@ -67,26 +68,35 @@ def _matching(keys: Sequence[str]) -> Column:
 
 
 def lookup_join(df: DataFrame, side: DataFrame, on: dict[str, str], how: str = "left", null_safe: bool = False,
-                heavy: DataFrame | None | str = AUTO) -> DataFrame:
-    """Joins a table that has at most one row per key; ``on`` is ``{column of df: column of side}``.
+                heavy: DataFrame | None | str = AUTO, where: Column | None = None, unique: bool = True) -> DataFrame:
+    """Equality join with a smaller table; ``on`` is ``{column of df: column of side}``, ``where`` a further condition.
 
-    Rows with ordinary keys are joined as the planner sees fit. Rows with oversized keys, a missing key among
-    them, stay where they are and meet a broadcast of the few side rows of these keys, one per key at most.
+    Rows with ordinary keys are joined as the planner sees fit. Rows with oversized keys, a missing key among them,
+    are kept apart. When the side has at most one row per key, they stay where they are and meet a broadcast of the
+    few side rows of these keys. Otherwise (``unique=False``) they are spread over ``SALTS`` parts of their key, and
+    the side rows of these keys are repeated for each part.
     """
     keys = list(on)
     if isinstance(heavy, str):
         heavy = oversized(df, keys)
-    cond = F.lit(True)
+    cond = F.lit(True) if where is None else where
     for mine, theirs in on.items():
         cond = cond & (F.col(mine).eqNullSafe(F.col(theirs)) if null_safe else F.col(mine) == F.col(theirs))
     if heavy is None:
         return df.join(side, cond, how)
     hot = F.broadcast(heavy)
-    theirs = F.lit(True)
-    for mine, key in on.items():
-        theirs = theirs & F.col(key).eqNullSafe(F.col(f"_hot_{mine}"))
-    few = F.broadcast(side.join(hot, theirs, "left_semi"))
-    inside = df.join(hot, _matching(keys), "left_semi").join(few, cond, how)
+    of_hot_key = F.lit(True)
+    for mine, theirs in on.items():
+        of_hot_key = of_hot_key & F.col(theirs).eqNullSafe(F.col(f"_hot_{mine}"))
+    rows, few = df.join(hot, _matching(keys), "left_semi"), side.join(hot, of_hot_key, "left_semi")
+    if unique:
+        inside = rows.join(F.broadcast(few), cond, how)
+    else:
+        # Decided by content and partition, not by chance: a part that is computed again gives the same salts.
+        content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(SALTS)).cast("int"))
+        few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        inside = rows.join(few, cond & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
     outside = df.join(hot, _matching(keys), "left_anti").join(side, cond, how)
     return inside.unionByName(outside)
 

@@ -118,7 +118,7 @@ def bandwidth(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     values = _grouped(df, by).filter(F.col(x).isNotNull()).withColumn(x, F.col(x).cast("double"))
     basics = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("_sd"),
                                      F.max(F.abs(F.col(x))).alias("_size"))
-    both = join_back(basics, exact_quantiles(values, x, {"_q1": 0.25, "_q3": 0.75}, keys), keys)
+    both = join_back(basics, exact_quantiles(values, x, {"_q1": 0.25, "_q3": 0.75}, keys), keys, heavy=None)
     spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
     spread = (F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd"))
               .when(F.col("_size") > 0, F.col("_size")).otherwise(F.lit(1.0)))
@@ -150,7 +150,7 @@ def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, floa
     binned = (placed.withColumn("_p", place).withColumn("_b", F.floor("_p")).groupBy(*keys, "_b")
               .agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col("_p") - F.col("_b")).alias("_up"),
                    F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")))
-    at = join_back(binned, width, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+    at = join_back(binned, width, keys, heavy=None).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(float(n - 1)))
 
     def kernel(position: Column) -> Column:

@@ -21,7 +21,6 @@ PLAYS = _schema(
     row_idx=_L, GAME_ID=_S, PARK=_S, DATE=_DATE, HOME_TEAM_ID=_S, AWAY_TEAM_ID=_S, INNING=_I, BAT_HOME_IND=_I,
     BAT_ID=_S, BAT_NAME=_S, FIELD_POS=_I, PIT_ID=_S, PIT_NAME=_S, EVENT_TX=_S, HIT_VAL=_I, EVENT_RUNS=_I,
     EVENT_WOBA=_D, PA_IND=_B, WOBA_APP=_B, PITCH_COUNT_FINAL=_I, PIT_REST=_I)
-PLAYS_DATES = {"DATE": "yyyyMMdd"}
 
 PEOPLE = _schema(
     PLAYERID=_S, NICKNAME=_S, LAST=_S, BIRTHDATE=_DATE, PLAY__DEBUT=_DATE, PLAY__LASTGAME=_DATE, MGR__DEBUT=_DATE,
@@ -39,9 +38,9 @@ RANKINGS = _schema(
     POSITION_4=_D, POSITION_5=_D, MLB_DEBUT=_S)
 
 
-def read_plays(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_plays(spark: SparkSession, path: str, columns: list[str] | None = None, date_format: str = "yyyyMMdd") -> DataFrame:
     """Play log. Pass the file's full column list when it has more columns than the ones used here."""
-    return _read(spark, path, PLAYS, PLAYS_DATES, columns)
+    return _read(spark, path, PLAYS, {"DATE": date_format}, columns)
 
 
 def read_people(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -115,9 +115,13 @@ def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None
     return _ranked(out, latest, "BAT_ID")
 
 
-def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, null_policy: str = "skip",
+def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, null_policy: str = "propagate",
              order: Sequence[str] = ORDER) -> DataFrame:
-    """One row per pitcher, lower rates graded better. ``null_policy`` applies to the workload fields."""
+    """One row per pitcher, lower rates graded better.
+
+    ``null_policy`` applies to the workload fields: a pitcher with one unknown pitch count has no mean pitch count,
+    and is classed by innings. ``skip`` takes the mean of the known ones.
+    """
     log = measured(plays)
     heavy = oversized(log, "PIT_ID")
     own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter", heavy)

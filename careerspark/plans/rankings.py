@@ -25,7 +25,8 @@ def prepared(rankings: DataFrame, general_aliases: Mapping[str, str] = GENERAL_A
 def resolved_rankings(rankings: DataFrame, people: DataFrame, batters: DataFrame, pitchers: DataFrame,
                       aliases: Mapping[str, str] = ALIASES, id_by_name: Mapping[str, str] = ID_BY_NAME,
                       corrections: Sequence[Correction] = CORRECTIONS) -> DataFrame:
-    """Rankings with IDs, debut dates and the weeks from debut to ranking.
+    """Rankings with IDs, debut dates and the weeks from debut to ranking. ``people`` is the whole people table, not
+    only those who began in the period.
 
     Sources in order: the ID that was given, batters, pitchers, people who began after the play log ends, and with
     corrected names all people since the late eighties.

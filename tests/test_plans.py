@@ -205,3 +205,13 @@ def test_checks(spark, league):
 def test_fixed_values_are_consistent():
     assert len(ALIASES) == 48 and not any(a == b for a, b in ALIASES.items())
     assert len(CORRECTIONS) == 21
+
+
+def test_unknown_pitch_counts(spark, league):
+    """One unknown count leaves no mean; the innings then decide. Skipping takes the known ones."""
+    plays = league["plays"].withColumn("PITCH_COUNT_FINAL", F.when(~((F.col("PIT_ID") == "pit00") & (F.col("INNING") == 9)), F.col("PITCH_COUNT_FINAL")))
+    strict = {r.PIT_ID: r for r in players.pitchers(plays, league["people"]).collect()}
+    loose = {r.PIT_ID: r for r in players.pitchers(plays, league["people"], null_policy="skip").collect()}
+    assert (strict["pit00"].AVG_PIT_COUNT, strict["pit00"].PITCHER_TYPE) == (None, "OTHER")
+    assert (loose["pit00"].AVG_PIT_COUNT, loose["pit00"].PITCHER_TYPE) == (90.0, "STARTER")
+    assert strict["pit00"].FIRST_860_WOBA_GRADE_SP is None and strict["pit01"].PITCHER_TYPE == "STARTER"

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from careerspark.operators.skew import MAX_GROUP_ROWS_CONF
 from oracle import compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,6 +18,17 @@ def test_query(spark, name):
         assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+@pytest.mark.parametrize("name", ["annotated_supplier_log", "number_two_roles", "role_flags", "crosstab_row_percent", "kde_career",
+                                  "resolve_cascade", "refresh_ids", "debut_rate", "profile", "published_pitchers"])
+def test_query_with_groups_cut(spark, name):
+    """With every group over 20 rows taken for oversized, the rows are the same."""
+    spark.conf.set(MAX_GROUP_ROWS_CONF, "20")
+    try:
+        assert compare(spark, QUERIES[name], SQL[name], FOLDER)[:3] == []
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -117,13 +117,15 @@ def test_small_groups_are_not_cut(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-@pytest.mark.parametrize("null_safe", [False, True])
-def test_joins_around_oversized_keys(spark, small_groups, how, null_safe):
+@pytest.mark.parametrize("null_safe,unique", [(False, True), (True, True), (False, False)])
+def test_joins_around_oversized_keys(spark, small_groups, how, null_safe, unique):
     df = skewed(spark)
     side = df.filter("e IS NULL OR e % 2 = 1").groupBy("e").agg(F.sum("x").alias("total")).withColumnRenamed("e", "k")
+    if not unique:
+        side = side.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3))))
     assert skew.oversized(df, "e").count() > 1
-    cut = skew.lookup_join(df, side, {"e": "k"}, how, null_safe)
-    plain = skew.lookup_join(df, side, {"e": "k"}, how, null_safe, heavy=None)
+    cut = skew.lookup_join(df, side, {"e": "k"}, how, null_safe, where=F.col("x") > 0, unique=unique)
+    plain = skew.lookup_join(df, side, {"e": "k"}, how, null_safe, heavy=None, where=F.col("x") > 0)
     assert cut.columns == plain.columns and sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
 

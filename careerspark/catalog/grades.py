@@ -8,10 +8,10 @@ from ..config import GRADE_LEVELS
 from ..operators import classify
 from ..operators.classify import grade, inverted_grade
 from ..operators.resolve import attach_person
-from ..operators.sequence import milestone_means, split_columns
+from ..operators.sequence import entity_totals, milestone_means, split_columns
 from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql,
-                   heavy_customers, heavy_suppliers, line_log,
-                   numbered_sql, query, ranking_sql, rounded_sql, supplier_numbered, table)
+                   heavy_customers, heavy_suppliers, line_log, measure, numbered_sql, query, ranking_sql, rounded_sql,
+                   saved, supplier_numbered, table)
 
 # Both roles keyed alike: returned lines by supplier, all lines by customer.
 ROLES = f"""{LOG}, a AS (SELECT l_suppkey AS k, count(*) AS a_total, avg(x) AS a_mean FROM log WHERE l_returnflag = 'R' GROUP BY l_suppkey),
@@ -24,16 +24,16 @@ roles AS (SELECT k, a_total, a_mean, b_total, b_mean, ratio,
 
 
 def _roles(spark, folder):
-    log = line_log(spark, folder)
-    a = log.filter(F.col("l_returnflag") == "R").groupBy(F.col("l_suppkey").alias("k")).agg(
-        F.count(F.lit(1)).alias("a_total"), F.avg("x").alias("a_mean"))
-    b = log.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("b_total"), F.avg("x").alias("b_mean"))
-    return log, classify.role_ratio(a, b, "k", "a_total", "b_total")
+    """Supplier totals need no join: every line has its order."""
+    returned = table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R").withColumn("x", measure())
+    a = entity_totals(returned, "l_suppkey", "x", "a_total", "a_mean").withColumnRenamed("l_suppkey", "k")
+    b = entity_totals(line_log(spark, folder), "o_custkey", "x", "b_total", "b_mean").withColumnRenamed("o_custkey", "k")
+    return classify.role_ratio(a, b, "k", "a_total", "b_total")
 
 
 @query(f"WITH {ROLES} SELECT k, a_total, a_mean, b_total, b_mean, ratio, role FROM roles")
 def role_ratio(spark, folder):
-    return _roles(spark, folder)[1]
+    return _roles(spark, folder)
 
 
 @query(f"""WITH {ROLES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, s.role = 'Pitcher' AS supplier_out
@@ -41,7 +41,7 @@ FROM log JOIN roles s ON l_suppkey = s.k JOIN roles c ON o_custkey = c.k
 WHERE s.a_total >= 1 AND c.b_total >= 1 AND NOT c.role = 'Batter'""")
 def role_flags(spark, folder):
     """Lines flagged by the role of their supplier, without customers that are out of their role."""
-    log, roles = _roles(spark, folder)
+    log, roles = line_log(spark, folder), saved(_roles(spark, folder), "roles")
     s_flags = classify.role_flags(roles, "k", "a_total", "supplier_out", "Pitcher")
     c_flags = classify.role_flags(roles, "k", "b_total", "customer_out", "Batter")
     flagged = classify.attach_flags(log, s_flags, "l_suppkey", "k", heavy_suppliers(spark, folder))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import GRADES, HIGHER_IS_BETTER, LOWER_IS_BETTER
+from ..config import GRADES
 from ..functions.scalars import round_half_up
 from ..operators.classify import grade, rank_group, ranked_flag
 from ..operators.resolve import attach_ranking
@@ -143,6 +143,12 @@ def grade_sql(value: str, total: str | None = None, gate: int | None = None, inv
     return f"CASE {gate_branch}WHEN ({value}) IS NULL THEN NULL {' '.join(branches)} ELSE '{g[-1]}' END"
 
 
+def simple_sql(g: str, dnq: str) -> str:
+    """CASE expression of a simple grade; ``dnq`` is what not qualifying counts as."""
+    return f"""CASE WHEN {g} IN ('Elite', 'Great', 'Good') THEN 'Good' WHEN {g} = 'Average' THEN 'Average'
+      WHEN {g} IN ('Below Average', 'Poor', 'Awful') THEN 'Bad' WHEN {g} = 'DNQ' THEN '{dnq}' END"""
+
+
 RANK_GROUP_SQL = """CASE WHEN rank IS NULL THEN 'Unranked' WHEN rank BETWEEN 1 AND 25 THEN '1 - 25'
   WHEN rank BETWEEN 26 AND 50 THEN '26 - 50' WHEN rank BETWEEN 51 AND 75 THEN '51 - 75'
   WHEN rank BETWEEN 76 AND 100 THEN '76 - 100' END"""

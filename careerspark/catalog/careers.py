@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import BATTER_CUTS, GRADES, PITCHER_CUTS
+from ..config import BATTER_CUTS, PITCHER_CUTS
 from ..functions.scalars import date_lit
 from ..plans import players
-from .base import LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, line_log, query, ranking_sql, rounded_sql, saved, table
+from .base import (LINE_KEY, LOG, ORDER_SQL, RANK_GROUP_SQL, balance_ranking, grade_sql, line_log, query, ranking_sql,
+                   rounded_sql, saved, simple_sql, table)
 
 ORDER = ["DATE", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-ORDER_SQL = "d, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 
 
 def _plays(spark, folder):
@@ -48,25 +48,13 @@ def _means_sql(cuts) -> str:
     return "count(*) AS total, avg(x) AS career, any_value(name) AS name, " + ", ".join(parts)
 
 
-def _grade(value: str, gate: int, lower: bool, scope: str = "true") -> str:
-    names = list(reversed(GRADES)) if lower else list(GRADES)
-    milli = f"floor({value} * 1000.0 + 0.5)"
-    steps = " ".join(f"WHEN {milli} >= {b} THEN '{g}'" for b, g in zip((400, 370, 340, 320, 310, 291), names))
-    return f"CASE WHEN NOT ({scope}) THEN NULL WHEN total < {gate} THEN 'DNQ' WHEN {value} IS NULL THEN NULL {steps} ELSE '{names[-1]}' END"
-
-
-def _simple(g: str, dnq: str) -> str:
-    return f"""CASE WHEN {g} IN ('Elite', 'Great', 'Good') THEN 'Good' WHEN {g} = 'Average' THEN 'Average' WHEN {g} = 'DNQ' THEN '{dnq}'
-      WHEN {g} IS NOT NULL THEN 'Bad' END"""
-
-
 def _published_sql(role: str, key: str, name: str, cuts, extra: str, ranking: str, kind: str, grades: dict, step: int, workload: list[str]) -> str:
     """``grades`` is {published name: (rounded mean, gate, scope, what not qualifying means in the simple form)}."""
     total = "CAREER_TOTAL_PA" if role == "BAT" else "CAREER_TOTAL_BF"
     rounded = ", ".join(f"{rounded_sql(f'{c}{n}', 3)} AS r{c}{n}" for n in cuts for c in "fp")
     lower = role == "PIT"
-    graded = ", ".join(f"{_grade(v, gate, lower, scope)} AS {g}" for g, (v, gate, scope, _) in grades.items())
-    simple = ", ".join(f"{g}, {_simple(g, dnq)} AS {g}_SIMPLE" for g, (*_, dnq) in grades.items())
+    graded = ", ".join(f"CASE WHEN {scope} THEN {grade_sql(v, 'total', gate, lower)} END AS {g}" for g, (v, gate, scope, _) in grades.items())
+    simple = ", ".join(f"{g}, {simple_sql(g, dnq)} AS {g}_SIMPLE" for g, (*_, dnq) in grades.items())
     shown = ", ".join(f"rf{n} AS FIRST_{n}_WOBA, rp{n} AS POST_{n}_WOBA" for n in cuts)
     late = 4 * step
     return f"""WITH {LOG}, {_log_sql(key, name)}, {ranking},

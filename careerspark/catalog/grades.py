@@ -11,7 +11,7 @@ from ..operators.resolve import attach_person
 from ..operators.sequence import entity_totals, milestone_means, split_columns
 from .base import (LINE_KEY, LOG, RANK_GROUP_SQL, balance_ranking, careers_query, customer_careers, grade_sql,
                    heavy_customers, heavy_suppliers, line_log, measure, numbered_sql, query, ranking_sql, rounded_sql,
-                   saved, supplier_numbered, table)
+                   saved, simple_sql, supplier_numbered, table)
 
 # Both roles keyed alike: returned lines by supplier, all lines by customer.
 ROLES = f"""{LOG}, a AS (SELECT l_suppkey AS k, count(*) AS a_total, avg(x) AS a_mean FROM log WHERE l_returnflag = 'R' GROUP BY l_suppkey),
@@ -87,12 +87,7 @@ def graded_careers(spark, folder):
     return supplier_grades(spark, folder).groupBy("first_600_grade", "post_600_grade").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _simple(c: str, dnq: str) -> str:
-    return f"""CASE WHEN {c} IN ('Elite', 'Great', 'Good') THEN 'Good' WHEN {c} = 'Average' THEN 'Average'
-      WHEN {c} IN ('Below Average', 'Poor', 'Awful') THEN 'Bad' WHEN {c} = 'DNQ' THEN '{dnq}' END"""
-
-
-@query(careers_query(f"""SELECT o_custkey, {_simple("first_10_grade", "DNQ")} AS first_simple, {_simple("post_10_grade", "Bad")} AS post_simple FROM careers"""))
+@query(careers_query(f"""SELECT o_custkey, {simple_sql("first_10_grade", "DNQ")} AS first_simple, {simple_sql("post_10_grade", "Bad")} AS post_simple FROM careers"""))
 def simple_grades(spark, folder):
     return customer_careers(spark, folder).select(
         "o_custkey", classify.simple_grade("first_10_grade").alias("first_simple"),

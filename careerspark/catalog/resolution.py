@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import date_lit, year_date
+from ..functions.scalars import year_date
 from ..operators import resolve
 from ..operators.classify import rank_group
 from ..operators.profiling import unresolved as unresolved_names

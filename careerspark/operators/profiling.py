@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +17,11 @@ QUANTILES = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
-    """One row per column: type, rows, missing values, distinct values, and by type
+    """One row per column: type, rows, missing and distinct values; lengths and extremes of text; mean, standard
+    deviation and quantiles of numbers; first and last date.
 
-    text lengths and smallest and largest text, or mean, standard deviation and quantiles of numbers, or first
-    and last date. Everything comes from one pass; ``exact`` replaces the approximate distinct counts and
-    quantiles by exact ones, which need a shuffle of each column.
+    Everything comes from one pass. ``exact`` replaces the approximate distinct counts and quantiles by exact ones,
+    which need a shuffle of each column.
     """
     cols = list(cols or df.columns)
     kind = {c: _kind(df.schema[c].dataType) for c in cols}

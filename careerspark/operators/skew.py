@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | Non
 
     One pass over the key columns, counted in each task before the shuffle. At most ``rows / maxGroupRows`` groups
     qualify and no more than ``MAX_HOT_GROUPS`` are taken, so fetching and broadcasting them is bounded. Count the
-    cheapest table that has the keys, such as a log before its joins, and use the answer for several operators.
+    cheapest table with the same key columns, such as a log before its joins, and use the answer for several operators.
     ``rows_of`` is a stored table with at least as many rows as ``df``: when it is small as a whole, which its files
     tell without being read, nothing needs to be counted by key.
     """
@@ -113,8 +114,9 @@ def join_back(df: DataFrame, agg: DataFrame, keys: str | Sequence[str], how: str
 # ---- cutting them ----------------------------------------------------------
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the sort order of the column; NULL for NULL and NaN."""
+def _position(df: DataFrame, name: str) -> Column | None:
+    """A double that never decreases along the sort order of the column; NULL for NULL and NaN. None for types
+    without one."""
     dtype, c = df.schema[name].dataType, F.col(name)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
@@ -129,7 +131,7 @@ def _position(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         value = c.cast("double")
         return F.when(~F.isnan(value), F.greatest(F.lit(-1e300), F.least(F.lit(1e300), value)))
-    raise TypeError(f"cannot split groups along {name}: {dtype.simpleString()}")
+    return None
 
 
 def _matching(keys: Sequence[str]) -> Column:
@@ -147,7 +149,7 @@ def hot_cells(df: DataFrame, entity: str | Sequence[str], order: Sequence[str],
     because events crowd in a part of the range or share a date, are cut again on the next level. The tables are
     pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute a part again.
     """
-    keys, cols = key_list(entity), key_list(order)
+    keys, cols = key_list(entity), _cuttable(df, order)
     groups = oversized(df, keys) if isinstance(heavy, str) else heavy
     path, levels = list(keys), []
     if groups is None:
@@ -168,6 +170,11 @@ def _no_cell() -> Column:
     return F.array().cast("array<bigint>")
 
 
+def _cuttable(df: DataFrame, order: str | Sequence[str]) -> list[str]:
+    """The order columns that groups can be cut along: those before the first one without a position."""
+    return list(takewhile(lambda c: _position(df, c) is not None, key_list(order)))
+
+
 def _level(members: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
     """Range, column and number of the cells of each group; groups that cannot be cut are left out."""
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -211,9 +218,9 @@ def _apply_level(df: DataFrame, keys: list[str], order: list[str], level: DataFr
 
 def with_cells(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame]) -> DataFrame:
     """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut."""
-    out = df.withColumn("_cell", _no_cell())
+    out, cols = df.withColumn("_cell", _no_cell()), _cuttable(df, order)
     for level in levels:
-        out = _apply_level(out, keys, order, level)
+        out = _apply_level(out, keys, cols, level)
     return out
 
 

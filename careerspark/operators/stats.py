@@ -131,7 +131,8 @@ def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, floa
 
     Values outside ``limits`` are left out before anything is computed; without limits the grid spans the values
     of all groups. Values are first shared out between the two nearest of ``bins`` positions, so the kernel is
-    evaluated ``bins x n`` times per group however many rows the group has.
+    evaluated ``bins x n`` times per group however many rows the group has. ``df`` is read several times: save it
+    first if it is costly.
     """
     keys = list(by) or ["_all"]
     values = _grouped(df, by).select(*keys, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())

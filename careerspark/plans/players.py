@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import (BATTER_CUTS, BATTER_GATES, BATTER_STEP, COHORT_AFTER, PITCHER_CUTS, PITCHER_GATES, PITCHER_STEP,
                       PUBLISH_BEFORE, STATUS_CUT)
-from ..functions.scalars import min_of, mean_of, round_half_up, years_from_weeks
+from ..functions.scalars import mean_of, min_of, years_from_weeks
 from ..operators.classify import (grade, inverted_grade, rank_group, ranked_flag, role_flags, role_ratio, simple_grade,
                                   status_at, workload_class)
 from ..operators.report import publish

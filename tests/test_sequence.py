@@ -183,3 +183,11 @@ def test_group_totals_include_missing_keys(spark):
 def test_cohort_is_strict_and_drops_missing_dates(spark):
     df = spark.createDataFrame([(dt.date(1990, 4, 8),), (dt.date(1990, 4, 9),), (None,), (dt.date(2011, 1, 1),)], "d date")
     assert [r.d for r in seq.cohort(df, "d", "1990-04-08", "2011-01-01").collect()] == [dt.date(1990, 4, 9)]
+
+
+def test_order_columns_without_a_position_end_the_cutting(spark, small_groups):
+    df = spark.range(900).select(F.lit(1).alias("e"), (F.col("id") % 3).alias("i"), F.array(F.col("id")).alias("a"))
+    assert len(skew.hot_cells(df, "e", ["i", "a"])) == 1 and skew.hot_cells(df, "e", ["a"]) == []
+    plain = sorted(map(str, seq.number_events(df, "e", ["i", "a"], heavy=None).collect()))
+    assert sorted(map(str, seq.number_events(df, "e", ["i", "a"]).collect())) == plain
+    assert sorted(map(str, seq.number_events(df, "e", ["a"]).collect())) == sorted(map(str, seq.number_events(df, "e", ["a"], heavy=None).collect()))

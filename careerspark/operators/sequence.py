@@ -235,8 +235,8 @@ def _extreme_rows(df: DataFrame, group, col: str, pick, null_policy: str) -> Dat
     keys = key_list(group)
     best = df.groupBy(*keys).agg(pick(col, null_policy).alias("_best")).filter(F.col("_best").isNotNull())
     renamed = best.withColumnsRenamed({k: f"_agg_{k}" for k in keys})
-    on = {**{k: f"_agg_{k}" for k in keys}, col: "_best"}
-    return lookup_join(df.filter(F.col(col).isNotNull()), renamed, on, "left_semi", null_safe=True)
+    return lookup_join(df, renamed, {k: f"_agg_{k}" for k in keys}, "left_semi", null_safe=True,
+                       where=F.col(col) == F.col("_best"))
 
 
 def arg_max_rows(df: DataFrame, group, col: str, null_policy: str = "propagate") -> DataFrame:

@@ -24,7 +24,9 @@ lists AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_n
 
 
 def yearly_lists(spark, folder):
-    """Written once, like any input list: the steps below read it several times."""
+    """Written once, like any input list: the steps below read it several times. A list has 100 rows a year however
+    many orders there are, so those steps need not look for oversized names (``heavy=None``).
+    """
     totals = table(spark, folder, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(
         F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long")).alias("cents"))
     w = Window.partitionBy("y").orderBy(F.col("cents").desc(), "o_custkey")
@@ -59,7 +61,7 @@ def resolved_lists(spark, folder):
         Step(customer, "c_name", "c_custkey", F.col("c_nationkey") < 8),
         Step(customer, "c_name", "c_custkey", F.col("c_nationkey").between(8, 12)),
         Step(customer, "c_name", "c_custkey", F.col("c_acctbal") > 1000, aliased=True)],
-        name="name", id="id", aliases=_aliases(spark, folder))
+        name="name", id="id", aliases=_aliases(spark, folder), heavy=None)
 
 
 @query(f"WITH {RESOLVED} SELECT name, rank, year, position, id, resolved_by FROM resolved")
@@ -75,14 +77,14 @@ def unresolved(spark, folder):
 @query(f"""WITH {LISTS} SELECT name, rank, year, coalesce(id, c_custkey) AS id FROM lists
 LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 1000) ON name = c_name""")
 def resolve_step(spark, folder):
-    out = resolve.resolve_step(yearly_lists(spark, folder), table(spark, folder, "customer"), "name", "id", "c_name", "c_custkey", F.col("c_acctbal") > 1000)
+    out = resolve.resolve_step(yearly_lists(spark, folder), table(spark, folder, "customer"), "name", "id", "c_name", "c_custkey", F.col("c_acctbal") > 1000, None)
     return out.select("name", "rank", "year", "id")
 
 
 @query(f"""WITH {LISTS} SELECT coalesce(c_name, name) AS name, rank, year FROM lists
 LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON name = upper(c_name)""")
 def apply_aliases(spark, folder):
-    return resolve.apply_aliases(yearly_lists(spark, folder), _aliases(spark, folder), "name").select("name", "rank", "year")
+    return resolve.apply_aliases(yearly_lists(spark, folder), _aliases(spark, folder), "name", heavy=None).select("name", "rank", "year")
 
 
 RULES = (
@@ -125,13 +127,13 @@ def rank_gap(spark, folder):
 
 @query(f"WITH {LATEST} SELECT name, rank, year, position, id, debut, gap_wks FROM latest")
 def latest_ranking(spark, folder):
-    return resolve.latest_ranking(_gaps(spark, folder), "id", "gap_wks")
+    return resolve.latest_ranking(_gaps(spark, folder), "id", "gap_wks", heavy=None)
 
 
 @query(f"""WITH {LATEST} SELECT c_custkey, rank, CASE WHEN rank IS NULL THEN 'Unranked' WHEN rank <= 25 THEN '1 - 25' WHEN rank <= 50 THEN '26 - 50'
 WHEN rank <= 75 THEN '51 - 75' ELSE '76 - 100' END AS rank_group FROM customer LEFT JOIN latest ON c_custkey = id""")
 def attach_ranking(spark, folder):
-    latest = resolve.latest_ranking(_gaps(spark, folder), "id", "gap_wks")
+    latest = resolve.latest_ranking(_gaps(spark, folder), "id", "gap_wks", heavy=None)
     out = resolve.attach_ranking(table(spark, folder, "customer").select("c_custkey"), latest, "c_custkey", "id", "rank")
     return out.withColumn("rank_group", rank_group("rank"))
 
@@ -142,7 +144,7 @@ NEVER = "never AS (SELECT * FROM (SELECT *, max(year) OVER (PARTITION BY name) A
 @query(f"WITH {GAPS}, {NEVER} SELECT name, rank, year FROM never")
 def last_listed(spark, folder):
     gaps = _gaps(spark, folder)
-    return last(gaps.filter(F.col("id").isNull()), "name", "year").select("name", "rank", "year")
+    return last(gaps.filter(F.col("id").isNull()), "name", "year", heavy=None).select("name", "rank", "year")
 
 
 RANKS = "CASE WHEN rank <= 25 THEN '1 - 25' WHEN rank <= 50 THEN '26 - 50' WHEN rank <= 75 THEN '51 - 75' ELSE '76 - 100' END"
@@ -159,7 +161,7 @@ SELECT t.rank_group, t.debuted, t.n, CASE WHEN r.n > 0 THEN CAST(t.n AS DOUBLE)
 FROM t JOIN t r ON t.rank_group = r.rank_group AND r.debuted = 'Total'""")
 def debut_rate(spark, folder):
     return rate(_gaps(spark, folder), name="name", entity="id", year="year", rank="rank", debut="debut", gap="gap_wks",
-                role=F.col("position") != 1, before="2000-01-01")
+                role=F.col("position") != 1, before="2000-01-01", heavy=None)
 
 
 @query(f"""WITH {GAPS}, open AS (SELECT DISTINCT name FROM gaps WHERE id IS NULL AND year > DATE '1996-01-01'),
@@ -175,7 +177,7 @@ def refresh_ids(spark, folder):
     return resolve.refresh_ids(
         _gaps(spark, folder).drop("position"), update, name="name", id="id", year="year", debut="debut", gap="gap_wks",
         update_name="c_name", update_id="c_custkey", update_debut="first_day", ranked_after="1996-01-01",
-        gap_null_after="1995-06-01", exclude=["Customer#000000007"])
+        gap_null_after="1995-06-01", exclude=["Customer#000000007"], heavy=None)
 
 
 # ---- set operations --------------------------------------------------------

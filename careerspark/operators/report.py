@@ -13,6 +13,7 @@ from .classify import level_order, rank_group
 from .resolve import latest_ranking
 from .sequence import arg_min_rows, cohort
 from .shape import complete_grid
+from .skew import AUTO
 
 TOTAL = "Total"
 
@@ -163,21 +164,27 @@ def median(c: str | Column) -> Column:
 # ---- rankings --------------------------------------------------------------
 
 
-def last_listed(rankings: DataFrame, name: str, year: str, today: str = DEBUT_RATE_TODAY) -> DataFrame:
+def last_listed(rankings: DataFrame, name: str, year: str, today: str = DEBUT_RATE_TODAY,
+                heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Most recent ranking of each name: the smallest distance to a fixed day; ties kept."""
     gap = rankings.withColumn("_weeks", weeks_between(date_lit(today), year))
-    return arg_min_rows(gap, name, "_weeks").drop("_weeks")
+    return arg_min_rows(gap, name, "_weeks", heavy=heavy).drop("_weeks")
+
+
+def _none_or_auto(heavy: DataFrame | None | str) -> None | str:
+    """Two steps on different keys share only the knowledge that nothing is oversized."""
+    return None if heavy is None else AUTO
 
 
 def debut_rate(rankings: DataFrame, *, name: str, entity: str, year: str, rank: str, debut: str, gap: str,
                role: Column | None = None, before: str = PUBLISH_BEFORE, today: str = DEBUT_RATE_TODAY,
-               min_gap: float = MIN_GAP_WEEKS) -> DataFrame:
+               min_gap: float = MIN_GAP_WEEKS, heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """How many ranked names reached a debut, by rank group, with totals and row percentages.
 
     Names without an entity enter with their last listed row, entities with the ranking in force at debut.
     """
-    never = last_listed(rankings.filter(F.col(entity).isNull()), name, year, today)
-    debuted = latest_ranking(rankings, entity, gap, min_gap)
+    never = last_listed(rankings.filter(F.col(entity).isNull()), name, year, today, _none_or_auto(heavy))
+    debuted = latest_ranking(rankings, entity, gap, min_gap, _none_or_auto(heavy))
     every = never.unionByName(debuted, allowMissingColumns=True)
     listed = every.filter(F.col(year) < date_lit(before))
     if role is not None:

@@ -44,7 +44,8 @@ def _literal(df: DataFrame, rows: Sequence[tuple], schema: T.StructType) -> Data
     return F.broadcast(table) if len(rows) <= MAX_LITERAL_ROWS else table
 
 
-def apply_aliases(df: DataFrame, aliases: Mapping[str, str] | DataFrame, col: str, out: str | None = None) -> DataFrame:
+def apply_aliases(df: DataFrame, aliases: Mapping[str, str] | DataFrame, col: str, out: str | None = None,
+                  heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Whole-name replacement. ``aliases`` is a mapping or a table ``(name, canonical_name)``."""
     small = not isinstance(aliases, DataFrame) and len(aliases) <= MAX_LITERAL_ROWS
     if isinstance(aliases, DataFrame):
@@ -52,7 +53,7 @@ def apply_aliases(df: DataFrame, aliases: Mapping[str, str] | DataFrame, col: st
     else:
         schema = T.StructType([T.StructField("_alias", T.StringType()), T.StructField("_canonical", T.StringType())])
         table = _literal(df, list(aliases.items()), schema)
-    return (lookup_join(df, table, {col: "_alias"}, heavy=None if small else AUTO)
+    return (lookup_join(df, table, {col: "_alias"}, heavy=None if small else heavy)
             .withColumn(out or col, F.coalesce(F.col("_canonical"), F.col(col))).drop("_alias", "_canonical"))
 
 
@@ -74,11 +75,11 @@ class Step:
 
 
 def resolve_step(df: DataFrame, people: DataFrame, name: str, id: str, person_name: str, person_id: str,
-                 where: Column | None = None) -> DataFrame:
+                 where: Column | None = None, heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Left join on the name, then fill missing IDs. Names with several IDs give several rows."""
     side = (people if where is None else people.filter(where)).select(
         F.col(person_name).alias("_name"), F.col(person_id).alias("_id")).distinct()
-    return (lookup_join(df, side, {name: "_name"}, where=F.col(id).isNull(), unique=False)
+    return (lookup_join(df, side, {name: "_name"}, heavy=heavy, where=F.col(id).isNull(), unique=False)
             .withColumn(id, F.coalesce(F.col(id), F.col("_id"))).drop("_name", "_id"))
 
 
@@ -100,13 +101,14 @@ def _candidates(steps: Sequence[tuple[int, Step]], on_ambiguous: str) -> DataFra
 
 def resolve_cascade(df: DataFrame, steps: Sequence[Step], *, name: str, id: str,
                     aliases: Mapping[str, str] | DataFrame | None = None, step_out: str = "resolved_by",
-                    on_ambiguous: str = "all") -> DataFrame:
+                    on_ambiguous: str = "all", heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Fills missing IDs from an ordered list of sources; the first one that knows a name decides.
 
     Step 0 is an ID that was given. All sources that share a name form are merged first, so the list is joined
     once per form and not once per source. A name with several IDs in its source keeps all of them as candidate
     rows (``on_ambiguous='all'``) or the smallest (``'first'``). ``resolved_by`` is NULL for unresolved rows.
-    Names that only an alias step resolves are written in their corrected form.
+    Names that only an alias step resolves are written in their corrected form. ``heavy=None`` says that no name is
+    listed often enough to matter.
     """
     if on_ambiguous not in ("all", "first"):
         raise ValueError("on_ambiguous must be 'all' or 'first'")
@@ -117,17 +119,19 @@ def resolve_cascade(df: DataFrame, steps: Sequence[Step], *, name: str, id: str,
         raise ValueError("aliased steps come last")
     out = df.withColumn(step_out, F.when(F.col(id).isNotNull(), F.lit(0)))
     if raw:
-        out = _fill(out, _candidates(raw, on_ambiguous), name, id, step_out, on_ambiguous == "first")
+        out = _fill(out, _candidates(raw, on_ambiguous), name, id, step_out, on_ambiguous == "first", heavy)
     if corrected:
-        fixed = out.withColumn("_fixed", F.col(name)) if aliases is None else apply_aliases(out, aliases, name, "_fixed")
+        fixed = out.withColumn("_fixed", F.col(name)) if aliases is None else apply_aliases(out, aliases, name, "_fixed", heavy)
         fixed = fixed.withColumn(name, F.when(F.col(id).isNull(), F.col("_fixed")).otherwise(F.col(name))).drop("_fixed")
-        out = _fill(fixed, _candidates(corrected, on_ambiguous), name, id, step_out, on_ambiguous == "first")
+        out = _fill(fixed, _candidates(corrected, on_ambiguous), name, id, step_out, on_ambiguous == "first",
+                    heavy if heavy is None else AUTO)   # names have changed
     return out
 
 
-def _fill(df: DataFrame, found: DataFrame, name: str, id: str, step_out: str, unique: bool) -> DataFrame:
+def _fill(df: DataFrame, found: DataFrame, name: str, id: str, step_out: str, unique: bool,
+          heavy: DataFrame | None | str) -> DataFrame:
     side = found.withColumnRenamed("_step", "_by")
-    return (lookup_join(df, side, {name: "_name"}, where=F.col(id).isNull(), unique=unique)
+    return (lookup_join(df, side, {name: "_name"}, heavy=heavy, where=F.col(id).isNull(), unique=unique)
             .withColumns({id: F.coalesce(F.col(id), F.col("_id")), step_out: F.coalesce(F.col(step_out), F.col("_by"))})
             .drop("_name", "_id", "_by"))
 
@@ -188,9 +192,10 @@ def rank_gap(df: DataFrame, ranked: str, debut: str, out: str = "gap_wks") -> Da
     return df.withColumn(out, weeks_between(ranked, debut))
 
 
-def latest_ranking(rankings: DataFrame, entity: str, gap: str, min_gap: float = MIN_GAP_WEEKS) -> DataFrame:
+def latest_ranking(rankings: DataFrame, entity: str, gap: str, min_gap: float = MIN_GAP_WEEKS,
+                   heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """The ranking in force at debut: the row with the largest gap, unless the entity fell off the list before."""
-    last = arg_max_rows(rankings.filter(F.col(entity).isNotNull()), entity, gap)
+    last = arg_max_rows(rankings.filter(F.col(entity).isNotNull()), entity, gap, heavy=heavy)
     return last.filter(F.col(gap) > min_gap)
 
 
@@ -202,7 +207,8 @@ def attach_ranking(df: DataFrame, latest: DataFrame, key: str, entity: str, rank
 
 def refresh_ids(rankings: DataFrame, update: DataFrame, *, name: str, id: str, year: str, debut: str, gap: str,
                 update_name: str, update_id: str, update_debut: str, ranked_after: str = REFRESH_RANKED_AFTER,
-                gap_null_after: str = REFRESH_GAP_NULL_AFTER, exclude: Sequence[str] = ()) -> DataFrame:
+                gap_null_after: str = REFRESH_GAP_NULL_AFTER, exclude: Sequence[str] = (),
+                heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Fills IDs and debuts of names that were still unresolved from a later release of the people table.
 
     ``exclude`` lists names too ambiguous to use. The gap is computed again and has no value for debuts after
@@ -213,7 +219,7 @@ def refresh_ids(rankings: DataFrame, update: DataFrame, *, name: str, id: str, y
     side = (update.filter(F.col(update_id).isNotNull() & ~F.col(update_name).isin(list(exclude)))
             .select(F.col(update_name).alias("_name"), F.col(update_id).alias("_id"), F.col(update_debut).alias("_debut"))
             .join(open_names, "_name", "left_semi"))
-    filled = (lookup_join(rankings, side, {name: "_name"}, unique=False)
+    filled = (lookup_join(rankings, side, {name: "_name"}, heavy=heavy, unique=False)
               .withColumns({id: F.coalesce(F.col(id), F.col("_id")), debut: F.coalesce(F.col(debut), F.col("_debut"))})
               .drop("_name", "_id", "_debut"))
     late = F.col(debut) > date_lit(gap_null_after)

@@ -231,25 +231,27 @@ def tail_matches(df: DataFrame, group, order: Sequence[str], n: int, predicate:
     return ends.withColumn("_hits", hits).filter(F.col("_hits") == n).drop("_hits")
 
 
-def _extreme_rows(df: DataFrame, group, col: str, pick, null_policy: str) -> DataFrame:
+def _extreme_rows(df: DataFrame, group, col: str, pick, null_policy: str, heavy: DataFrame | None | str) -> DataFrame:
     keys = key_list(group)
     best = df.groupBy(*keys).agg(pick(col, null_policy).alias("_best")).filter(F.col("_best").isNotNull())
     renamed = best.withColumnsRenamed({k: f"_agg_{k}" for k in keys})
     return lookup_join(df, renamed, {k: f"_agg_{k}" for k in keys}, "left_semi", null_safe=True,
-                       where=F.col(col) == F.col("_best"))
+                       heavy=heavy, where=F.col(col) == F.col("_best"))
 
 
-def arg_max_rows(df: DataFrame, group, col: str, null_policy: str = "propagate") -> DataFrame:
+def arg_max_rows(df: DataFrame, group, col: str, null_policy: str = "propagate",
+                 heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Rows that hold the largest value of their group, ties kept.
 
     Under ``propagate`` a group with a missing value has no maximum and is left out.
     """
-    return _extreme_rows(df, group, col, max_of, null_policy)
+    return _extreme_rows(df, group, col, max_of, null_policy, heavy)
 
 
-def arg_min_rows(df: DataFrame, group, col: str, null_policy: str = "propagate") -> DataFrame:
+def arg_min_rows(df: DataFrame, group, col: str, null_policy: str = "propagate",
+                 heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Rows that hold the smallest value of their group, ties kept."""
-    return _extreme_rows(df, group, col, min_of, null_policy)
+    return _extreme_rows(df, group, col, min_of, null_policy, heavy)
 
 
 # ---- cohorts and ages ------------------------------------------------------

@@ -7,6 +7,7 @@ from careerspark.operators import resolve as r
 from careerspark.operators.profiling import duplicate_keys, unresolved
 from careerspark.operators.report import debut_rate
 from careerspark.operators.resolve import Correction, Step
+from careerspark.operators.skew import MAX_GROUP_ROWS_CONF
 
 
 def rankings(spark, rows):
@@ -101,3 +102,23 @@ def test_debut_rate(spark):
     got = {(x.rank_group, x.debuted): (x.n, x.label) for x in out.collect()}
     assert got["1 - 25", "Yes"] == (1, "100% (1)") and got["26 - 50", "No"] == (1, "100% (1)")   # Bob counts with his last list
     assert got["Total", "Total"] == (2, "100% (2)") and got["51 - 75", "Yes"] == (0, "- (0)")
+
+
+@pytest.mark.parametrize("ambiguous", ["all", "first"])
+def test_names_listed_often_resolve_the_same(spark, ambiguous):
+    """With every name on more than three rows taken for oversized, missing names among them."""
+    names = ["Ann"] * 9 + ["Bob"] * 2 + [None] * 7 + ["Bobby"] * 5 + ["Zed"] * 6
+    df = rankings(spark, [(n, "given" if i % 4 == 0 else None) for i, n in enumerate(names)])
+    source = people(spark, [("Ann", "a1", None), ("Ann", "a2", None), ("Bob", "b1", None), ("Robert", "r1", None), (None, "none", None)])
+    steps = [Step(source, "pname", "pid"), Step(source, "pname", "pid", aliased=True)]
+
+    def result(heavy):
+        aliases = spark.createDataFrame([("Bobby", "Robert")], "name string, canonical_name string")
+        out = r.resolve_cascade(df, steps, name="name", id="id", aliases=aliases, on_ambiguous=ambiguous, heavy=heavy)
+        return sorted(map(str, out.collect()))
+
+    spark.conf.set(MAX_GROUP_ROWS_CONF, "3")
+    try:
+        assert result("auto") == result(None)
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)

@@ -57,3 +57,84 @@ def op4_variable_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, folder, "documents"))
+
+
+@query
+def op2_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digest_texts
+
+    return digest_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_histogram_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
+SQL["op3_histogram_topk"] = """
+WITH c AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+      FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x) AS score
+      FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5"""
+
+
+@query
+def op8_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from .rotated import search
+
+    return search(table(spark, folder, "embeddings"), is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op6_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages are captures, fetched on days of 2024 that follow from their ids. Every page also files an entry on its
+    host, or on the domain above it if the host has more than three labels: pages with a query part ask to block it,
+    those with a fragment to allow it, others to review it, dated as many days after the fetch as its URL is long."""
+    from .url_lists import host, judge
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    captures = pages.withColumn("fetched", day)
+    action = F.when(F.col("url").contains("?"), "block").when(F.col("url").contains("#"), "allow").otherwise("review")
+    entries = captures.withColumn("_host", host("url")).select(
+        F.when(F.size(F.split("_host", r"\.")) > 3, F.regexp_replace("_host", r"^[^.]*\.", "")).otherwise(F.col("_host")).alias("name"),
+        F.date_add("fetched", F.length("url")).alias("dated"), action.alias("action"))
+    return judge(captures, entries, "url", "fetched").select("page_id", "host", "fetched", "matched_name", "action", "since")
+
+
+SQL["op6_temporal_url_lists"] = r"""
+WITH c AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+         nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host
+  FROM pages),
+e AS (
+  SELECT CASE WHEN len(string_split(host, '.')) > 3 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END AS name,
+         fetched + CAST(length(url) AS INTEGER) AS since,
+         CASE WHEN contains(url, '?') THEN 1 WHEN contains(url, '#') THEN 3 ELSE 2 END AS a
+  FROM c WHERE host IS NOT NULL),
+o AS (SELECT name, since, min(a) AS a FROM e GROUP BY name, since),
+i AS (SELECT name, since, a, coalesce(lead(since) OVER (PARTITION BY name ORDER BY since), DATE '9999-12-31') AS until FROM o),
+m AS (
+  SELECT page_id, name, a, since, row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC) AS r
+  FROM c JOIN i ON (c.host = i.name OR ends_with(c.host, '.' || i.name)) AND c.fetched >= i.since AND c.fetched < i.until)
+SELECT c.page_id, c.host, c.fetched, m.name AS matched_name,
+       CASE m.a WHEN 1 THEN 'block' WHEN 2 THEN 'review' WHEN 3 THEN 'allow' ELSE 'none' END AS action, m.since
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND m.r = 1"""
+
+
+@query
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents are files of a tree: source, then hundreds of ids, then the id. A document that speaks of a licence in
+    its last line is the licence file of its directory."""
+    from .licences import SPEAKS, scan
+
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.concat("doc_id", F.lit(".txt")))
+    files = table(spark, folder, "documents").select("doc_id", "text", F.when(F.col("source").isNotNull() & F.col("doc_id").isNotNull(), path).alias("path"))
+    last_line = F.substring_index("text", "\n", -1)
+    return scan(files, "path", "text", is_licence_file=last_line.rlike(SPEAKS), keep=["doc_id"])

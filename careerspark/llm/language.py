@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_bytes
 
 PROFILE = 300       # n-grams of a profile and of a text's list
+CHUNK = 500_000     # bytes of text whose n-grams are held at once
 BLANK = 1
 ALPHABET: list[np.ndarray] = []
 
@@ -79,7 +80,7 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     column = column.fill_null("")
     _, offsets = text_bytes(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, CHUNK):
         yield i, j, column.slice(i, j - i).to_pylist()
 
 

@@ -105,7 +105,7 @@ def op6_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     entries = captures.withColumn("_host", host("url")).select(
         F.when(F.size(F.split("_host", r"\.")) > 3, F.regexp_replace("_host", r"^[^.]*\.", "")).otherwise(F.col("_host")).alias("name"),
         F.date_add("fetched", F.length("url")).alias("dated"), action.alias("action"))
-    return judge(captures, entries, "url", "fetched").select("page_id", "host", "fetched", "matched_name", "action", "since")
+    return judge(captures, entries, "url", "fetched", keep=["page_id", "fetched"])
 
 
 SQL["op6_temporal_url_lists"] = r"""

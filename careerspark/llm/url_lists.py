@@ -44,15 +44,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("until", F.coalesce(after, F.lit("9999-12-31").cast("date")))
 
 
-def judge(captures: DataFrame, entries: DataFrame, url: str, fetched: str) -> DataFrame:
-    """Adds host, matched_name, action and since to the captures."""
-    own = captures.withColumn("host", host(url))
-    visits = own.select("host", F.col(fetched).cast("date").alias("day")).dropna().distinct()
+def judge(captures: DataFrame, entries: DataFrame, url: str, fetched: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each capture, with host, matched_name, action and since."""
+    own = captures.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], host(url).alias("_host"),
+                          F.col(fetched).cast("date").alias("_day"))
+    visits = own.select(F.col("_host").alias("host"), F.col("_day").alias("day")).dropna().distinct()
     tried = visits.select("host", "day", F.explode(names("host")).alias("_name"))
     valid = intervals(entries)
     active = tried.join(valid, (F.col("_name") == F.col("name")) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until")))
-    decided = active.groupBy(F.col("host").alias("_host"), F.col("day").alias("_day")).agg(
-        F.max_by(F.struct("name", "action", "since"), F.length("name")).alias("d"))
-    found = own.join(decided, (F.col("host") == F.col("_host")) & (F.col(fetched).cast("date") == F.col("_day")), "left")
-    return found.select(*[own[c] for c in own.columns], F.col("d.name").alias("matched_name"),
-                        F.coalesce("d.action", F.lit("none")).alias("action"), F.col("d.since").alias("since"))
+    decided = active.groupBy("host", "day").agg(F.max_by(F.struct("name", "action", "since"), F.length("name")).alias("d"))
+    found = own.join(decided, (F.col("_host") == F.col("host")) & (F.col("_day") == F.col("day")), "left")
+    return found.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], F.col("_host").alias("host"),
+                        F.col("d.name").alias("matched_name"), F.coalesce("d.action", F.lit("none")).alias("action"),
+                        F.col("d.since").alias("since"))

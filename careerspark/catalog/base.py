@@ -40,8 +40,15 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as on a single machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="careerspark-")
+    """The shared folder of the cluster. A local session, with one machine, may go without: it gets one folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="careerspark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -103,19 +110,17 @@ def numbered_sql(key: str, name: str = "numbered") -> str:
 
 # ---- rankings of one list --------------------------------------------------
 
-RANKED_BALANCE = 8000.0
-
 
 def balance_ranking(accounts: DataFrame, key: str, balance: str) -> DataFrame:
-    """Ranks 1 to 100 by balance among balances under the limit; at most 100 rows leave each task."""
+    """Ranks 1 to 100 by balance; at most 100 rows leave each task."""
     w = Window.partitionBy("_list").orderBy(F.col(balance).desc(), F.col(key))
-    listed = accounts.filter(F.col(balance) < RANKED_BALANCE).withColumn("_list", F.lit(1))
+    listed = accounts.withColumn("_list", F.lit(1))
     return listed.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 100).select(F.col(key).alias("ranked_key"), "rank")
 
 
 def ranking_sql(source: str, key: str, balance: str) -> str:
     return f"""ranking AS (SELECT {key} AS ranked_key, rn AS rank FROM (
-      SELECT {key}, row_number() OVER (ORDER BY {balance} DESC, {key}) AS rn FROM {source} WHERE {balance} < 8000.0)
+      SELECT {key}, row_number() OVER (ORDER BY {balance} DESC, {key}) AS rn FROM {source})
       WHERE rn <= 100)"""
 
 

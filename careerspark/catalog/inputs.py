@@ -49,6 +49,17 @@ def csv_round_trip(spark, folder):
     return delimited.read_csv(spark, path, SCHEMA, DATES)
 
 
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(floor(o_totalprice) AS DOUBLE) AS o_totalprice FROM orders""")
+def csv_by_header(spark, folder):
+    """Orders written as CSV with more columns and another order, of which the declared ones are read by name."""
+    path = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders").select(
+        "o_orderstatus", F.floor("o_totalprice").alias("o_totalprice"), "o_orderpriority", "o_orderkey", "o_custkey",
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"))
+    delimited.write_table(orders, path, "csv")
+    return delimited.read_csv(spark, path, SCHEMA, DATES)
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stage_round_trip(spark, folder):
     """Customers saved as a stage and loaded again."""

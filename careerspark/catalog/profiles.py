@@ -95,15 +95,15 @@ def value_counts(spark, folder):
     return profiling.value_counts(table(spark, folder, "part"), "p_type")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag, count(*) AS n_copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT *, count(*) AS n_copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_rows(spark, folder):
-    return profiling.duplicate_rows(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    return profiling.duplicate_rows(table(spark, folder, "lineitem"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, group_size FROM (
+@query("""SELECT * FROM (
 SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS group_size FROM lineitem) WHERE group_size > 7""")
 def oversized_groups(spark, folder):
-    return profiling.oversized_groups(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], 7)
+    return profiling.oversized_groups(table(spark, folder, "lineitem"), ["l_orderkey"], 7)
 
 
 @query("""SELECT p_name, p_brand, n_values FROM (SELECT *, count(*) OVER (PARTITION BY p_name) AS n_values FROM (SELECT DISTINCT p_name, p_brand FROM part))

@@ -105,7 +105,7 @@ def apply_corrections(spark, folder):
 
 # ---- rank at debut ---------------------------------------------------------
 
-DEBUTS = "debuts AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS debut FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)"
+DEBUTS = "debuts AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS debut FROM orders GROUP BY o_custkey)"
 GAPS = f"""{RESOLVED}, {DEBUTS}, gaps AS (SELECT name, rank, year, position, id, debut, date_diff('day', debut, year) / 7.0 AS gap_wks
   FROM resolved LEFT JOIN debuts ON id = o_custkey)"""
 LATEST = f"""{GAPS}, latest AS (SELECT * FROM (SELECT *, max(gap_wks) OVER (PARTITION BY id) AS best,
@@ -114,7 +114,7 @@ LATEST = f"""{GAPS}, latest AS (SELECT * FROM (SELECT *, max(gap_wks) OVER (PART
 
 
 def _gaps(spark, folder):
-    debuts = table(spark, folder, "orders").filter(F.col("o_orderpriority") == "1-URGENT").groupBy(F.col("o_custkey").alias("_k")).agg(
+    debuts = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(
         F.min(F.col("o_orderdate").cast("date")).alias("debut"))
     dated = resolved_lists(spark, folder).drop("resolved_by").join(debuts, F.col("id") == F.col("_k"), "left").drop("_k")
     return resolve.rank_gap(dated, "year", "debut")

@@ -108,7 +108,7 @@ def annotate(
 def _ledger(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame], measures: list[str]) -> DataFrame:
     """Per cell: what lies before it in its group, and the totals of the group.
 
-    The rows are as many as the cells, which are capped in number, however large the log is.
+    The rows are as many as the cells: a few for each task's share of the rows of oversized groups.
     """
     cells = with_cells(hot_rows(df, keys, levels), keys, order, levels)
     per_cell = cells.groupBy(*keys, "_cell").agg(

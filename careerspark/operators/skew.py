@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +16,9 @@ from pyspark.sql import types as T
 
 MAX_GROUP_ROWS_CONF = "spark.careerspark.maxGroupRows"
 MAX_GROUP_ROWS = 5_000_000
-MAX_HOT_GROUPS = 100_000    # groups beyond these each hold under 1/100,000 of the log
-MAX_CELLS = 100_000         # per level; with the levels, the bound of the broadcast ledger
-MAX_LEVELS = 4
 SALTS = 64                  # parts of an oversized key in a join of many to many
-CELLS_PER_TASK_SHARE = 8    # finer than needed, because events are not spread evenly over the range
+CELLS_PER_TASK_SHARE = 2    # cells per task's share of rows: finer than needed, because a sample places them
+SAMPLES_PER_CELL = 60
 
 
 AUTO = "auto"   # look for oversized groups; None = there are none, or a result of ``oversized``
@@ -42,7 +39,7 @@ def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | Non
     """Keys of the groups with too many rows for one task, as a small literal table; None when there are none.
 
     One pass over the key columns, counted in each task before the shuffle. At most ``rows / maxGroupRows`` groups
-    qualify and no more than ``MAX_HOT_GROUPS`` are taken, so fetching and broadcasting them is bounded. Count the
+    qualify, which bounds fetching and broadcasting them. Count the
     cheapest table with the same key columns, such as a log before its joins, and use the answer for several operators.
     ``rows_of`` is a stored table with at least as many rows as ``df``: when it is small as a whole, which its files
     tell without being read, nothing needs to be counted by key.
@@ -51,7 +48,7 @@ def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | Non
     if rows_of is not None and rows_of.count() <= group_limit(df):
         return None
     found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit(df))
-             .orderBy(F.col("_n").desc()).limit(MAX_HOT_GROUPS).select(*keys).collect())
+             .select(*keys).collect())
     if not found:
         return None
     schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
@@ -114,114 +111,56 @@ def join_back(df: DataFrame, agg: DataFrame, keys: str | Sequence[str], how: str
 # ---- cutting them ----------------------------------------------------------
 
 
-def _position(df: DataFrame, name: str) -> Column | None:
-    """A double that never decreases along the sort order of the column; NULL for NULL and NaN. None for types
-    without one."""
-    dtype, c = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        in_day = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
-        return F.unix_date(c.cast("date")) * F.lit(86400.0) + in_day
-    if isinstance(dtype, T.StringType):
-        lead = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(lead, 16, 10).cast("double")
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        value = c.cast("double")
-        return F.when(~F.isnan(value), F.greatest(F.lit(-1e300), F.least(F.lit(1e300), value)))
-    return None
-
-
-def _matching(keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    return cond
-
-
 def hot_cells(df: DataFrame, entity: str | Sequence[str], order: Sequence[str],
               heavy: DataFrame | None | str = AUTO) -> list[DataFrame]:
-    """How oversized groups are cut: one small literal table per level, none without such groups.
+    """How oversized groups are cut: a small literal table of boundaries, none without such groups.
 
-    A level cuts each group evenly along the first order column that varies in it. Cells that are still too large,
-    because events crowd in a part of the range or share a date, are cut again on the next level. The tables are
-    pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute a part again.
+    A boundary is a whole tuple of the order columns, of any type that sorts. A sample of each group, chosen by a hash
+    of these columns, is sorted and every so-manieth tuple taken, so cells hold about equally many rows however the
+    values are spread; rows equal in all order columns share a cell. Boundaries steer balance only, never results.
+    The table is pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute
+    a part again.
     """
-    keys, cols = key_list(entity), _cuttable(df, order)
+    keys, cols = key_list(entity), key_list(order)
     groups = oversized(df, keys) if isinstance(heavy, str) else heavy
-    path, levels = list(keys), []
     if groups is None:
-        return levels
-    members = df.join(F.broadcast(groups), _matching(keys), "left_semi").withColumn("_cell", _no_cell())
-    while groups is not None and len(levels) < MAX_LEVELS:
-        level = _level(members.join(F.broadcast(groups), _matching(path), "left_semi"), keys, cols, group_limit(df))
-        if level is None:
-            break
-        levels.append(level)
-        members = _apply_level(members, keys, cols, level)
-        path = [*keys, "_cell"]
-        groups = oversized(members, path)
-    return levels
-
-
-def _no_cell() -> Column:
-    return F.array().cast("array<bigint>")
-
-
-def _cuttable(df: DataFrame, order: str | Sequence[str]) -> list[str]:
-    """The order columns that groups can be cut along: those before the first one without a position."""
-    return list(takewhile(lambda c: _position(df, c) is not None, key_list(order)))
-
-
-def _level(members: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
-    """Range, column and number of the cells of each group; groups that cannot be cut are left out."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(order):
-        pos = _position(members, c)
-        aggs += [F.min(pos).alias(f"_lo{i}"), F.max(pos).alias(f"_hi{i}"), F.count(pos).alias(f"_known{i}"),
-                 (F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), F.count(F.lit(1)))).alias(f"_constant{i}")]
-    rows = []
-    for r in members.groupBy(*keys, "_cell").agg(*aggs).collect():   # one row per group of ``oversized``
-        at = next((i for i in range(len(order)) if not r[f"_constant{i}"]), None)
-        if at is None:
-            continue
-        lo, hi, known = r[f"_lo{at}"], r[f"_hi{at}"], r[f"_known{at}"]
-        if known and (hi > lo or known < r["_n"]):
-            rows.append((r, at, lo, hi, max(2, math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE)))
-    if not rows:
-        return None
-    shrink = min(1.0, MAX_CELLS / sum(wanted for *_, wanted in rows))
-    schema = T.StructType(
-        [T.StructField(f"_hot_{k}", members.schema[k].dataType) for k in [*keys, "_cell"]]
-        + [T.StructField("_at", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
-           T.StructField("_hi", T.DoubleType()), T.StructField("_cells", T.LongType())])
-    data = [(*[r[k] for k in keys], r["_cell"], at, lo, hi, max(2, int(wanted * shrink))) for r, at, lo, hi, wanted in rows]
-    return members.sparkSession.createDataFrame(data, schema)
-
-
-def _apply_level(df: DataFrame, keys: list[str], order: list[str], level: DataFrame) -> DataFrame:
-    pos = F.lit(None).cast("double")
-    for i in reversed(range(len(order))):
-        pos = F.when(F.col("_at") == i, _position(df, order[i])).otherwise(pos)
-    step = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((F.col("_pos") - F.col("_lo")) * F.col("_cells") / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
-    cell = F.when(F.col("_pos").isNull(), F.col("_cells")).otherwise(F.least(step, F.col("_cells") - 1))
-    path = [*keys, "_cell"]
-    return (
-        df.join(F.broadcast(level), _matching(path), "left")
-        .withColumn("_pos", pos)
-        .withColumn("_cell", F.when(F.col("_cells").isNotNull(), F.concat("_cell", F.array(cell))).otherwise(F.col("_cell")))
-        .drop(*[f"_hot_{k}" for k in path], "_at", "_lo", "_hi", "_cells", "_pos"))
+        return []
+    spark, limit = df.sparkSession, group_limit(df)
+    members = df.join(F.broadcast(groups), _matching(keys), "left_semi")
+    hot = [T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys]
+    sizes = []
+    for r in members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect():   # one row per group of ``oversized``
+        cells = math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE
+        sizes.append((*[r[k] for k in keys], cells, max(1, r["_n"] // (cells * SAMPLES_PER_CELL))))
+    if not sizes:
+        return []
+    shape = T.StructType([*hot, T.StructField("_cells", T.LongType()), T.StructField("_every", T.LongType())])
+    at = _place(cols)
+    sampled = (members.join(F.broadcast(spark.createDataFrame(sizes, shape)), _matching(keys))
+               .filter(F.pmod(F.xxhash64(*cols), F.col("_every")) == 0)
+               .groupBy(*keys, "_cells").agg(F.sort_array(F.collect_list(at)).alias("_sorted")))
+    step = F.size("_sorted") / F.col("_cells")
+    bounds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_cells") - 1), lambda i: F.get("_sorted", F.floor(i * step).cast("int"))))
+    level = sampled.select(*keys, bounds.alias("_bounds"))
+    found = [(*[r[k] for k in keys], r["_bounds"]) for r in level.collect()]
+    return [spark.createDataFrame(found, T.StructType([*hot, T.StructField("_bounds", level.schema["_bounds"].dataType)]))]
+
+
+def _place(order: Sequence[str]) -> Column:
+    """The order columns as one value that sorts like them, missing values last."""
+    return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
 
 
 def with_cells(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame]) -> DataFrame:
     """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut."""
-    out, cols = df.withColumn("_cell", _no_cell()), _cuttable(df, order)
-    for level in levels:
-        out = _apply_level(out, keys, cols, level)
-    return out
+    none = F.array().cast("array<bigint>")
+    if not levels:
+        return df.withColumn("_cell", none)
+    at = _place(key_list(order))
+    cell = F.size(F.filter("_bounds", lambda b: b <= at)).cast("bigint")
+    return (df.join(F.broadcast(levels[0]), _matching(keys), "left")
+            .withColumn("_cell", F.when(F.col("_bounds").isNotNull(), F.array(cell)).otherwise(none))
+            .drop(*[f"_hot_{k}" for k in keys], "_bounds"))
 
 
 def hot_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[DataFrame]) -> DataFrame:

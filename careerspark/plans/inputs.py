@@ -38,35 +38,27 @@ RANKINGS = _schema(
     POSITION_4=_D, POSITION_5=_D, MLB_DEBUT=_S)
 
 
-def read_plays(spark: SparkSession, path: str, columns: list[str] | None = None, date_format: str = "yyyyMMdd") -> DataFrame:
-    """Play log. Pass the file's full column list when it has more columns than the ones used here."""
-    return _read(spark, path, PLAYS, {"DATE": date_format}, columns)
+def read_plays(spark: SparkSession, path: str, date_format: str = "yyyyMMdd") -> DataFrame:
+    """Play log. The file may have more columns than the ones used here, in any order."""
+    return read_csv(spark, path, PLAYS, {"DATE": date_format})
 
 
-def read_people(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_people(spark: SparkSession, path: str) -> DataFrame:
     """People, with dots in column names replaced so that columns can be named without quoting."""
-    people = _read(spark, path, PEOPLE, PEOPLE_DATES, columns)
+    people = read_csv(spark, path, PEOPLE, PEOPLE_DATES)
     return people.toDF(*[c.replace(".", "_") for c in people.columns])
 
 
-def read_weights(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return _read(spark, path, WEIGHTS, WEIGHTS_DATES, columns)
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, WEIGHTS, WEIGHTS_DATES)
 
 
-def read_leaderboard(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return _read(spark, path, LEADERBOARD, {}, columns)
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, LEADERBOARD, {})
 
 
-def read_rankings(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    return _read(spark, path, RANKINGS, {}, columns)
-
-
-def _read(spark: SparkSession, path: str, wanted: T.StructType, dates: dict, columns: list[str] | None) -> DataFrame:
-    if columns is None:
-        return read_csv(spark, path, wanted, dates)
-    known = {f.name: f for f in wanted}
-    full = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in columns])
-    return read_csv(spark, path, full, dates).select(*[F.col(f"`{c}`") for c in wanted.names])
+def read_rankings(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, RANKINGS, {})
 
 
 def current_people(people: DataFrame) -> DataFrame:

@@ -28,10 +28,35 @@ def _quoted(name: str) -> str:
     return f"`{name}`"
 
 
+def header_of(spark: SparkSession, path: str, **options) -> list[str]:
+    """Column names in the header line of a file, or of the first file of a folder; only that line is read."""
+    return spark.read.options(**{**options, "header": True}).csv(path).columns
+
+
 def read_text(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, **options) -> DataFrame:
-    """All columns as text, with a declared schema (no pass over the file to guess one)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.options(header=header, enforceSchema=True, **options).schema(schema).csv(path)
+    """The declared columns as text.
+
+    With a header line, columns are taken by name, so files may have others and any order; a missing one raises, and so
+    does a file of a folder whose header differs from the first. Without a header line ``columns`` are all columns of
+    the file, in order.
+    """
+    names = header_of(spark, path, **options) if header else list(columns)
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return (spark.read.options(header=header, enforceSchema=not header, **options).schema(schema).csv(path)
+            .select(*[F.col(_quoted(c)) for c in columns]))
+
+
+def record_problems(spark: SparkSession, path: str, header: bool = True, columns: Sequence[str] = (), **options) -> DataFrame:
+    """``record`` and ``read_as`` (JSON) for each line with fewer or more values than there are columns."""
+    names = header_of(spark, path, **options) if header else list(columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_record"]])
+    whole = spark.read.options(header=header, columnNameOfCorruptRecord="_record", columnPruning=False, **options).schema(schema).csv(path)
+    # The columns go along: a reader that is asked for the record alone does not count values.
+    return whole.filter(F.col("_record").isNotNull()).select(
+        F.col("_record").alias("record"), F.to_json(F.struct(*[F.col(_quoted(c)) for c in names])).alias("read_as"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_formats: Mapping[str, str] | None = None,

@@ -7,7 +7,8 @@ from careerspark.operators.skew import MAX_GROUP_ROWS_CONF
 from oracle import compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: q.run for name, q in entry.REGISTRY.items()}
+SQL = {name: q.sql for name, q in entry.REGISTRY.items() if q.sql is not None}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

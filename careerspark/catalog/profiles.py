@@ -9,7 +9,8 @@ from ..operators import profiling
 from ..operators.profiling import QUANTILES
 from .base import query, rounded_sql, six, table
 
-PROFILED = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+PROFILED = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string",
+            "day": "date"}
 
 
 def _profile_sql(c: str, kind: str) -> str:
@@ -22,13 +23,14 @@ def _profile_sql(c: str, kind: str) -> str:
     {shown if not number else 'NULL AS min_text, NULL AS max_text'},
     {f'min(length({c})) AS min_length, max(length({c})) AS max_length, count(CASE WHEN {c} = {chr(39) * 2} THEN 1 END) AS n_empty' if text
      else 'NULL AS min_length, NULL AS max_length, NULL AS n_empty'},
-    {', '.join(stats) if number else ', '.join(f'NULL AS {n}' for n in ('mean', 'sd', *QUANTILES))} FROM events"""
+    {', '.join(stats) if number else ', '.join(f'NULL AS {n}' for n in ('mean', 'sd', *QUANTILES))} FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)"""
 
 
-@query(" UNION ALL ".join(_profile_sql(c, k) for c, k in PROFILED.items() if c != "ts"))
+@query(" UNION ALL ".join(_profile_sql(c, k) for c, k in PROFILED.items()))
 def profile(spark, folder):
-    cols = [c for c in PROFILED if c != "ts"]
-    return six(profiling.profile(table(spark, folder, "events"), cols, exact=True), "mean", "sd", *QUANTILES)
+    """All columns of the events, and their day as a date."""
+    events = table(spark, folder, "events").withColumn("day", F.col("ts").cast("date"))
+    return six(profiling.profile(events, list(PROFILED), exact=True), "mean", "sd", *QUANTILES)
 
 
 @query(None)

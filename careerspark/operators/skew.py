@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 MAX_GROUP_ROWS_CONF = "spark.careerspark.maxGroupRows"
 MAX_GROUP_ROWS = 5_000_000
-SALTS = 64                  # parts of an oversized key in a join of many to many
+PARTS_PER_TASK_SHARE = 4    # parts of an oversized key in a join of many to many, per task's share of its rows
 CELLS_PER_TASK_SHARE = 2    # cells per task's share of rows: finer than needed, because a sample places them
 SAMPLES_PER_CELL = 60
 
@@ -48,10 +48,10 @@ def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | Non
     if rows_of is not None and rows_of.count() <= group_limit(df):
         return None
     found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit(df))
-             .select(*keys).collect())
+             .select(*keys, "_n").collect())
     if not found:
         return None
-    schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
+    schema = T.StructType([*[T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys], T.StructField("_hot_count", T.LongType())])
     return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
 
 
@@ -71,8 +71,8 @@ def lookup_join(df: DataFrame, side: DataFrame, on: dict[str, str], how: str = "
 
     Rows with ordinary keys are joined as the planner sees fit. Rows with oversized keys, a missing key among them,
     are kept apart. When the side has at most one row per key, they stay where they are and meet a broadcast of the
-    few side rows of these keys. Otherwise (``unique=False``) they are spread over ``SALTS`` parts of their key, and
-    the side rows of these keys are repeated for each part.
+    few side rows of these keys. Otherwise (``unique=False``) they are spread over parts of their key, as many as its
+    rows need, and the side rows of these keys are repeated for each part.
     """
     keys = list(on)
     if isinstance(heavy, str):
@@ -92,8 +92,13 @@ def lookup_join(df: DataFrame, side: DataFrame, on: dict[str, str], how: str = "
     else:
         # Decided by content and partition, not by chance: a part that is computed again gives the same salts.
         content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(SALTS)).cast("int"))
-        few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("_hot_count") * PARTS_PER_TASK_SHARE / group_limit(df))).cast("int")
+        spread = F.broadcast(heavy.withColumn("_parts", parts).drop("_hot_count"))
+        drop = [f"_hot_{k}" for k in keys]
+        rows = (df.join(spread, _matching(keys)).drop(*drop)
+                .withColumn("_salt", F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.col("_parts")).cast("int")).drop("_parts"))
+        few = (side.join(spread, of_hot_key).drop(*drop)
+               .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"))
         inside = rows.join(few, cond & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
     outside = df.join(hot, _matching(keys), "left_anti").join(side, cond, how)
     return inside.unionByName(outside)

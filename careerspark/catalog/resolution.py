@@ -13,6 +13,7 @@ from ..operators.report import debut_rate as rate
 from ..operators.report import distinct_by as distinct
 from ..operators.report import last_listed as last
 from ..operators.resolve import Correction, Step
+from ..operators.skew import join_known
 from .base import query, saved, table
 
 # Yearly lists of the 100 customers with the largest order totals; names of one segment are written in capitals.
@@ -114,10 +115,11 @@ LATEST = f"""{GAPS}, latest AS (SELECT * FROM (SELECT *, max(gap_wks) OVER (PART
 
 
 def _gaps(spark, folder):
+    """Written once: callers read the resolved lists, 100 rows a year, several times."""
     debuts = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("_k")).agg(
         F.min(F.col("o_orderdate").cast("date")).alias("debut"))
-    dated = resolved_lists(spark, folder).drop("resolved_by").join(debuts, F.col("id") == F.col("_k"), "left").drop("_k")
-    return resolve.rank_gap(dated, "year", "debut")
+    dated = join_known(resolved_lists(spark, folder).drop("resolved_by"), debuts, "id", "_k").drop("_k")
+    return saved(resolve.rank_gap(dated, "year", "debut"), "gaps")
 
 
 @query(f"WITH {GAPS} SELECT name, rank, year, position, id, debut, gap_wks FROM gaps")

@@ -111,14 +111,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def oversized_groups(df: DataFrame, by: Sequence[str], limit: int, out: str = "group_size") -> DataFrame:
-    """All rows of the groups with more than ``limit`` rows."""
-    return join_back(df, df.groupBy(*by).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > limit), list(by))
+    """All rows of the groups with more than ``limit`` rows. Adaptive execution splits the partition of a large group."""
+    return join_back(df, df.groupBy(*by).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > limit), list(by), heavy=None)
 
 
 def ambiguous_keys(df: DataFrame, key: str, attr: str, out: str = "n_values") -> DataFrame:
     """Keys that occur with several attribute values, one row per value."""
     pairs = df.select(key, attr).distinct()
-    return join_back(pairs, pairs.groupBy(key).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1), [key])
+    return join_back(pairs, pairs.groupBy(key).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1), [key], heavy=None)
 
 
 def inspect(df: DataFrame, entity: str, value, cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -137,16 +137,17 @@ def running_mean(df: DataFrame, entity, order, measure: str, out: str = "running
 def group_total(df: DataFrame, entity, out: str = "group_total") -> DataFrame:
     """Number of rows of the entity, on each row.
 
-    Counts are pre-aggregated and joined back, so no task has to hold a whole group.
+    Counts are pre-aggregated and joined back; adaptive execution splits the join's partition of a large group, so
+    no task has to hold a whole one and nothing is counted beforehand.
     """
     keys = key_list(entity)
-    return join_back(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
+    return join_back(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys, heavy=None)
 
 
 def group_mean(df: DataFrame, entity, measure: str, out: str = "group_mean") -> DataFrame:
     """Mean of the measure over all rows of the entity, on each row."""
     keys = key_list(entity)
-    return join_back(df, df.groupBy(*keys).agg(F.avg(measure).alias(out)), keys)
+    return join_back(df, df.groupBy(*keys).agg(F.avg(measure).alias(out)), keys, heavy=None)
 
 
 # ---- one row per entity ----------------------------------------------------
@@ -233,6 +234,11 @@ def tail_matches(df: DataFrame, group, order: Sequence[str], n: int, predicate:
 
 def _extreme_rows(df: DataFrame, group, col: str, pick, null_policy: str, heavy: DataFrame | None | str) -> DataFrame:
     keys = key_list(group)
+    if heavy is None:   # groups are short: one window, and ``df`` is read once
+        w = Window.partitionBy(*keys)
+        best = df.withColumns({"_best": pick(col, "skip").over(w), "_lacking": F.count_if(F.col(col).isNull()).over(w)})
+        kept = F.col(col) == F.col("_best")
+        return best.filter(kept & (F.col("_lacking") == 0) if null_policy == "propagate" else kept).drop("_best", "_lacking")
     best = df.groupBy(*keys).agg(pick(col, null_policy).alias("_best")).filter(F.col("_best").isNotNull())
     renamed = best.withColumnsRenamed({k: f"_agg_{k}" for k in keys})
     return lookup_join(df, renamed, {k: f"_agg_{k}" for k in keys}, "left_semi", null_safe=True,

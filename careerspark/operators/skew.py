@@ -104,6 +104,13 @@ def lookup_join(df: DataFrame, side: DataFrame, on: dict[str, str], how: str = "
     return inside.unionByName(outside)
 
 
+def join_known(df: DataFrame, side: DataFrame, key: str, side_key: str) -> DataFrame:
+    """Left join in which rows without a key match nothing, and are spread by their content instead of meeting in one task."""
+    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = F.coalesce(F.col(key), F.xxhash64(*content).cast(df.schema[key].dataType))
+    return df.join(side, F.col(key).isNotNull() & (spread == F.col(side_key)), "left")
+
+
 def join_back(df: DataFrame, agg: DataFrame, keys: str | Sequence[str], how: str = "inner",
               heavy: DataFrame | None | str = AUTO) -> DataFrame:
     """Joins a per-key aggregate to the rows it came from, missing keys included."""

@@ -1,4 +1,8 @@
-"""Ranking lists to resolved rankings, and the ranking in force at debut."""
+"""Ranking lists to resolved rankings, and the ranking in force at debut.
+
+A list has some hundred names a year, so no name is listed often enough to matter and nothing is counted to find out
+(``heavy=None``). The resolved list is read several times: save it first.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from ..operators.classify import mapped
 from ..operators.report import debut_rate
 from ..operators.resolve import (Correction, Step, apply_aliases, apply_corrections, latest_ranking, rank_gap, refresh_ids,
                                  resolve_cascade)
+from ..operators.skew import join_known
 from .fixed_names import ALIASES, AMBIGUOUS_IN_UPDATE, CORRECTIONS, GENERAL_ALIASES, ID_BY_NAME
 
 
@@ -38,20 +43,20 @@ def resolved_rankings(rankings: DataFrame, people: DataFrame, batters: DataFrame
         prepared(rankings),
         [Step(batters, "BAT_NAME", "BAT_ID"), Step(pitchers, "PIT_NAME", "PIT_ID"),
          Step(named, "PLAYER_NAME", "PLAYERID", recent), Step(named, "PLAYER_NAME", "PLAYERID", since_eighties, aliased=True)],
-        name="PLAYER_NAME", id="ID", aliases=aliases)
+        name="PLAYER_NAME", id="ID", aliases=aliases, heavy=None)
     if id_by_name:
         last = F.col("resolved_by").isNull() | (F.col("resolved_by") == 4)
         fixed = F.coalesce(mapped("PLAYER_NAME", id_by_name), F.col("ID"))
         out = out.withColumn("ID", F.when(last, fixed).otherwise(F.col("ID")))
     out = out.drop("resolved_by")
     out = apply_corrections(out.distinct(), corrections)
-    debuts = people.filter(since_eighties).select(F.col("PLAYERID").alias("ID"), F.col("PLAY_DEBUT"))
-    dated = out.join(debuts, "ID", "left").select(*out.columns, "PLAY_DEBUT")
+    debuts = people.filter(since_eighties).select(F.col("PLAYERID").alias("_person"), F.col("PLAY_DEBUT"))
+    dated = join_known(out, debuts, "ID", "_person").drop("_person")
     return rank_gap(dated, "YEAR", "PLAY_DEBUT", "RANK_DEBUT_DATEDIFF_WKS").drop("MLB_DEBUT")
 
 
 def ranking_at_debut(resolved: DataFrame, min_gap: float = MIN_GAP_WEEKS) -> DataFrame:
-    return latest_ranking(resolved, "ID", "RANK_DEBUT_DATEDIFF_WKS", min_gap)
+    return latest_ranking(resolved, "ID", "RANK_DEBUT_DATEDIFF_WKS", min_gap, heavy=None)
 
 
 def refreshed_rankings(resolved: DataFrame, people_update: DataFrame) -> DataFrame:
@@ -60,11 +65,11 @@ def refreshed_rankings(resolved: DataFrame, people_update: DataFrame) -> DataFra
         "_full", full_name("NICKNAME", "LAST"))
     return refresh_ids(
         resolved, update, name="PLAYER_NAME", id="ID", year="YEAR", debut="PLAY_DEBUT", gap="RANK_DEBUT_DATEDIFF_WKS",
-        update_name="_full", update_id="PLAYERID", update_debut="PLAY_DEBUT", exclude=AMBIGUOUS_IN_UPDATE)
+        update_name="_full", update_id="PLAYERID", update_debut="PLAY_DEBUT", exclude=AMBIGUOUS_IN_UPDATE, heavy=None)
 
 
 def debut_rates(resolved: DataFrame, pitchers: bool) -> DataFrame:
     """How many ranked pitchers, or other players, reached a debut, by rank group."""
     role = F.col("POSITION_1") == 1 if pitchers else F.col("POSITION_1") != 1
     return debut_rate(resolved, name="PLAYER_NAME", entity="ID", year="YEAR", rank="PROSPECT_RANK", debut="PLAY_DEBUT",
-                      gap="RANK_DEBUT_DATEDIFF_WKS", role=role)
+                      gap="RANK_DEBUT_DATEDIFF_WKS", role=role, heavy=None)

@@ -25,8 +25,9 @@ def _plays(spark, folder):
         *LINE_KEY, "l_shipdate", "l_extendedprice", F.col("d").alias("DATE"), F.concat(F.lit("S"), supplier).alias("BAT_ID"),
         F.concat(F.lit("Supplier "), supplier).alias("BAT_NAME"), F.concat(F.lit("N"), nation).alias("PIT_ID"),
         F.concat(F.lit("Nation "), nation).alias("PIT_NAME"), F.col("x").alias("EVENT_WOBA"), (F.col("l_returnflag") != "A").alias("WOBA_APP"),
-        F.col("l_linenumber").alias("INNING"), (F.col("l_quantity") * 3).cast("int").alias("PITCH_COUNT_FINAL"),
-        F.when(F.col("l_quantity") > 5, F.col("l_linenumber")).alias("PIT_REST"))
+        F.col("l_linenumber").alias("INNING"),
+        F.when((F.col("c_nationkey") % 5 > 0) | (F.col("l_quantity") < 50), (F.col("l_quantity") * 3).cast("int")).alias("PITCH_COUNT_FINAL"),
+        F.when((F.col("c_nationkey") % 3 > 0) | (F.col("l_quantity") > 5), F.col("l_linenumber")).alias("PIT_REST"))
     return saved(plays, "plays")
 
 
@@ -60,7 +61,7 @@ def _published_sql(role: str, key: str, name: str, cuts, extra: str, ranking: st
     return f"""WITH {LOG}, {_log_sql(key, name)}, {ranking},
 m AS (SELECT k, {_means_sql(cuts)}{extra} FROM numbered GROUP BY k),
 r AS (SELECT m.*, span.debut, span.last_day, rank, {rounded}, {rounded_sql("career", 3)} AS rcareer, {kind} AS kind
-      FROM m JOIN span ON m.k = span.k LEFT JOIN ranking ON m.k = 'S' || ranked_key),
+      FROM m JOIN span ON m.k = span.k LEFT JOIN ranking ON m.k = '{"S" if role == "BAT" else "N"}' || ranked_key),
 g AS (SELECT *, {graded} FROM r)
 SELECT k AS {role}_ID, name AS {role}_NAME, debut AS {role}_DEBUT, last_day AS {role}_LASTGAME, rank AS PROSPECT_RANK,
   {RANK_GROUP_SQL} AS PROSPECT_RANK_GROUP, CASE WHEN rank IS NULL THEN 'N' ELSE 'Y' END AS TOP_100_PROSPECT,
@@ -82,8 +83,11 @@ def published_batters(spark, folder):
 
 @query(_published_sql(
     "PIT", "pit", "'Nation ' || c_nationkey", PITCHER_CUTS,
-    """, avg(CAST(l_quantity * 3 AS INTEGER)) AS pitches, min(l_linenumber) AS first_inning, avg(l_linenumber) AS inning,
-    avg(CASE WHEN l_quantity > 5 THEN l_linenumber END) AS rest""", "ranking AS (SELECT CAST(NULL AS INTEGER) AS rank, NULL AS ranked_key WHERE false)",
+    """, CASE WHEN NOT bool_or(c_nationkey % 5 = 0 AND l_quantity >= 50) THEN avg(CAST(l_quantity * 3 AS INTEGER)) END AS pitches,
+    min(l_linenumber) AS first_inning, avg(l_linenumber) AS inning,
+    CASE WHEN NOT bool_or(c_nationkey % 3 = 0 AND l_quantity <= 5) THEN avg(l_linenumber) END AS rest""",
+    """ranking AS (SELECT n_nationkey AS ranked_key, 5 * row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey) AS rank
+      FROM nation WHERE n_regionkey <> 2)""",
     """CASE WHEN pitches >= 70 THEN 'STARTER' WHEN pitches <= 40 THEN 'RELIEVER' WHEN first_inning > 1 THEN 'RELIEVER'
       WHEN inning > 5.5 THEN 'RELIEVER' ELSE 'OTHER' END""", {
         "FIRST_215_WOBA_GRADE": ("rf215", 215, "true", "DNQ"), "FIRST_860_WOBA_GRADE_SP": ("rf860", 860, "kind = 'STARTER'", "DNQ"),
@@ -92,6 +96,8 @@ def published_batters(spark, folder):
         f"{rounded_sql('pitches', 1)} AS AVG_PIT_COUNT", "first_inning AS IP_MIN", f"{rounded_sql('rest', 1)} AS AVG_DAYS_REST",
         f"{rounded_sql('inning', 1)} AS IP_MEAN", "kind AS PITCHER_TYPE"]))
 def published_pitchers(spark, folder):
+    """Nations ranked by region and key, one region unranked; means of workload under the strict null rule."""
     plays = _plays(spark, folder)
-    nobody = spark.createDataFrame([], "ID string, PROSPECT_RANK int")
-    return players.publish_players(players.pitchers(plays, _people(plays), nobody, "skip", ORDER), "PIT")
+    ranked = balance_ranking(table(spark, folder, "nation").filter("n_regionkey <> 2"), "n_nationkey", "n_regionkey")
+    latest = ranked.select(F.concat(F.lit("N"), F.col("ranked_key").cast("string")).alias("ID"), (F.col("rank") * 5).alias("PROSPECT_RANK"))
+    return players.publish_players(players.pitchers(plays, _people(plays), latest, order=ORDER), "PIT")

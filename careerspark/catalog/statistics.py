@@ -70,16 +70,16 @@ def tail_share(spark, folder):
     return stats.tail_share(customer_careers(spark, folder), "diff_10", 0.1, ["ranked"])
 
 
-def kde_sql(value: str, by: str, where: str, limits: str, n: int = 512, bins: int = 1024) -> str:
-    """Rule-of-thumb bandwidth, linear binning and Gaussian kernel, in the same steps."""
+def kde_sql(value: str, by: str, where: str, limits: str, n: int = 512, steps: int = 32) -> str:
+    """Rule-of-thumb bandwidth, linear binning by bandwidths and Gaussian kernel at all points, in the same steps."""
     return f"""WITH {CAREERS}, v AS (SELECT {by}, {value} AS x FROM careers WHERE {value} IS NOT NULL AND {where}),
 lim AS ({limits}),
 b AS (SELECT {by}, count(*) AS n, stddev_samp(x) AS sd, max(abs(x)) AS size, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM v GROUP BY {by}),
 w AS (SELECT {by}, n, 0.9 * (CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN size > 0 THEN size ELSE 1.0 END)
       * pow(n, -0.2) AS bw FROM b),
-p AS (SELECT {by}, (x - lo) / ((hi - lo) / {bins - 1}.0) AS place FROM v, lim),
+p AS (SELECT v.{by}, (x - lo) / (bw / {steps}.0) AS place FROM v JOIN w USING ({by}), lim),
 bin AS (SELECT {by}, floor(place) AS b, count(*) AS c, sum(place - floor(place)) AS up FROM p GROUP BY {by}, floor(place)),
-g AS (SELECT {by}, n, bw, b, c, up, lo, (hi - lo) / {bins - 1}.0 AS step, point, lo + (hi - lo) * point / {n - 1}.0 AS x
+g AS (SELECT {by}, n, bw, b, c, up, lo, bw / {steps}.0 AS step, point, lo + (hi - lo) * point / {n - 1}.0 AS x
       FROM bin JOIN w USING ({by}), lim, (SELECT unnest(range(0, {n})) AS point))
 SELECT {by}, CAST(point AS INTEGER) AS point, {rounded_sql("max(x)", 6)} AS x,
   {rounded_sql(f"sum(((c - up) * exp(-0.5 * pow((x - (lo + b * step)) / bw, 2)) + up * exp(-0.5 * pow((x - (lo + (b + 1) * step)) / bw, 2))) / (n * bw * {math.sqrt(2 * math.pi)!r}))", 6)} AS density

@@ -108,6 +108,8 @@ def exact_quantiles(df: DataFrame, x: str, probs: dict[str, float], by: Sequence
 
 # ---- kernel densities ------------------------------------------------------
 
+KERNEL_REACH = 39.0    # bandwidths; the Gaussian kernel is 0 in double precision beyond
+
 
 def bandwidth(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Rule-of-thumb Gaussian bandwidth per group: ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)``.
@@ -126,13 +128,14 @@ def bandwidth(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, float] | None = None, n: int = 512,
-        bw: float | None = None, bins: int = 1024) -> DataFrame:
+        bw: float | None = None, steps: int = 32) -> DataFrame:
     """``(by, point, x, density)``: Gaussian kernel density per group on ``n`` points.
 
     Values outside ``limits`` are left out before anything is computed; without limits the grid spans the values
-    of all groups. Values are first shared out between the two nearest of ``bins`` positions, so the kernel is
-    evaluated ``bins x n`` times per group however many rows the group has. ``df`` is read several times: save it
-    first if it is costly.
+    of all groups. Equal values are counted first; then values are shared out between the two nearest positions,
+    ``steps`` to a bandwidth of their group, so the kernel is evaluated per filled position and not per row, and far
+    outliers do not make positions coarser. A position adds only to points at which its kernel is not zero in double
+    precision. ``df`` is read several times: save it first if it is costly.
     """
     keys = list(by) or ["_all"]
     values = _grouped(df, by).select(*keys, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
@@ -145,19 +148,26 @@ def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, floa
         width = bandwidth(values, "_x", keys)
     else:
         width = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("bw", F.lit(float(bw)))
-    placed = values.withColumns({"_lo": lo, "_hi": hi})
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins - 1))
-    place = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), step), F.lit(0.0))
-    binned = (placed.withColumn("_p", place).withColumn("_b", F.floor("_p")).groupBy(*keys, "_b")
-              .agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col("_p") - F.col("_b")).alias("_up"),
-                   F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")))
-    at = join_back(binned, width, keys, heavy=None).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(float(n - 1)))
+    width = width.withColumns({"_lo": lo, "_hi": hi})
+    counts = values.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_k"))
+    step, gap = F.col("bw") / F.lit(float(steps)), (F.col("_hi") - F.col("_lo")) / F.lit(float(n - 1))
+    binned = (join_back(counts, width, keys, heavy=None).withColumn("_p", (F.col("_x") - F.col("_lo")) / step).withColumn("_b", F.floor("_p"))
+              .groupBy(*keys, "n", "bw", "_lo", "_hi", "_b")
+              .agg(F.sum("_k").alias("_c"), F.sum((F.col("_p") - F.col("_b")) * F.col("_k")).alias("_up")))
+    at, reach = F.col("_b") * step, F.col("bw") * F.lit(KERNEL_REACH)
+    first = F.greatest(F.lit(0.0), F.coalesce(F.ceil(F.try_divide(at - reach, gap)).cast("double"), F.lit(0.0)))
+    last = F.least(F.lit(n - 1.0), F.coalesce(F.floor(F.try_divide(at + step + reach, gap)).cast("double"), F.lit(n - 1.0)))
+    near = (binned.withColumns({"_first": first, "_last": last}).filter(F.col("_first") <= F.col("_last"))
+            .withColumn("point", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int")))))
+    place = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / F.lit(float(n - 1))
 
     def kernel(position: Column) -> Column:
-        u = (F.col("x") - (F.col("_lo") + position * step)) / F.col("bw")
+        u = (place - (F.col("_lo") + position * step)) / F.col("bw")
         return F.exp(u * u * F.lit(-0.5))
 
     mass = (F.col("_c") - F.col("_up")) * kernel(F.col("_b")) + F.col("_up") * kernel(F.col("_b") + 1)
     area = F.col("n") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
-    return at.groupBy(*by, "point").agg(F.max("x").alias("x"), F.sum(mass / area).alias("density"))
+    grid = width.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    parts = near.select(*keys, "point", place.alias("x"), (mass / area).alias("_d")).unionByName(
+        grid.select(*keys, "point", place.alias("x"), F.lit(0.0).alias("_d")))
+    return parts.groupBy(*by, "point").agg(F.max("x").alias("x"), F.sum("_d").alias("density"))

@@ -88,6 +88,15 @@ def test_density_is_close_to_the_exact_sum_and_integrates_to_one(spark):
         assert np.trapezoid(one.density, one.x) == pytest.approx(1.0, abs=1e-3)
 
 
+def test_a_far_outlier_does_not_spoil_the_density(spark):
+    values = np.concatenate([np.random.default_rng(5).normal(0, .03, 300), [2.0]])
+    out = stats.kde(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").toPandas().sort_values("point")
+    exact = _density(values, out.x.to_numpy())
+    assert len(out) == 512 and np.abs(out.density.to_numpy() - exact).max() < 1e-3 * exact.max()
+    far = stats.kde(spark.createDataFrame([(float(v),) for v in [*values, 1e6]], "v double"), "v").toPandas().sort_values("point")
+    assert len(far) == 512 and far.density.iloc[-1] > 0 and (far.density.iloc[5:-5] == 0).all()
+
+
 def test_density_drops_values_outside_the_limits_first(spark):
     df = spark.createDataFrame([(v,) for v in (-.1, 0.0, .1, 5.0)], "v double")
     a = stats.kde(df, "v", limits=(-.15, .15)).orderBy("point").collect()

@@ -248,3 +248,25 @@ def test_licences(spark):
     assert out == [(1, "MIT", "header", None), (2, "GPL-3.0", "directory", "a/b"), (2, "GPL-3.0", "directory", "a/b"), (3, "GPL-3.0", "header", None),
                    (4, "MIT", "directory", "a"), (5, None, "none", None), (6, "MIT", "header", None), (7, "MIT", "header", None), (8, None, "none", None)]
     assert licences.scan(files.filter("false"), "path", "body", F.lit(True), ["id"]).count() == 0
+
+
+def test_licences_of_whole_and_wrapped_texts(spark):
+    full = {p.name.removesuffix(".txt"): p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU {}General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    wrapped = {"GPL-3.0": "", "LGPL-3.0": "Lesser ", "AGPL-3.0": "Affero "}
+    apache = ["Copyright 2020 A. Nyone", "", 'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.",
+              "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"]
+    code = "\n\nint main() {\n  return 0;\n}\n"
+    texts = [(name, f"{name}/LICENSE", text.replace("<year>", "2021").replace("<copyright holders>", "Some One Else")) for name, text in full.items()]
+    texts += [(name, f"src/{name}.c", "/*\n" + "\n".join(" * " + x.format(word) for x in gnu) + "\n */" + code) for name, word in wrapped.items()]
+    texts += [("Apache-2.0", "src/a.py", "\n".join(("# " + x).rstrip() for x in apache) + code),
+              *[(name, f"src/{name}.py", "\n".join(("# " + x).rstrip() for x in full[name].split("\n")) + code) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")],
+              ("GPL", "t/1", "GNU GENERAL PUBLIC LICENSE"), ("MIT", "t/2", "MIT License"), ("Apache-2.0", "t/3", "Apache License"), ("ISC", "t/4", "ISC License"),
+              ("MIT", "t/5", "// SPDX-License-Identifier: MIT" + code), ("LGPL-2.1", "t/6", "# SPDX-License-Identifier: LGPL-2.1-or-later" + code),
+              ("MIT OR Apache-2.0", "t/7", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */" + code), ("BSD-2-Clause", "t/8", "x = 1\nReleased under the BSD 2-Clause license."),
+              (None, "t/9", "my driver license is lost"), (None, "t/10", "she asked for permission to leave the house" + code)]
+    files = spark.createDataFrame([(k, p, t) for k, (_, p, t) in enumerate(texts)], "id int, path string, body string").repartition(3)
+    out = {r.id: r for r in licences.scan(files, "path", "body", F.col("path").endswith("LICENSE"), ["id"]).collect()}
+    assert len(out) == len(texts)
+    assert [(name, p, out[k].licence) for k, (name, p, _) in enumerate(texts) if out[k].licence != name] == []

@@ -4,11 +4,12 @@ An entry says what holds for a host, or for all hosts below a domain, from its d
 name. A capture is judged by the entry active at its fetch time; of several names (its host and the domains above it)
 the most specific one with an active entry decides.
 
-Captures are first reduced to distinct (host, fetch date), which bounds the rows of a host by days however many pages it
-has; decisions are joined back on both, so a host with a third of all captures is spread over its dates.
+Captures are first reduced to distinct (host, fetch time), which bounds the rows of a host by days where times are dates,
+however many pages it has; decisions are joined back on both, so a host with a third of all captures is spread over its times.
+Times are compared as they are given: dates as days, timestamps as instants; a date beside timestamps is its midnight.
 
-Results of odd rows: a capture without a host or date gets the action ``none``; entries with a null name, date or action
-are ignored; of entries of one name and date the action first in the order of ``STRICTEST`` counts, others after these
+Results of odd rows: a capture without a host or time gets the action ``none``; entries with a null name, time or action
+are ignored; of entries of one name and time the action first in the order of ``STRICTEST`` counts, others after these
 in their order; repeated captures are judged one by one.
 """
 
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRICTEST = ("block", "review", "allow")
-LABELS = 6      # domains above a host that are tried: names of up to so many labels, and the host itself
 
 
 def host(url: str) -> Column:
@@ -31,7 +31,7 @@ def names(name: str) -> Column:
     """The host and the domains above it, most labels first."""
     parts = F.split(F.col(name), r"\.")
     n = F.size(parts)
-    above = F.transform(F.sequence(F.lit(1), F.least(F.lit(LABELS), n)), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
+    above = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
     return F.array_distinct(F.concat(F.array(F.col(name)), above))
 
 

@@ -270,3 +270,12 @@ def test_licences_of_whole_and_wrapped_texts(spark):
     out = {r.id: r for r in licences.scan(files, "path", "body", F.col("path").endswith("LICENSE"), ["id"]).collect()}
     assert len(out) == len(texts)
     assert [(name, p, out[k].licence) for k, (name, p, _) in enumerate(texts) if out[k].licence != name] == []
+
+
+def test_url_lists_of_many_labels(spark):
+    day = datetime.date
+    deep = "a.b.c.d.e.f.g.h.i.org"
+    captures = spark.createDataFrame([(1, f"https://{deep}/x", day(2024, 3, 1)), (2, f"https://z.y.{deep}/x", day(2024, 3, 1)), (3, "https://h.i.org", day(2024, 3, 1))], "id int, url string, at date")
+    entries = spark.createDataFrame([("i.org", day(2024, 1, 1), "allow"), (deep.split(".", 1)[1], day(2024, 2, 1), "block")], "name string, dated date, action string")
+    out = sorted((r.id, r.matched_name, r.action) for r in url_lists.judge(captures, entries, "url", "at", ["id"]).collect())
+    assert out == [(1, "b.c.d.e.f.g.h.i.org", "block"), (2, "b.c.d.e.f.g.h.i.org", "block"), (3, "i.org", "allow")]

@@ -35,25 +35,33 @@ def names(name: str) -> Column:
     return F.array_distinct(F.concat(F.array(F.col(name)), above))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """``entries`` has name, dated and action. Returns name, action and the days [since, until) in which it holds."""
+def time_type(*columns: tuple[DataFrame, str]) -> str:
+    """The type in which times of these columns are compared: dates if all are dates, else timestamps as given."""
+    kinds = {df.select(c).dtypes[0][1] for df, c in columns}
+    return kinds.pop() if len(kinds) == 1 and kinds <= {"date", "timestamp", "timestamp_ntz"} else "timestamp"
+
+
+def intervals(entries: DataFrame, kind: str) -> DataFrame:
+    """``entries`` has name, dated and action. Returns name, action and the times [since, until) in which it holds; the
+    last entry of a name has no ``until``."""
     order = F.coalesce(*[F.when(F.col("action") == a, F.lit(k)) for k, a in enumerate(STRICTEST)], F.lit(len(STRICTEST)))
-    one = (entries.select(F.lower("name").alias("name"), F.col("dated").cast("date").alias("since"), "action").dropna()
+    one = (entries.select(F.lower("name").alias("name"), F.col("dated").cast(kind).alias("since"), "action").dropna()
            .groupBy("name", "since").agg(F.min_by("action", F.struct(order, "action")).alias("action")))
-    after = F.lead("since").over(Window.partitionBy("name").orderBy("since"))       # a row per name and day at most
-    return one.withColumn("until", F.coalesce(after, F.lit("9999-12-31").cast("date")))
+    return one.withColumn("until", F.lead("since").over(Window.partitionBy("name").orderBy("since")))     # a row per name and time at most
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str, fetched: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each capture, with host, matched_name, action and since."""
+    kind = time_type((captures, fetched), (entries, "dated"))
     own = captures.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], host(url).alias("_host"),
-                          F.col(fetched).cast("date").alias("_day"))
-    visits = own.select(F.col("_host").alias("host"), F.col("_day").alias("day")).dropna().distinct()
-    tried = visits.select("host", "day", F.explode(names("host")).alias("_name"))
-    valid = intervals(entries)
-    active = tried.join(valid, (F.col("_name") == F.col("name")) & (F.col("day") >= F.col("since")) & (F.col("day") < F.col("until")))
-    decided = active.groupBy("host", "day").agg(F.max_by(F.struct("name", "action", "since"), F.length("name")).alias("d"))
-    found = own.join(decided, (F.col("_host") == F.col("host")) & (F.col("_day") == F.col("day")), "left")
+                          F.col(fetched).cast(kind).alias("_time"))
+    visits = own.select(F.col("_host").alias("host"), F.col("_time").alias("time")).dropna().distinct()
+    tried = visits.select("host", "time", F.explode(names("host")).alias("_name"))
+    valid = intervals(entries, kind)
+    active = tried.join(valid, (F.col("_name") == F.col("name")) & (F.col("time") >= F.col("since"))
+                        & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
+    decided = active.groupBy("host", "time").agg(F.max_by(F.struct("name", "action", "since"), F.length("name")).alias("d"))
+    found = own.join(decided, (F.col("_host") == F.col("host")) & (F.col("_time") == F.col("time")), "left")
     return found.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], F.col("_host").alias("host"),
                         F.col("d.name").alias("matched_name"), F.coalesce("d.action", F.lit("none")).alias("action"),
                         F.col("d.since").alias("since"))

@@ -279,3 +279,17 @@ def test_url_lists_of_many_labels(spark):
     entries = spark.createDataFrame([("i.org", day(2024, 1, 1), "allow"), (deep.split(".", 1)[1], day(2024, 2, 1), "block")], "name string, dated date, action string")
     out = sorted((r.id, r.matched_name, r.action) for r in url_lists.judge(captures, entries, "url", "at", ["id"]).collect())
     assert out == [(1, "b.c.d.e.f.g.h.i.org", "block"), (2, "b.c.d.e.f.g.h.i.org", "block"), (3, "i.org", "allow")]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_url_lists_within_a_day(spark, kind):
+    def at(hour):
+        return datetime.datetime(2024, 3, 1, hour)
+
+    rows = [(k, "https://a.example.com/x", at(h)) for k, h in enumerate((7, 8, 9, 12, 20))]
+    captures = spark.createDataFrame(rows, "id int, url string, at timestamp_ntz").withColumn("at", F.col("at").cast(kind))
+    entries = spark.createDataFrame([("example.com", at(8), "block"), ("example.com", at(12), "allow"), ("a.example.com", at(18), "review"), ("example.com", at(12), "allow")],
+                                    "name string, dated timestamp_ntz, action string").withColumn("dated", F.col("dated").cast(kind))
+    out = url_lists.judge(captures, entries, "url", "at", ["id"])
+    assert dict(out.dtypes)["since"] == kind
+    assert [r.action for r in out.orderBy("id").collect()] == ["none", "block", "block", "allow", "review"]

@@ -29,16 +29,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Of rows with the same id and text
-    one stays; documents without an id are kept as they are."""
-    found = near_duplicates(docs, threshold=0.75, width=5)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(
-        kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id are grouped among
+    themselves, so a group that has both kinds keeps one of each. Texts without words are no group: of those with the same
+    id and text one stays, those without an id are kept as they are."""
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "deduplicated-rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), threshold=0.75, width=5)
+    found = found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_class"), (F.col("n_shingles") > 0).alias("_words"))
+    classed = rows.select("_row", "doc_id", F.md5("text").alias("_text")).join(found, F.col("_row") == F.col("_of"))
+    first = F.min_by("_row", F.struct("doc_id", "_row"))
+    linked = classed.filter("_words").groupBy("_class", F.col("doc_id").isNull()).agg(first.alias("_kept"))
+    empty = classed.filter("not _words and doc_id is not null").groupBy("doc_id", "_text").agg(F.min("_row").alias("_kept"))
+    others = classed.filter("not _words and doc_id is null").select(F.col("_row").alias("_kept"))
+    kept = linked.select("_kept").unionByName(empty.select("_kept")).unionByName(others)
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_deduplicated_handles_odd_rows(spark):
     rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "a", 1), (None, text, "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.deduplicated(spark, docs, FOLDER).collect()) == [0, 1, 3, 4]
+
+
+def test_deduplicated_keeps_one_row_of_each_group_for_repeated_and_missing_ids(spark):
+    one, two, three = ([f"{name}{k}" for k in range(40)] for name in ("river", "stone", "light"))
+    near = " ".join([*one[:39], "changed"])
+    rows = [(1, " ".join(one)), (5, " ".join(one)), (5, " ".join(two)), (7, " ".join(three)), (7, " ".join([*three[:39], "changed"])),
+            *[(None, near)] * 30, (None, " ".join(f"walk{k}" for k in range(40))), (9, ""), (9, ""), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = Counter((r.doc_id, (r.text or "")[:4]) for r in corpus_pipeline.deduplicated(spark, docs, FOLDER).collect())
+    assert got == Counter({(1, "rive"): 1, (5, "ston"): 1, (7, "ligh"): 1, (None, "rive"): 1, (None, "walk"): 1, (9, ""): 2, (None, ""): 1})

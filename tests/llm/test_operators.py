@@ -293,3 +293,16 @@ def test_url_lists_within_a_day(spark, kind):
     out = url_lists.judge(captures, entries, "url", "at", ["id"])
     assert dict(out.dtypes)["since"] == kind
     assert [r.action for r in out.orderBy("id").collect()] == ["none", "block", "block", "allow", "review"]
+
+
+def test_quality_of_looped_texts(spark):
+    rnd = random.Random(4)
+    pool = [a + b for a in ("wa", "ni", "lo", "ste", "ri", "tre") for b in ("ter", "ght", "ne", "ver", "wly", "nd", "ll")]
+
+    def prose(n):
+        return ". ".join(" ".join(rnd.sample(pool, 8)).capitalize() for _ in range(n)) + "."
+
+    loops = [lambda: " ".join([prose(1)] * 12), lambda: " ".join([rnd.choice(["Buy cheap", "Get free", "Take red"]) + " pills now."] * 30), lambda: "\n".join([prose(14)] * 4)]
+    rows = [(k, loops[k // 8 % 3]() if k % 8 == 0 else prose(rnd.randint(6, 40)), "en") for k in range(480)]
+    wrong = [(r.doc_id, r.score, r.weak_posterior) for r in quality.classify(docs_of(spark, rows)).collect() if r.quality != (0 if r.doc_id % 8 == 0 else 1)]
+    assert wrong == []

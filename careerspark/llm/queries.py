@@ -138,3 +138,14 @@ def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "documents").select("doc_id", "text", F.when(F.col("source").isNotNull() & F.col("doc_id").isNotNull(), path).alias("path"))
     last_line = F.substring_index("text", "\n", -1)
     return scan(files, "path", "text", is_licence_file=last_line.rlike(SPEAKS), keep=["doc_id"])
+
+
+@query
+def op12_prefix_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Besides the counts: bytes_in_limit, the length of the longest prefix with at most 512 tokens."""
+    import public_tokenizers
+
+    from .prefix_tokens import prefix_counts
+
+    counted = prefix_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=[512], store=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("cuts")[0].alias("bytes_in_limit"))

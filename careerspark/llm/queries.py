@@ -149,3 +149,23 @@ def op12_prefix_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     counted = prefix_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=[512], store=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("cuts")[0].alias("bytes_in_limit"))
+
+
+@query
+def op11_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from .conversations import COUNTS, digest, gaps, repair
+
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.withColumn("fate", F.crc32(named.cast("binary")) % 20)
+    fate, text = F.col("fate"), F.coalesce("text", space)
+    damaged = rows.filter(fate != 0).select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    done = digest(repair(damaged)).withColumnRenamed("conv_id", "_conv")
+    every = rows.groupBy("conv_id").agg(gaps(F.when(fate != 0, F.col("turn"))).alias("gaps"))
+    found = every.join(done, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    none = {**dict.fromkeys([*COUNTS, "cost"], F.lit(0).cast("long")), "audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return found.select("conv_id", "gaps", *[F.coalesce(c, none[c]).alias(c) for c in none])

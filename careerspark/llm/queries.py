@@ -169,3 +169,23 @@ def op11_lightest_repair(spark: SparkSession, folder: str) -> DataFrame:
     found = every.join(done, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     none = {**dict.fromkeys([*COUNTS, "cost"], F.lit(0).cast("long")), "audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
     return found.select("conv_id", "gaps", *[F.coalesce(c, none[c]).alias(c) for c in none])
+
+
+@query
+def op13_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from .ball_tree import ranked
+
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+SQL["op13_ball_tree"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS big_n, sum(len(terms)) AS big_l FROM w WHERE len(terms) > 0),
+t AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM w),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY doc_id, n, term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+p AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN d USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""

@@ -1,15 +1,24 @@
 """Text quality from weak labels.
 
-Heuristic labellers vote good, bad or nothing on each text. Expectation-maximisation over the counts of all vote
-patterns of the corpus estimates how often good and bad texts get each vote of each labeller, which gives every
-pattern a posterior. Posteriors of a bounded sample then train a linear scorer on hashed features, so that texts on
-which labellers say nothing or err are judged by what the text looks like: its words, its letters, the shapes of its signs
-and how much of it, over its whole length, has been said before.
-
-Patterns are at most 3 to the number of labellers; the sample is ``sample`` texts, those with the smallest hash of id.
+Heuristic labellers measure each text and vote good, bad or nothing on it. What counts as much is judged against the
+corpus: where a quarter of all texts reach a labeller's good bound, its bounds move up by the difference, so that a habit of the
+corpus (passages said twice, no stops, few words) is no fault. Expectation-maximisation over the counts of all vote
+patterns of the corpus then estimates, for a few kinds of text, how often each kind gets each vote of each labeller; all rates
+are learnt, from a prior that weighs as much as one text in twenty. Good are the kinds that most labellers call good
+and that make up a fair share of the corpus, or else the one that labellers call good most often, so no corpus is bad as a
+whole. Posteriors of a bounded sample train a linear scorer on hashed features, so that texts on which
+labellers say nothing or err are judged by what the text looks like: its words, its letters, the shapes of its signs
+and how much of it, over its whole length, has been said before. Its threshold keeps all but one in 200 of the texts
+that labellers call good.
+
+Patterns are at most 3 to the number of labellers. The sample is ``sample`` texts, those with the smallest hash of id and text
+(and rows equal to the last of these); it comes to the driver as sparse rows and is held there as one table of ``sample`` x 4,096
+single-precision numbers (98 MB), all other statistics cover all texts.
 
 Results of odd rows: a null or empty text has quality 0 and score 0; repeated rows are judged one by one; with no
-text at all to learn from every text is kept with the score of the prior.
+text at all to learn from every text is kept with the score of the prior. A very long text is read whole; it needs some
+60 bytes of memory a byte, in one task. Columns other than the id, the text and those of ``keep`` are not read; ``keep`` must not
+name a result column.
 """
 
 from __future__ import annotations
@@ -22,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import mixed, slices, text_bytes, word_hashes, word_spans
+from .common import mixed, saved, slices, text_bytes, word_hashes, word_spans
 
 SAMPLE = 6_000
+RESULTS = ("quality", "score", "weak_posterior")
 #: Hashed features of each family; a text's features are shares, so its length does not matter.
 SHAPES, WORDS, LETTERS, LOOPS = 2_048, 1_024, 1_008, 16
 BINS = SHAPES + WORDS + LETTERS + LOOPS
@@ -32,10 +42,15 @@ LOOP = 8                    # words in a row that count as said before when the
 LABELLERS = ("odd_words", "symbols", "capitals", "repeats", "variety", "prose", "loops")
 #: Bounds of (bad, good) of each labeller; between them it says nothing. Large values are bad.
 BOUNDS = {"odd_words": (0.30, 0.10), "symbols": (0.09, 0.06), "capitals": (0.40, 0.20), "repeats": (0.20, 0.05),
-          "variety": (0.60, 0.45), "prose": (0.97, 0.93), "loops": (0.30, 0.15)}
+          "variety": (0.60, 0.45), "prose": (0.97, 0.93), "loops": (0.60, 0.40)}
 FEW = 40                    # signs added to a text, so that a few of them prove nothing
-#: Labellers that see the faults of each kind of text: good, bad in form, bad in content, good but said over and over.
+#: Labellers that see what is special of each kind of text: nothing, faults of form, of content, things said over and over.
 KINDS = ((), ("odd_words", "symbols", "capitals", "prose"), ("repeats", "variety", "prose", "loops"), ("loops",))
+HABIT = 0.75                # the quantile of the corpus that a labeller's good bound is held against
+PRIOR = 0.05                # texts that the prior of the rates stands for, as a share of all
+FAIR = 0.25                 # the share of the corpus from which a kind that most labellers call good is good
+LOST = 0.005                # texts called good by labellers that the scorer may call bad
+LEVELS = 1_000              # measures are kept in so many steps of 0 to 1
 SHORT = 20                  # words; a shorter text has no prose to speak of
 SHAPE = np.zeros(256, np.uint64)
 for _b in range(256):       # letters of one case, digits and white space are alike; each other sign is itself
@@ -102,13 +117,21 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         np.where(n >= SHORT, 1 - _sums(stopped, bounds) / count, 0.95), _sums(looped, bounds) / (count + 3)]), text, same, words, looped
 
 
-def _votes(measures: np.ndarray) -> np.ndarray:
+def _steps(measures: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(measures * LEVELS), 0, LEVELS).astype(np.int32)
+
+
+def corpus_bounds(habits: list[int | None]) -> np.ndarray:
+    """(bad, good) of each labeller in steps, moved up by what the habit of the corpus exceeds the good bound."""
+    bounds = np.array([[round(x * LEVELS) for x in BOUNDS[name]] for name in LABELLERS])
+    over = [0 if h is None else max(0, h - good) for h, (_, good) in zip(habits, bounds.tolist())]
+    return bounds + np.array(over)[:, None]
+
+
+def _votes(steps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Votes of each text as digits of base 3: 0 nothing, 1 good, 2 bad."""
-    pattern = np.zeros(measures.shape[1], np.int64)
-    for k, name in enumerate(LABELLERS):
-        bad, good = BOUNDS[name]
-        pattern += 3 ** k * np.where(measures[k] >= bad, 2, np.where(measures[k] <= good, 1, 0))
-    return pattern
+    votes = np.where(steps >= bounds[:, :1], 2, np.where(steps <= bounds[:, 1:], 1, 0))
+    return (votes * 3 ** np.arange(len(LABELLERS))[:, None]).sum(axis=0)
 
 
 def _bins(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, same: np.ndarray, words: np.ndarray,
@@ -137,55 +160,47 @@ def _bins(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, same: np.ndar
             (of[inside], SHAPES + WORDS + letters.astype(np.int64)), (text, SHAPES + WORDS + LETTERS + looped.astype(np.int64))]
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, int] = {}
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts there are of each value of each measure, and of each set of measures."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
         for i, j in slices(offsets):
             part, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            patterns, n = np.unique(_votes(_measures(part, at)[0])[np.diff(at) > 0], return_counts=True)
-            for p, c in zip(patterns.tolist(), n.tolist()):
-                counts[p] = counts.get(p, 0) + c
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                                     names=["pattern", "n"])
+            steps = _steps(_measures(part, at)[0])[:, np.diff(at) > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(row) for row in steps], names=list(LABELLERS))
 
 
-def _example(posterior: np.ndarray):
+def _example(posterior: np.ndarray, bounds: np.ndarray):
+    """The features of each text as a sparse row, with its posterior."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for i, j in slices(offsets):
                 part, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
                 measures, *of_words = _measures(part, at)
-                rows = np.zeros((j - i, BINS), np.float32) if j - i <= 4096 else None
                 families = _bins(part, at, *of_words)
-                target = posterior[_votes(measures)]
+                target = posterior[_votes(_steps(measures), bounds)]
                 for d in range(j - i):
-                    x = np.zeros(BINS, np.float32) if rows is None else rows[d]
+                    x = np.zeros(BINS, np.float32)
                     for of, bins in families:
                         a, b = np.searchsorted(of, [d, d + 1])
                         if b > a:
                             x += np.bincount(bins[a:b], minlength=BINS) / (b - a)
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([target[d]])], names=["x", "good"])
+                    at_bin = np.flatnonzero(x).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([pa.array([at_bin.tobytes()]), pa.array([x[at_bin].tobytes()]), pa.array([target[d]])],
+                                                     names=["bins", "shares", "good"])
     return run
 
 
 def fitted_labellers(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Posterior of good for every vote pattern.
-
-    Votes are independent within a kind of text: good, bad in form, bad in content, or said over and over. At the start, labellers seldom
-    call a good text bad, and those that look at a kind of fault mostly call texts with it bad; good texts are nine
-    in ten. The start decides which kind is which.
-    """
+    """Posterior of good for every vote pattern. Votes are independent within a kind of text."""
     digits = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
-    chance = np.empty((len(KINDS), len(LABELLERS), 3))       # kind; labeller; vote nothing, good, bad
+    prior = np.empty((len(KINDS), len(LABELLERS), 3))       # kind; labeller; vote nothing, good, bad
     for kind, sees in enumerate(KINDS):
-        chance[kind] = [[0.2, 0.2, 0.6] if x in sees else [0.18, 0.8, 0.02] for x in LABELLERS]
-    # Kinds that differ in one labeller alone cannot be told apart by counts: that a good text hardly ever says so much
-    # twice is held, not estimated.
-    hardly = LABELLERS.index("loops"), [0.1, 0.8995, 0.0005]
-    chance[0, hardly[0]] = hardly[1]
-    share = np.array([0.9, 0.04, 0.04, 0.02])
+        seldom = 0.02 if kind else 0.005
+        prior[kind] = [[0.2, 0.2, 0.6] if x in sees else [0.18, 0.82 - seldom, seldom] for x in LABELLERS]
+    chance, share = prior, np.array([0.9, 0.04, 0.04, 0.02])
+    held = PRIOR * n.sum()
 
     def posterior(of: np.ndarray) -> np.ndarray:
         logs = np.log(share)[None] + sum(np.log(chance[:, k, of[:, k]]).T for k in range(len(LABELLERS)))
@@ -195,37 +210,52 @@ def fitted_labellers(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) ->
 
     for _ in range(rounds if n.sum() else 0):
         weight = posterior(digits) * n[:, None]
+        counts = np.stack([[weight[digits[:, k] == vote].sum(axis=0) for vote in range(3)] for k in range(len(LABELLERS))])
+        chance = counts.transpose(2, 0, 1) + held * share[:, None, None] * prior + 0.5 * prior
+        chance = chance / chance.sum(axis=2, keepdims=True)
         share = (weight.sum(axis=0) + 1) / (n.sum() + len(KINDS))
-        for k in range(len(LABELLERS)):
-            for vote in range(3):
-                chance[:, k, vote] = weight[digits[:, k] == vote].sum(axis=0) + 0.5
-        chance /= chance.sum(axis=2, keepdims=True)
-        chance[0, hardly[0]] = hardly[1]
+    calls_good = (chance[:, :, 1] > chance[:, :, 2]).sum(axis=1)
+    good = (2 * calls_good > len(LABELLERS)) & (share >= FAIR)
+    if not good.any():
+        good = np.arange(len(KINDS)) == (chance[:, :, 1].mean(axis=1)).argmax()
     every = np.arange(3 ** len(LABELLERS))
-    return posterior((every[:, None] // 3 ** np.arange(len(LABELLERS))) % 3)[:, 0]
+    return posterior((every[:, None] // 3 ** np.arange(len(LABELLERS))) % 3)[:, good].sum(axis=1)
 
 
 def fitted_scorer(x: np.ndarray, good: np.ndarray, steps: int = 300, rate: float = 2.0) -> tuple[np.ndarray, float]:
-    """Logistic regression on posteriors; both classes weigh the same. Returns weights and bias."""
+    """Logistic regression on posteriors; both classes weigh the same. Returns weights and bias, and works in place of ``x``."""
     w, bias = np.zeros(x.shape[1], np.float64), 0.0
-    if not len(x):
-        return w, 2.0
-    weight = np.where(good >= 0.5, 0.5 / max((good >= 0.5).sum(), 1), 0.5 / max((good < 0.5).sum(), 1))
-    if (good >= 0.5).all() or (good < 0.5).all():
-        return w, 2.0 if (good >= 0.5).all() else -2.0
-    scale = (1 / (x.std(axis=0) + 1e-3)).astype(np.float32)
-    z, grad_w, grad_b = x * scale, np.zeros_like(w), 0.0        # one copy of single precision: the largest table here
-    centre = weight @ z / weight.sum()
-    z -= centre.astype(np.float32)
+    called_good = good >= 0.5
+    if not len(x) or called_good.all() or not called_good.any():
+        return w, 2.0 if not len(x) or called_good.all() else -2.0
+    weight = np.where(called_good, 0.5 / called_good.sum(), 0.5 / (~called_good).sum())
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean ** 2, 0))
+    scale = (1 / (spread + 1e-3)).astype(np.float32)
+    x *= scale
+    centre = weight @ x / weight.sum()
+    x -= centre.astype(np.float32)
+    grad_w, grad_b = np.zeros_like(w), 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w.astype(np.float32) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -30, 30)))
         gap = weight * (p - good)
-        grad_w, grad_b = 0.9 * grad_w + z.T @ gap.astype(np.float32) + 1e-3 * w, 0.9 * grad_b + gap.sum()
+        grad_w, grad_b = 0.9 * grad_w + x.T @ gap.astype(np.float32) + 1e-3 * w, 0.9 * grad_b + gap.sum()
         w, bias = w - rate / len(LABELLERS) * 0.05 * grad_w, bias - rate * 0.1 * grad_b
+    least = np.quantile((x @ w.astype(np.float32))[called_good], LOST)
+    bias = max(bias, 1e-6 - least)
     return w * scale, float(bias - (w * centre).sum())
 
 
-def _judge(posterior: np.ndarray, w: np.ndarray, bias: float):
+def _examples(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse rows written into one table, as they come to the driver."""
+    x, good = np.zeros((n, BINS), np.float32), np.zeros(n)
+    for k, r in enumerate(rows.toLocalIterator()):
+        x[k, np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
+        good[k] = r["good"]
+    return x, good
+
+
+def _judge(posterior: np.ndarray, bounds: np.ndarray, w: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
@@ -240,7 +270,7 @@ def _judge(posterior: np.ndarray, w: np.ndarray, bias: float):
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)],
                      pa.array((score >= 0.5).astype(np.int32)), pa.array(score),
-                     pa.array(np.where(np.diff(at) > 0, posterior[_votes(measures)], 0.0))],
+                     pa.array(np.where(np.diff(at) > 0, posterior[_votes(_steps(measures), bounds)], 0.0))],
                     names=[*batch.schema.names[:-1], "quality", "score", "weak_posterior"])
     return run
 
@@ -248,19 +278,44 @@ def _judge(posterior: np.ndarray, w: np.ndarray, bias: float):
 def classify(docs: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Judges every row's text: the columns ``keep`` (doc_id if not given), quality (1 good, 0 bad), score (0 to 1) and
     weak_posterior, what the labellers alone say."""
-    texts = docs.select(F.col(text).alias("_text"))
-    counts = texts.mapInArrow(_vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
-    posterior = fitted_labellers(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
-    hashed = docs.filter(F.length(text) > 0).select(F.xxhash64("doc_id").alias("_h"), F.col(text).alias("_text"))
-    bound = hashed.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
-    examples = (hashed.filter(F.col("_h") <= bound).select("_text").mapInArrow(_example(posterior), "x binary, good double")
-                .limit(sample).toPandas() if bound is not None else None)
-    if examples is None:
-        x, good = np.zeros((0, BINS), np.float32), np.zeros(0)
-    else:
-        x, good = np.frombuffer(b"".join(examples["x"]), np.float32).reshape(-1, BINS), examples["good"].to_numpy()
-    w, bias = fitted_scorer(x, good)
-    fields = docs.select(*(keep or ["doc_id"]), F.col(text).alias("_text"))
+    keep = keep or ["doc_id"]
+    clash = [c for c in keep if c in RESULTS]
+    if clash:
+        raise ValueError(f"keep names result columns: {', '.join(clash)}")
+    steps = saved(docs.select(F.col(text).alias("_text")).mapInArrow(_measured, ", ".join(f"{x} int" for x in LABELLERS)), "quality-measures")
+    bounds = corpus_bounds(_habits(steps))
+    vote = sum((F.when(F.col(x) >= int(bad), 2).when(F.col(x) <= int(good), 1).otherwise(0) * 3 ** k for k, (x, (bad, good)) in enumerate(zip(LABELLERS, bounds))), F.lit(0))
+    counts = steps.groupBy(vote.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).collect()
+    posterior = fitted_labellers(np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.float64))
+    texts = _sample(docs.filter(F.length(text) > 0).select(F.xxhash64("doc_id", text).alias("_h"), F.col(text).alias("_text")),
+                    sample, sum(r["n"] for r in counts))
+    rows = saved(texts.mapInArrow(_example(posterior, bounds), "bins binary, shares binary, good double"), "quality-examples")
+    w, bias = fitted_scorer(*_examples(rows, rows.count()))
+    fields = docs.select(*keep, F.col(text).alias("_text"))
     schema = (StructType(fields.schema.fields[:-1]).add("quality", IntegerType()).add("score", DoubleType())
               .add("weak_posterior", DoubleType()))
-    return fields.mapInArrow(_judge(posterior, w, bias), schema)
+    return fields.mapInArrow(_judge(posterior, bounds, w, bias), schema)
+
+
+def _sample(hashed: DataFrame, sample: int, n: int) -> DataFrame:
+    """The texts with the ``sample`` smallest hashes, each once however often it is repeated."""
+    share = min(1.0, 4 * sample / max(1, n))
+    while True:
+        low = hashed.filter(F.col("_h") <= int(share * 2.0 ** 63) * 2 - (1 << 63)) if share < 1 else hashed
+        found = low.select("_h").distinct().orderBy("_h").limit(sample).agg(F.count("_h"), F.max("_h")).first()
+        if found[0] >= sample or share >= 1:
+            return hashed.filter(F.col("_h") <= F.lit(found[1])).dropDuplicates(["_h"]).select("_text")
+        share = min(1.0, 16 * share)
+
+
+def _habits(steps: DataFrame) -> list[int | None]:
+    """What a quarter of all texts reach in each measure."""
+    long = steps.select(F.posexplode(F.array(*LABELLERS)).alias("k", "step")).groupBy("k", "step").agg(F.count(F.lit(1)).alias("n"))
+    found: list[int | None] = [None] * len(LABELLERS)
+    by_measure: dict[int, list[tuple[int, int]]] = {}
+    for r in long.collect():        # at most LEVELS + 1 rows a labeller
+        by_measure.setdefault(r["k"], []).append((r["step"], r["n"]))
+    for k, pairs in by_measure.items():
+        step, n = np.array(sorted(pairs)).T
+        found[k] = int(step[np.searchsorted(np.cumsum(n), HABIT * n.sum())])
+    return found

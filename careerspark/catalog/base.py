@@ -6,8 +6,6 @@ doubles hold exactly, so sums do not depend on the order in which rows are added
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +18,7 @@ from ..operators.classify import grade, rank_group, ranked_flag
 from ..operators.resolve import attach_ranking
 from ..operators.sequence import milestone_means, number_events, split_columns, split_diff
 from ..operators.skew import oversized
-from ..sources.stages import save_stage
+from ..sources.stages import session_stages
 
 
 @dataclass(frozen=True)
@@ -39,21 +37,9 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster. A local session, with one machine, may go without: it gets one folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="careerspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """A summary written once, for queries that read it several times."""
-    return save_stage(df, f"{name}-{uuid.uuid4().hex}", work_folder(df.sparkSession))
+    """A summary written once, for queries that read it several times; the same summary is not written again."""
+    return session_stages(df.sparkSession).keep(df, name)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as fn
 from ..sources import delimited, stages
-from .base import query, rounded_sql, table, work_folder
+from .base import query, rounded_sql, table
 
 # Order dates as text; for pending orders only the year is known, and some prices are words.
 TEXT = """t AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
@@ -44,7 +44,7 @@ def parse_problems(spark, folder):
 TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM t""")
 def csv_round_trip(spark, folder):
     """Orders written as CSV text and read back with declared types."""
-    path = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{stages.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     delimited.write_table(_text(spark, folder), path, "csv")
     return delimited.read_csv(spark, path, SCHEMA, DATES)
 
@@ -52,7 +52,7 @@ def csv_round_trip(spark, folder):
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(floor(o_totalprice) AS DOUBLE) AS o_totalprice FROM orders""")
 def csv_by_header(spark, folder):
     """Orders written as CSV with more columns and another order, of which the declared ones are read by name."""
-    path = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{stages.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     orders = table(spark, folder, "orders").select(
         "o_orderstatus", F.floor("o_totalprice").alias("o_totalprice"), "o_orderpriority", "o_orderkey", "o_custkey",
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"))
@@ -63,7 +63,7 @@ def csv_by_header(spark, folder):
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stage_round_trip(spark, folder):
     """Customers saved as a stage and loaded again."""
-    base, name = work_folder(spark), f"customer-{uuid.uuid4().hex}"
+    base, name = stages.shared_folder(spark), f"customer-{uuid.uuid4().hex}"
     stages.save_stage(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), name, base)
     return stages.load_stage(spark, name, base)
 

@@ -2,8 +2,8 @@
 
 Numbering needs all events of one entity in order, and one entity may hold a large part of the log.
 ``annotate`` therefore looks for entities with more rows than one task should sort. Without any, a plain
-window is planned. Those that exist are cut into cells along the order columns: each cell is ordered by a task of
-its own, and a small ledger of per-cell counts and sums carries the totals from cell to cell.
+window is planned. Those that exist are cut into cells by an exchange over ranges of the order columns: each cell is
+ordered by a task of its own, and a small ledger of per-cell counts and sums carries the totals from cell to cell.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_col, max_of, mean_of, min_of, round_half_up, weeks_between, years_from_weeks
-from .skew import AUTO, hot_cells, hot_rows, join_back, join_cells, key_list, lookup_join, with_cells
+from .skew import AUTO, hot_cells, join_back, join_cells, key_list, lookup_join, with_cells
 
 def _ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in key_list(order)]
@@ -75,7 +75,7 @@ def annotate(
     out = source.withColumns(ordered)
 
     if levels:
-        ledger = _ledger(df, keys, key_list(order), levels, measures)
+        ledger = _ledger(source.filter(F.size("_cell") > 0), keys, measures)
         out = join_cells(out, ledger, keys)
         carried = {}
         for name in ordered:
@@ -105,12 +105,11 @@ def annotate(
     return out.select(*[F.col(c) for c in kept], *[v.alias(k) for k, v in final.items()])
 
 
-def _ledger(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame], measures: list[str]) -> DataFrame:
+def _ledger(cells: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Per cell: what lies before it in its group, and the totals of the group.
 
     The rows are as many as the cells: a few for each task's share of the rows of oversized groups.
     """
-    cells = with_cells(hot_rows(df, keys, levels), keys, order, levels)
     per_cell = cells.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_c"), *[F.sum(m).alias(f"_s{i}") for i, m in enumerate(measures)],
         *[F.count(m).alias(f"_n{i}") for i, m in enumerate(measures)])

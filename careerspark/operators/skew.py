@@ -7,18 +7,18 @@ one counting pass.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stages import session_stages
+
 MAX_GROUP_ROWS_CONF = "spark.careerspark.maxGroupRows"
 MAX_GROUP_ROWS = 5_000_000
 PARTS_PER_TASK_SHARE = 4    # parts of an oversized key in a join of many to many, per task's share of its rows
 CELLS_PER_TASK_SHARE = 2    # cells per task's share of rows: finer than needed, because a sample places them
-SAMPLES_PER_CELL = 60
 
 
 AUTO = "auto"   # look for oversized groups; None = there are none, or a result of ``oversized``
@@ -105,10 +105,12 @@ def lookup_join(df: DataFrame, side: DataFrame, on: dict[str, str], how: str = "
 
 
 def join_known(df: DataFrame, side: DataFrame, key: str, side_key: str) -> DataFrame:
-    """Left join in which rows without a key match nothing, and are spread by their content instead of meeting in one task."""
+    """Left join on a key of any type, in which rows without a key match nothing. They are spread by their content, through
+    a second column of the join that is 0 for all rows with a key and on the other side."""
     content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = F.coalesce(F.col(key), F.xxhash64(*content).cast(df.schema[key].dataType))
-    return df.join(side, F.col(key).isNotNull() & (spread == F.col(side_key)), "left")
+    salted = df.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(*content)).otherwise(F.lit(0).cast("long")))
+    known = side.withColumn("_zero", F.col(side_key).isNull().cast("long"))      # no literal, which would not be a join key
+    return salted.join(known, (F.col(key) == F.col(side_key)) & (F.col("_spread") == F.col("_zero")), "left").drop("_spread", "_zero")
 
 
 def join_back(df: DataFrame, agg: DataFrame, keys: str | Sequence[str], how: str = "inner",
@@ -125,60 +127,30 @@ def join_back(df: DataFrame, agg: DataFrame, keys: str | Sequence[str], how: str
 
 def hot_cells(df: DataFrame, entity: str | Sequence[str], order: Sequence[str],
               heavy: DataFrame | None | str = AUTO) -> list[DataFrame]:
-    """How oversized groups are cut: a small literal table of boundaries, none without such groups.
-
-    A boundary is a whole tuple of the order columns, of any type that sorts. A sample of each group, chosen by a hash
-    of these columns, is sorted and every so-manieth tuple taken, so cells hold about equally many rows however the
-    values are spread; rows equal in all order columns share a cell. Boundaries steer balance only, never results.
-    The table is pinned, so that all users of the cells see the same ones even if a lost executor makes Spark compute
-    a part again.
-    """
-    keys, cols = key_list(entity), key_list(order)
-    groups = oversized(df, keys) if isinstance(heavy, str) else heavy
-    if groups is None:
-        return []
-    spark, limit = df.sparkSession, group_limit(df)
-    members = df.join(F.broadcast(groups), _matching(keys), "left_semi")
-    hot = [T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys]
-    sizes = []
-    for r in members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect():   # one row per group of ``oversized``
-        cells = math.ceil(r["_n"] / limit) * CELLS_PER_TASK_SHARE
-        sizes.append((*[r[k] for k in keys], cells, max(1, r["_n"] // (cells * SAMPLES_PER_CELL))))
-    if not sizes:
-        return []
-    shape = T.StructType([*hot, T.StructField("_cells", T.LongType()), T.StructField("_every", T.LongType())])
-    at = _place(cols)
-    sampled = (members.join(F.broadcast(spark.createDataFrame(sizes, shape)), _matching(keys))
-               .filter(F.pmod(F.xxhash64(*cols), F.col("_every")) == 0)
-               .groupBy(*keys, "_cells").agg(F.sort_array(F.collect_list(at)).alias("_sorted")))
-    step = F.size("_sorted") / F.col("_cells")
-    bounds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_cells") - 1), lambda i: F.get("_sorted", F.floor(i * step).cast("int"))))
-    level = sampled.select(*keys, bounds.alias("_bounds"))
-    found = [(*[r[k] for k in keys], r["_bounds"]) for r in level.collect()]
-    return [spark.createDataFrame(found, T.StructType([*hot, T.StructField("_bounds", level.schema["_bounds"].dataType)]))]
-
-
-def _place(order: Sequence[str]) -> Column:
-    """The order columns as one value that sorts like them, missing values last."""
-    return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    """The groups that are cut, as one small literal table; none without such groups."""
+    groups = oversized(df, key_list(entity)) if isinstance(heavy, str) else heavy
+    return [] if groups is None else [groups]
 
 
 def with_cells(df: DataFrame, keys: list[str], order: list[str], levels: Sequence[DataFrame]) -> DataFrame:
-    """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut."""
+    """Adds ``_cell``, a list that sorts like the order columns; empty for groups that are not cut.
+
+    Rows of groups that are cut go through an exchange by ranges of (group, order columns), whose bounds Spark samples:
+    a cell is what one partition gets of one group, about half of ``maxGroupRows`` however the values are
+    spread, and finding it costs a row the same few comparisons whatever the number of cells. Rows equal in all of these columns share a
+    cell. The rows are written with their cells (``session_stages``), so all users of the cells see the same ones even if
+    a lost executor makes Spark compute a part again. Cells steer balance only, never results.
+    """
     none = F.array().cast("array<bigint>")
     if not levels:
         return df.withColumn("_cell", none)
-    at = _place(key_list(order))
-    cell = F.size(F.filter("_bounds", lambda b: b <= at)).cast("bigint")
-    return (df.join(F.broadcast(levels[0]), _matching(keys), "left")
-            .withColumn("_cell", F.when(F.col("_bounds").isNotNull(), F.array(cell)).otherwise(none))
-            .drop(*[f"_hot_{k}" for k in keys], "_bounds"))
-
-
-def hot_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[DataFrame]) -> DataFrame:
-    """The rows of the groups that are cut."""
-    groups = levels[0].select(*[f"_hot_{k}" for k in keys])
-    return df.join(F.broadcast(groups), _matching(keys), "left_semi")
+    groups = levels[0]
+    parts = groups.agg(F.sum(F.ceil(F.col("_hot_count") / group_limit(df)))).first()[0] * CELLS_PER_TASK_SHARE
+    by = [F.col(c).asc_nulls_last() for c in [*keys, *key_list(order)]]
+    rows = df.join(F.broadcast(groups), _matching(keys), "left_semi").repartitionByRange(int(parts), *by)
+    cut = session_stages(df.sparkSession).keep(rows.withColumn("_cell", F.array(F.spark_partition_id().cast("bigint"))), "cells")
+    others = df.join(F.broadcast(groups), _matching(keys), "left_anti").withColumn("_cell", none)
+    return cut.unionByName(others)
 
 
 def join_cells(df: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:

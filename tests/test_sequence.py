@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -194,3 +195,32 @@ def test_any_order_is_cut_evenly(spark, small_groups, order):
     got = seq.number_events(df, "e", ["d", "o", "id"], "num").select("id", "num").collect()
     want = {r.id: k for k, r in enumerate(df.select("o", "id").orderBy("o", "id").collect(), 1)}
     assert {r.id: r.num for r in got} == want
+
+
+def test_a_thousand_cells(spark):
+    """The same rows, and a plan in which no row looks through the bounds of the cells."""
+    spark.conf.set(skew.MAX_GROUP_ROWS_CONF, "40")
+    try:
+        df = spark.range(20_000).select((F.col("id") % 3 == 0).cast("int").alias("e"), (F.col("id") * 7919 % 20_011).alias("o"), (F.col("id") % 97).alias("x"), "id").repartition(4)
+        levels = skew.hot_cells(df, "e", ["o"])
+        assert skew.with_cells(df, ["e"], ["o"], levels).select("_cell").distinct().count() >= 900
+        cut = seq.annotate(df, "e", ["o"], number="n", size="s", running_means={"m": "x"}, group_sums={"g": "x"})
+        assert "lambda" not in cut._jdf.queryExecution().executedPlan().toString()
+        plain = seq.annotate(df, "e", ["o"], number="n", size="s", running_means={"m": "x"}, group_sums={"g": "x"}, heavy=None)
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.unset(skew.MAX_GROUP_ROWS_CONF)
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "string", "boolean", "decimal(9,2)"])
+def test_joins_of_rows_without_a_key(spark, kind):
+    """Nine rows in ten have no key: none of them matches, and they do not meet in one task."""
+    key = F.when(F.col("id") % 10 == 0, F.date_add(F.lit("2001-01-01"), (F.col("id") % 70).cast("int")) if kind == "date" else
+                 (F.col("id") % 20 == 0) if kind == "boolean" else (F.col("id") % 70).cast(kind))
+    df = spark.range(2000).select("id", key.alias("k"))
+    side = df.filter("k is not null").groupBy("k").agg(F.max("id").alias("top")).unionByName(spark.range(1).select(F.lit(None).cast(kind).alias("k"), F.lit(-1).cast("long").alias("top")))
+    side = side.withColumnRenamed("k", "sk")
+    got = {r.id: r.top for r in skew.join_known(df, side, "k", "sk").collect()}
+    best = {r.sk: r.top for r in side.collect()}
+    assert got == {r.id: None if r.k is None else best[r.k] for r in df.collect()}
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, _spread#", skew.join_known(df, side.hint("merge"), "k", "sk")._jdf.queryExecution().executedPlan().toString())

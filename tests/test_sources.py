@@ -61,3 +61,48 @@ def test_columns_are_taken_by_name(spark, tmp_path):
     assert sorted(r.record for r in delimited.record_problems(spark, str(path)).collect()) == ["2002,.34,.71", "2003,.3,.7,.72,.88,1.2,1.6,2.1,x,y"]
     with pytest.raises(ValueError, match="IP"):
         inputs.read_leaderboard(spark, str(path))
+
+
+def test_tables_of_a_scope_are_reused_and_removed(spark, tmp_path):
+    source = tmp_path / "source"
+    spark.range(50).write.parquet(str(source))
+
+    def doubled():
+        return spark.read.parquet(str(source)).selectExpr("id", "id * 2 as twice")
+
+    with stages.Stages(spark, str(tmp_path / "base")) as scope:
+        first = scope.keep(doubled(), "doubled")
+        assert scope.keep(doubled(), "doubled") is first and len(scope.paths) == 1
+        other = scope.keep(doubled().filter("id > 3"), "doubled")
+        assert len(scope.paths) == 2 and (first.count(), other.count()) == (50, 46)
+        spark.range(50, 60).write.mode("append").parquet(str(source))
+        assert scope.keep(doubled(), "doubled").count() == 60 and len(scope.paths) == 3
+        chance = [scope.keep(doubled().selectExpr("id", "rand() as r")) for _ in range(2)]
+        assert chance[0] is not chance[1]
+    assert not [f for f in (tmp_path / "base").rglob("*") if f.is_file()] and scope.paths == []
+
+
+def test_tables_of_the_session_go_with_it(spark):
+    scope = stages.session_stages(spark)
+    assert stages.session_stages(spark) is scope
+    scope.keep(spark.range(3))
+    system, place = scope._system(scope.paths[-1])
+    assert system.exists(place)
+
+
+def test_a_program_leaves_no_files(tmp_path):
+    import subprocess
+    import sys
+    program = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from careerspark.sources.stages import session_stages
+assert session_stages(spark).keep(spark.range(5)).count() == 5
+"""
+    subprocess.run([sys.executable, "-c", program], check=True, timeout=120, cwd=entry_folder())
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def entry_folder():
+    from pathlib import Path
+    return Path(__file__).resolve().parent.parent

@@ -76,9 +76,7 @@ FROM g"""
         "POST_150_WOBA_GRADE": ("rp150", 600, "true", "Bad"), "POST_600_WOBA_GRADE": ("rp600", 1800, "true", "Bad")}, 150, []))
 def published_batters(spark, folder):
     plays = _plays(spark, folder)
-    latest = balance_ranking(table(spark, folder, "supplier"), "s_suppkey", "s_acctbal").select(
-        F.concat(F.lit("S"), F.col("ranked_key").cast("string")).alias("ID"), F.col("rank").alias("PROSPECT_RANK"))
-    return players.publish_players(players.batters(plays, _people(plays), latest, ORDER), "BAT")
+    return players.publish_players(players.batters(plays, _people(plays), _latest(spark, folder)[0], ORDER), "BAT")
 
 
 @query(_published_sql(
@@ -98,6 +96,33 @@ def published_batters(spark, folder):
 def published_pitchers(spark, folder):
     """Nations ranked by region and key, one region unranked; means of workload under the strict null rule."""
     plays = _plays(spark, folder)
+    return players.publish_players(players.pitchers(plays, _people(plays), _latest(spark, folder)[1], order=ORDER), "PIT")
+
+
+def _latest(spark, folder):
+    batting = balance_ranking(table(spark, folder, "supplier"), "s_suppkey", "s_acctbal").select(
+        F.concat(F.lit("S"), F.col("ranked_key").cast("string")).alias("ID"), F.col("rank").alias("PROSPECT_RANK"))
     ranked = balance_ranking(table(spark, folder, "nation").filter("n_regionkey <> 2"), "n_nationkey", "n_regionkey")
-    latest = ranked.select(F.concat(F.lit("N"), F.col("ranked_key").cast("string")).alias("ID"), (F.col("rank") * 5).alias("PROSPECT_RANK"))
-    return players.publish_players(players.pitchers(plays, _people(plays), latest, order=ORDER), "PIT")
+    return batting, ranked.select(F.concat(F.lit("N"), F.col("ranked_key").cast("string")).alias("ID"), (F.col("rank") * 5).alias("PROSPECT_RANK"))
+
+
+def _both_sql(role: str, key: str, cuts) -> str:
+    shown = ", ".join(f"{rounded_sql(f'{c}{n}', 3)} AS {c}{k}" for k, n in enumerate(cuts, 1) for c in ("f", "p"))
+    means = ", ".join(f"avg(CASE WHEN num <= {n} THEN x END) AS f{n}, avg(CASE WHEN num > {n} THEN x END) AS p{n}" for n in cuts)
+    return f"""SELECT '{role}' AS role, k AS player, total, {rounded_sql("career", 3)} AS career, {shown} FROM (
+      SELECT {key} AS k, count(*) AS total, avg(x) AS career, {means} FROM (
+        SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {ORDER_SQL}) AS num FROM plays WHERE l_returnflag <> 'A') GROUP BY {key})"""
+
+
+@query(f"""WITH {LOG}, plays AS (SELECT log.*, 'S' || l_suppkey AS bat, 'N' || c_nationkey AS pit FROM log JOIN customer ON o_custkey = c_custkey)
+{_both_sql("BAT", "bat", BATTER_CUTS)} UNION ALL {_both_sql("PIT", "pit", PITCHER_CUTS)}""")
+def careers_of_both_roles(spark, folder):
+    """Batters and pitchers from the same passes over the log: totals and first-N and after-N means."""
+    plays = _plays(spark, folder)
+    tables = players.both(plays, _people(plays), *_latest(spark, folder), order=ORDER)
+    shown = []
+    for df, role, total, cuts in zip(tables, players.ROLES, ("CAREER_TOTAL_PA", "CAREER_TOTAL_BF"), (BATTER_CUTS, PITCHER_CUTS)):
+        first = ["QUARTILE_ONE_WOBA", *[f"FIRST_{n}_WOBA" for n in cuts[1:]]]
+        shown.append(df.select(F.lit(role).alias("role"), F.col(f"{role}_ID").alias("player"), F.col(total).alias("total"), F.col(f"CAREER_WOBA_{role}").alias("career"),
+                               *[F.col(c).alias(f"f{k}") for k, c in enumerate(first, 1)], *[F.col(f"POST_{n}_WOBA").alias(f"p{k}") for k, n in enumerate(cuts, 1)]))
+    return shown[0].unionByName(shown[1])

@@ -19,19 +19,21 @@ def role_ratio(a: DataFrame, b: DataFrame, key: str, a_total: str, b_total: str,
                lo: float = ROLE_LOW, hi: float = ROLE_HIGH, ratio: str = "ratio", role: str = "role",
                names: tuple[str, str, str] = ("Batter", "Pitcher", "Two-Way")) -> DataFrame:
     """Full outer join of two per-role totals and the role that their rounded ratio implies."""
+    return with_role(a.join(b, [key], "full"), a_total, b_total, lo, hi, ratio, role, names)
+
+
+def with_role(totals: DataFrame, a_total: str, b_total: str, lo: float = ROLE_LOW, hi: float = ROLE_HIGH, ratio: str = "ratio",
+              role: str = "role", names: tuple[str, str, str] = ("Batter", "Pitcher", "Two-Way")) -> DataFrame:
+    """Adds the ratio of the totals in two roles, and the role that it implies; a total is missing where the role never was."""
     name_a, name_b, name_both = names
     value = round_half_up(F.col(a_total).cast("double") / F.col(b_total).cast("double"), 2)
-    return (
-        a.join(b, [key], "full")
-        .withColumn(ratio, value)
-        .withColumn(
-            role,
-            F.when(F.col(b_total).isNull(), name_a)
-            .when(F.col(a_total).isNull(), name_b)
-            .when(F.col(ratio) < lo, name_b)
-            .when(F.col(ratio) <= hi, name_both)
-            .when(F.col(ratio) > hi, name_a),
-        )
+    return totals.withColumn(ratio, value).withColumn(
+        role,
+        F.when(F.col(b_total).isNull(), name_a)
+        .when(F.col(a_total).isNull(), name_b)
+        .when(F.col(ratio) < lo, name_b)
+        .when(F.col(ratio) <= hi, name_both)
+        .when(F.col(ratio) > hi, name_a),
     )
 
 

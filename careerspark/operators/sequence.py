@@ -179,6 +179,31 @@ def milestone_means(df: DataFrame, entity, seq: str, columns: Mapping[str, tuple
         *extra, *[bucket_mean(m, seq, lo, hi).alias(new) for new, (m, lo, hi) in columns.items()])
 
 
+def bucket_sums(df: DataFrame, entity, seq: str, edges: Sequence[Column | int], measures: Sequence[str], extra: Mapping[str, tuple[Column, str]] = {}) -> DataFrame:
+    """Sums between milestones, from which ``bucket_mean_of`` takes the mean over any run of them.
+
+    ``edges`` are the last sequence numbers of the buckets but the open last one; they may depend on the row (roles with
+    milestones of their own). A row is added to one bucket, whatever the number of means that are asked for. ``extra`` is
+    ``{column: (aggregate, "sum", "min" or "max")}``: the second says how aggregates of buckets are put together.
+    """
+    keys = key_list(entity)
+    bucket = sum(((F.col(seq) > e).cast("int") for e in edges), F.lit(0))
+    parts = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(
+        *[x for i, m in enumerate(measures) for x in (F.sum(m).cast("double").alias(f"_s{i}"), F.count(m).alias(f"_n{i}"))],
+        *[agg.alias(f"_x{i}") for i, (agg, _) in enumerate(extra.values())])
+    together = {"sum": F.sum, "min": F.min, "max": F.max}
+    return parts.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("_bucket") == b, F.col(f"_{k}{i}"))).alias(f"_{m}_{k}{b}")
+          for i, m in enumerate(measures) for b in range(len(edges) + 1) for k in "sn"],
+        *[together[how](f"_x{i}").alias(name) for i, (name, (_, how)) in enumerate(extra.items())])
+
+
+def bucket_mean_of(measure: str, first: int, last: int) -> Column:
+    """Mean of a measure over buckets ``first`` to ``last`` of ``bucket_sums``; missing without values."""
+    total, n = (sum((F.coalesce(F.col(f"_{measure}_{k}{b}"), F.lit(0)) for b in range(first, last + 1)), F.lit(0)) for k in "sn")
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
 def split_columns(measure: str | Column, cuts: Sequence[int], first: str = "first_{}", post: str = "post_{}") -> dict:
     """Bucket list for the mean of the first N events and of all later ones, for several N."""
     out = {}

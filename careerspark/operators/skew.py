@@ -49,6 +49,17 @@ def oversized(df: DataFrame, keys: str | Sequence[str], rows_of: DataFrame | Non
         return None
     found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit(df))
              .select(*keys, "_n").collect())
+    return _as_heavy(df, keys, found)
+
+
+def oversized_of(counts: DataFrame, keys: str | Sequence[str], count: str) -> DataFrame | None:
+    """As ``oversized``, from a table that has the number of rows of each group already."""
+    keys = key_list(keys)
+    found = counts.filter(F.col(count) > group_limit(counts)).select(*keys, F.col(count).cast("long")).collect()
+    return _as_heavy(counts, keys, found)
+
+
+def _as_heavy(df: DataFrame, keys: Sequence[str], found: list) -> DataFrame | None:
     if not found:
         return None
     schema = T.StructType([*[T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys], T.StructField("_hot_count", T.LongType())])

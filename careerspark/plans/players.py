@@ -1,30 +1,39 @@
 """Play log and people to one graded row per player.
 
-The log is read once per role and shuffled once: entities outside the cohort or out of their role leave before
-events are numbered (both are properties of the whole entity), and every mean, total and attribute comes from one
-aggregate. Ages need no join to the log, because a mean age is a mean date minus the birth date.
+Both roles come from the same two passes over the log. The first gives totals per role and player, which are one small
+table: roles, and the players with more events than a task should sort, follow from it. In the second an event stands once
+for each role; entities outside the cohort or out of their role leave before events are numbered (both are properties of
+the whole entity), and every mean, total and attribute comes from sums between milestones on the same partitioning. Ages
+need no join to the log, because a mean age is a mean date minus the birth date.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (BATTER_CUTS, BATTER_GATES, BATTER_STEP, COHORT_AFTER, PITCHER_CUTS, PITCHER_GATES, PITCHER_STEP,
                       PUBLISH_BEFORE, STATUS_CUT)
-from ..functions.scalars import mean_of, min_of, years_from_weeks
-from ..operators.classify import (grade, inverted_grade, rank_group, ranked_flag, role_flags, role_ratio, simple_grade,
-                                  status_at, workload_class)
+from ..functions.scalars import years_from_weeks
+from ..operators.classify import (grade, inverted_grade, rank_group, ranked_flag, role_flags, simple_grade, status_at, with_role,
+                                  workload_class)
 from ..operators.report import publish
 from ..operators.resolve import attach_person, attach_ranking
-from ..operators.sequence import cohort, entity_totals, milestone_means, number_events, split_columns, split_diff
+from ..operators.sequence import bucket_mean_of, bucket_sums, cohort, number_events, split_diff
 from ..operators.shape import round_cols
-from ..operators.skew import lookup_join, oversized
+from ..operators.skew import lookup_join, oversized_of
+from ..sources.stages import session_stages
 
 ORDER = ["DATE", "row_idx"]
 QUARTERS = ("ONE", "TWO", "THREE", "FOUR")
+ROLES = ("BAT", "PIT")
+WORKLOAD = ("PITCH_COUNT_FINAL", "INNING", "PIT_REST")
+_STEPS = {"BAT": (BATTER_STEP, BATTER_CUTS), "PIT": (PITCHER_STEP, PITCHER_CUTS)}
+_TOTAL = {"BAT": "TOTAL_PA_WOBA", "PIT": "TOTAL_BF_WOBA"}
+_OUT = {"BAT": "Pitcher", "PIT": "Batter"}
 
 
 def measured(plays: DataFrame) -> DataFrame:
@@ -32,44 +41,88 @@ def measured(plays: DataFrame) -> DataFrame:
     return plays.filter(F.col("WOBA_APP"))
 
 
+def in_roles(log: DataFrame, roles: Sequence[str], *columns: str) -> DataFrame:
+    """Each event once for each role that has an ID: ROLE, PLAYER_ID, NAME and the columns."""
+    sides = F.array(*[F.struct(F.lit(r).alias("ROLE"), F.col(f"{r}_ID").alias("PLAYER_ID"), F.col(f"{r}_NAME").alias("NAME")) for r in roles])
+    return log.select(*columns, F.inline(sides)).filter(F.col("PLAYER_ID").isNotNull())
+
+
+def role_totals(log: DataFrame) -> DataFrame:
+    """Events and mean measure per role and player: one pass, summed in each task before the shuffle."""
+    return in_roles(log, ROLES, "EVENT_WOBA").groupBy("ROLE", "PLAYER_ID").agg(F.count(F.lit(1)).alias("EVENTS"), F.avg("EVENT_WOBA").alias("MEAN"))
+
+
 def player_roles(log: DataFrame) -> DataFrame:
     """Totals in both roles, their ratio and the role it implies."""
-    bat = entity_totals(log, "BAT_ID", "EVENT_WOBA", "TOTAL_PA_WOBA", "CAREER_WOBA_BAT").withColumnRenamed("BAT_ID", "PLAYER_ID")
-    pit = entity_totals(log, "PIT_ID", "EVENT_WOBA", "TOTAL_BF_WOBA", "CAREER_WOBA_PIT").withColumnRenamed("PIT_ID", "PLAYER_ID")
-    roles = role_ratio(bat, pit, "PLAYER_ID", "TOTAL_PA_WOBA", "TOTAL_BF_WOBA", ratio="PA_BF_RATIO", role="PLAYER_TYPE")
+    return roles_of(role_totals(log))
+
+
+def roles_of(totals: DataFrame) -> DataFrame:
+    def of(role: str, value: str) -> Column:
+        return F.max(F.when(F.col("ROLE") == role, F.col(value)))
+
+    wide = totals.groupBy("PLAYER_ID").agg(
+        of("BAT", "EVENTS").alias("TOTAL_PA_WOBA"), of("BAT", "MEAN").alias("CAREER_WOBA_BAT"),
+        of("PIT", "EVENTS").alias("TOTAL_BF_WOBA"), of("PIT", "MEAN").alias("CAREER_WOBA_PIT"))
+    roles = with_role(wide, "TOTAL_PA_WOBA", "TOTAL_BF_WOBA", ratio="PA_BF_RATIO", role="PLAYER_TYPE")
     return round_cols(roles, ["CAREER_WOBA_BAT", "CAREER_WOBA_PIT"], 3)
 
 
-def role_log(log: DataFrame, roles: DataFrame, people: DataFrame, key: str, total: str, out_of_role: str,
-             heavy: DataFrame | None) -> DataFrame:
-    """Events of players of the cohort in their own role."""
-    flags = role_flags(roles, "PLAYER_ID", total, "_out", out_of_role, role="PLAYER_TYPE").filter(~F.col("_out"))
+def _eligible(totals: DataFrame, people: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Players of the cohort in their own roles."""
+    typed = roles_of(totals)
+    own = [role_flags(typed, "PLAYER_ID", _TOTAL[r], "_out", _OUT[r], role="PLAYER_TYPE").filter(~F.col("_out")).select(F.lit(r).alias("ROLE"), "PLAYER_ID") for r in roles]
     members = cohort(people, "PLAY_DEBUT", after=COHORT_AFTER).select(F.col("PLAYERID").alias("PLAYER_ID"))
-    eligible = members.join(flags.select("PLAYER_ID"), "PLAYER_ID", "left_semi")
-    return lookup_join(log, eligible, {key: "PLAYER_ID"}, "left_semi", heavy=heavy)
+    return reduce(DataFrame.unionByName, own).join(members, "PLAYER_ID", "left_semi").withColumnsRenamed({"ROLE": "_role", "PLAYER_ID": "_player"})
+
+
+def career_sums(plays: DataFrame, people: DataFrame, order: Sequence[str] = ORDER, roles: Sequence[str] = ROLES) -> DataFrame:
+    """One row per role and player of the cohort: sums between milestones, name, and workload of pitchers.
 
+    Two scans of the log, however many roles: totals (written, as roles, sizes and large players are read from them), then
+    the numbered events.
+    """
+    log = measured(plays)
+    totals = session_stages(log.sparkSession).keep(role_totals(log), "role-totals")
+    heavy = oversized_of(totals.filter(F.col("ROLE").isin(*roles)), ["ROLE", "PLAYER_ID"], "EVENTS")
+    fields = WORKLOAD if "PIT" in roles else ()
+    events = in_roles(log, roles, *dict.fromkeys([*order, "DATE", "EVENT_WOBA", *fields]))
+    own = lookup_join(events, _eligible(totals, people, roles), {"ROLE": "_role", "PLAYER_ID": "_player"}, "left_semi", heavy=heavy)
+    numbered = number_events(own, ["ROLE", "PLAYER_ID"], order, "_num", heavy).withColumn("_day", F.unix_date("DATE"))
+    edges = [reduce(lambda out, r: out.when(F.col("ROLE") == r, _edges(r)[i]), roles[1:], F.when(F.col("ROLE") == roles[0], _edges(roles[0])[i]))
+             for i in range(len(_edges(roles[0])))]
+    extra = {"_last": (F.max(F.struct(*order, F.col("NAME").alias("_name"))), "max"), "_events": (F.count(F.lit(1)), "sum")}
+    for f in fields:
+        extra |= {f"_{f}_sum": (F.sum(f).cast("double"), "sum"), f"_{f}_n": (F.count(f), "sum"), f"_{f}_min": (F.min(f), "min")}
+    return bucket_sums(numbered, ["ROLE", "PLAYER_ID"], "_num", edges, ["EVENT_WOBA", "_day"], extra)
+
+
+def _edges(role: str) -> list[int]:
+    step, cuts = _STEPS[role]
+    return sorted({*cuts, *[step * (i + 1) for i in range(len(QUARTERS))]})
+
+
+def _careers(sums: DataFrame, people: DataFrame, role: str, extra: Mapping[str, Column] = {}) -> DataFrame:
+    key, name, total = f"{role}_ID", f"{role}_NAME", f"CAREER_{_TOTAL[role].removesuffix('_WOBA')}"
+    (step, cuts), edges = _STEPS[role], _edges(role)
+    last = len(edges)
+
+    def mean(measure: str, above: int, upto: int | None) -> Column:
+        """Mean over the events after number ``above`` up to number ``upto``."""
+        return bucket_mean_of(measure, 0 if above == 0 else edges.index(above) + 1, last if upto is None else edges.index(upto))
 
-def _milestones(step: int, cuts: tuple[int, ...]) -> dict:
-    """Four quarters with the mean date of each, and first-N and after-N means."""
     columns = {}
     for i, q in enumerate(QUARTERS):
-        lo, hi = i * step + 1, (i + 1) * step
-        columns[f"QUARTILE_{q}_WOBA"] = ("EVENT_WOBA", lo, hi)
-        columns[f"QUARTILE_{q}_AGE"] = ("_day", lo, hi)
-    columns[f"FIRST_{4 * step}_MEAN_AGE"] = ("_day", 1, 4 * step)
-    columns.update(split_columns("EVENT_WOBA", cuts, "FIRST_{}_WOBA", "POST_{}_WOBA"))
-    del columns[f"FIRST_{step}_WOBA"]   # the first quarter
-    return columns
-
-
-def _careers(log: DataFrame, heavy: DataFrame | None, people: DataFrame, role: str, total: str, step: int, cuts: tuple[int, ...],
-             extra: list[Column], order: Sequence[str]) -> DataFrame:
-    key, name = f"{role}_ID", f"{role}_NAME"
-    numbered = number_events(log, key, order, "_num", heavy).withColumn("_day", F.unix_date("DATE"))
-    columns = _milestones(step, cuts)
-    careers = milestone_means(numbered, key, "_num", columns, [
-        F.max_by(F.col(name), F.struct(*order)).alias(name), F.avg("EVENT_WOBA").alias(f"CAREER_WOBA_{role}"),
-        F.count(F.lit(1)).alias(total), *extra])
+        columns[f"QUARTILE_{q}_WOBA"] = mean("EVENT_WOBA", i * step, (i + 1) * step)
+        columns[f"QUARTILE_{q}_AGE"] = mean("_day", i * step, (i + 1) * step)
+    columns[f"FIRST_{4 * step}_MEAN_AGE"] = mean("_day", 0, 4 * step)
+    for n in cuts:
+        if n != step:                                           # that is the first quarter
+            columns[f"FIRST_{n}_WOBA"] = mean("EVENT_WOBA", 0, n)
+        columns[f"POST_{n}_WOBA"] = mean("EVENT_WOBA", n, None)
+    careers = sums.filter(F.col("ROLE") == role).select(
+        F.col("PLAYER_ID").alias(key), F.col("_last._name").alias(name), mean("EVENT_WOBA", 0, None).alias(f"CAREER_WOBA_{role}"),
+        F.col("_events").alias(total), *[c.alias(n) for n, c in extra.items()], *[c.alias(n) for n, c in columns.items()])
     dated = attach_person(careers, people, key, "PLAYERID", f"{role}_", ["BIRTHDATE", "PLAY_DEBUT", "PLAY_LASTGAME"], heavy=None)
     ages = [c for c in columns if c.endswith("_AGE")]
     born = F.unix_date(f"{role}_BIRTHDATE")
@@ -95,12 +148,20 @@ def _ranked(df: DataFrame, latest: DataFrame | None, key: str) -> DataFrame:
         "PROSPECT_RANK_GROUP": rank_group("PROSPECT_RANK"), "TOP_100_PROSPECT": ranked_flag("PROSPECT_RANK")})
 
 
+def both(plays: DataFrame, people: DataFrame, latest_bat: DataFrame | None = None, latest_pit: DataFrame | None = None,
+         null_policy: str = "propagate", order: Sequence[str] = ORDER) -> tuple[DataFrame, DataFrame]:
+    """``batters`` and ``pitchers`` from the same two scans of the log; their sums, a row per player, are written once."""
+    sums = session_stages(plays.sparkSession).keep(career_sums(plays, people, order), "career-sums")
+    return _batters(sums, people, latest_bat), _pitchers(sums, people, latest_pit, null_policy)
+
+
 def batters(plays: DataFrame, people: DataFrame, latest: DataFrame | None = None, order: Sequence[str] = ORDER) -> DataFrame:
     """One row per batter. ``latest`` is the ranking in force at debut, ``order`` the total order of the log."""
-    log = measured(plays)
-    heavy = oversized(log, "BAT_ID")
-    own = role_log(log, player_roles(log), people, "BAT_ID", "TOTAL_PA_WOBA", "Pitcher", heavy)
-    out = _careers(own, heavy, people, "BAT", "CAREER_TOTAL_PA", BATTER_STEP, BATTER_CUTS, [], order)
+    return _batters(career_sums(plays, people, order, ["BAT"]), people, latest)
+
+
+def _batters(sums: DataFrame, people: DataFrame, latest: DataFrame | None) -> DataFrame:
+    out = _careers(sums, people, "BAT")
 
     def graded(value: str, gate: str) -> Column:
         return grade(value, total="CAREER_TOTAL_PA", min_total=BATTER_GATES[gate])
@@ -122,12 +183,22 @@ def pitchers(plays: DataFrame, people: DataFrame, latest: DataFrame | None = Non
     ``null_policy`` applies to the workload fields: a pitcher with one unknown pitch count has no mean pitch count,
     and is classed by innings. ``skip`` takes the mean of the known ones.
     """
-    log = measured(plays)
-    heavy = oversized(log, "PIT_ID")
-    own = role_log(log, player_roles(log), people, "PIT_ID", "TOTAL_BF_WOBA", "Batter", heavy)
-    out = _careers(own, heavy, people, "PIT", "CAREER_TOTAL_BF", PITCHER_STEP, PITCHER_CUTS, [
-        mean_of("PITCH_COUNT_FINAL", null_policy).alias("AVG_PIT_COUNT"), min_of("INNING", null_policy).alias("IP_MIN"),
-        mean_of("PIT_REST", null_policy).alias("AVG_DAYS_REST"), mean_of("INNING", null_policy).alias("IP_MEAN")], order)
+    return _pitchers(career_sums(plays, people, order, ["PIT"]), people, latest, null_policy)
+
+
+def _pitchers(sums: DataFrame, people: DataFrame, latest: DataFrame | None, null_policy: str) -> DataFrame:
+    if null_policy not in ("skip", "propagate"):
+        raise ValueError(f"null_policy must be 'skip' or 'propagate', not {null_policy!r}")
+
+    def known(field: str, value: Column) -> Column:
+        return value if null_policy == "skip" else F.when(F.col(f"_{field}_n") == F.col("_events"), value)
+
+    def mean(field: str) -> Column:
+        return known(field, F.try_divide(F.col(f"_{field}_sum"), F.col(f"_{field}_n").cast("double")))
+
+    out = _careers(sums, people, "PIT", {
+        "AVG_PIT_COUNT": mean("PITCH_COUNT_FINAL"), "IP_MIN": known("INNING", F.col("_INNING_min")),
+        "AVG_DAYS_REST": mean("PIT_REST"), "IP_MEAN": mean("INNING")})
     out = workload_class(out, "AVG_PIT_COUNT", "IP_MIN", "IP_MEAN", "PITCHER_TYPE")
     out = round_cols(out, ["AVG_PIT_COUNT", "AVG_DAYS_REST", "IP_MEAN"], 1)
     starter = F.col("PITCHER_TYPE") == "STARTER"

@@ -215,3 +215,16 @@ def test_unknown_pitch_counts(spark, league):
     assert (strict["pit00"].AVG_PIT_COUNT, strict["pit00"].PITCHER_TYPE) == (None, "OTHER")
     assert (loose["pit00"].AVG_PIT_COUNT, loose["pit00"].PITCHER_TYPE) == (90.0, "STARTER")
     assert strict["pit00"].FIRST_860_WOBA_GRADE_SP is None and strict["pit01"].PITCHER_TYPE == "STARTER"
+
+
+def test_both_roles_from_two_scans_of_the_log(spark, league, tmp_path):
+    league["plays"].write.parquet(str(tmp_path / "plays"))
+    plays = spark.read.parquet(str(tmp_path / "plays"))
+
+    assert players.role_totals(players.measured(plays))._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    sums = players.career_sums(plays, league["people"])
+    read = [line for line in sums._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "EVENT_WOBA" in line]
+    assert len(read) == 1
+    bat, pit = players.both(plays, league["people"])
+    for together, alone in ((bat, players.batters(plays, league["people"])), (pit, players.pitchers(plays, league["people"]))):
+        assert together.columns == alone.columns and sorted(map(str, together.collect())) == sorted(map(str, alone.collect()))

@@ -73,13 +73,17 @@ class Stages:
         for earlier, earlier_files, table in seen:
             if earlier_files == files and earlier.sameSemantics(df) and earlier.schema == df.schema:
                 return table
-        path = f"{(self.base or shared_folder(self.spark)).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
-        self._paths.append(path)
-        df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
+        table = self.write(df, name)
         seen.append((df, files, table))
         return table
 
+    def write(self, df: DataFrame, name: str = "stage") -> DataFrame:
+        """The table written as a new file of the scope, and read from it."""
+        path = f"{(self.base or shared_folder(self.spark)).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+        self._paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _files(self, df: DataFrame) -> tuple:
         """Path, size and time of the files that a table is read from."""
         found = []

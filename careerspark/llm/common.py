@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,26 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000     # text hashed at once in a Python worker; a longer text is a chunk of its own
-
+from ..sources.stages import session_stages
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Only a local session, with one machine, may go without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="careerspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+CHUNK_BYTES = 2_000_000     # text hashed at once in a Python worker; a longer text is a chunk of its own
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again; its rows no longer depend on earlier stages."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table written to the shared folder and read again; its rows no longer depend on earlier stages. It is removed when
+    the driver's program ends."""
+    return session_stages(df.sparkSession).write(df, name)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -35,10 +35,22 @@ def profile(spark, folder):
 
 @query(None)
 def profile_one_pass(spark, folder):
-    """Approximate distinct counts and quantiles, all columns in one pass; no exact SQL twin."""
+    """Approximate distinct counts and quantiles, all columns in one pass; ``profile_within_error`` checks their errors."""
     return profiling.profile(table(spark, folder, "lineitem"))
 
 
+SKETCHED = {"l_orderkey": True, "l_partkey": True, "l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_shipdate": False, "l_returnflag": False}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_missing, true AS distinct_within,
+    {'true' if number else 'CAST(NULL AS BOOLEAN)'} AS quantiles_within FROM lineitem""" for c, number in SKETCHED.items()))
+def profile_within_error(spark, folder):
+    """Sketches of each return flag, merged, hold the errors that they state against all values."""
+    lines = table(spark, folder, "lineitem")
+    parts = profiling.merged(profiling.sketches(lines, list(SKETCHED), ["l_returnflag"]).withColumnRenamed("l_returnflag", "part"))
+    return profiling.errors_held(lines, profiling.profile_of(parts, errors=True), list(SKETCHED))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_quantity = 50")
 def violations(spark, folder):
     return profiling.violations(table(spark, folder, "lineitem"), F.col("l_quantity") == 50).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..functions.student_t import p_value, t_quantile
 from .sequence import annotate
-from .skew import join_back
+from .skew import AUTO, join_back
 
 # ---- correlation and lines -------------------------------------------------
 
@@ -93,7 +93,12 @@ def exact_quantiles(df: DataFrame, x: str, probs: dict[str, float], by: Sequence
     keys = list(by) or ["_all"]
     values = _grouped(df, by).filter(F.col(x).isNotNull())
     counts = values.groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
-    ranked = annotate(counts, keys, ["_x"], running_sums={"_upto": "_k"}, group_sums={"_total": "_k"})
+    return quantiles_of_counts(counts, probs, keys).select(*by, *probs)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: dict[str, float], keys: Sequence[str], heavy=AUTO) -> DataFrame:
+    """As ``exact_quantiles``, from the number ``_k`` of rows of each value ``_x`` of a group."""
+    ranked = annotate(counts, keys, ["_x"], running_sums={"_upto": "_k"}, group_sums={"_total": "_k"}, heavy=heavy)
     aggs, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
         place = (F.col("_total") - 1) * F.lit(float(p))
@@ -103,7 +108,7 @@ def exact_quantiles(df: DataFrame, x: str, probs: dict[str, float], by: Sequence
             aggs.append(F.max(F.when(holds, F.col("_x"))).alias(f"_{tag}{i}"))
         aggs.append(F.max(place - low).alias(f"_f{i}"))
         outs.append((F.col(f"_lo{i}") * (1.0 - F.col(f"_f{i}")) + F.col(f"_hi{i}") * F.col(f"_f{i}")).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*by, *outs)
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
 # ---- kernel densities ------------------------------------------------------

@@ -46,3 +46,31 @@ def test_inspect_and_gaps(spark):
     df = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 500.0), ("b", 2, None)], "k string, i int, gap double")
     assert [r.i for r in p.inspect(df, "k", "a", ["i"], ["i"]).collect()] == [1, 3]
     assert [r.i for r in p.gap_outliers(df, "gap", -10, 100).collect()] == [1]
+
+
+def test_exact_profile_scans_once_and_shuffles_once(spark, tmp_path):
+    spark.range(300).select(F.col("id"), (F.col("id") % 7).alias("a"), (F.col("id") / 3).alias("x"), F.col("id").cast("string").alias("s")).write.parquet(str(tmp_path / "t"))
+    text = p.value_table(spark.read.parquet(str(tmp_path / "t")), ["id", "a", "x", "s"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+
+
+def test_exact_profile_of_odd_values(spark):
+    df = spark.sql("""SELECT * FROM VALUES (0.0D, 9007199254740993L, date'2001-02-03', 1.50BD, true), (-0.0D, 9007199254740992L, null, 1.5BD, false),
+        (double('NaN'), null, date'1999-01-01', null, true), (null, 5L, null, 2BD, null) AS t(d, big, day, money, flag)""").withColumn("a.b", F.col("big"))
+    rows = {r.column: r for r in p.profile(df, exact=True).collect()}
+    assert rows["d"].n_distinct == 2 and rows["big"].n_distinct == 3 and rows["money"].n_distinct == 2 and rows["a.b"].n_distinct == 3
+    assert (rows["day"].min_text, rows["day"].n_missing, rows["flag"].max_text) == ("1999-01-01", 2, "true")
+    empty = {r.column: r for r in p.profile(df.filter("false"), exact=True).collect()}
+    assert (empty["d"].n_rows, empty["d"].n_distinct, empty["d"].p50) == (0, 0, None)
+
+
+def test_sketches_of_parts_add_up(spark):
+    df = spark.range(60_000).select((F.col("id") % 5).alias("part"), (F.col("id") * 7919 % 60_013).alias("v"), F.when(F.col("id") % 3 > 0, (F.col("id") % 1000).cast("string")).alias("s"))
+    whole = {r.column: r for r in p.profile_of(p.sketches(df, ["v", "s"]), errors=True).collect()}
+    parts = p.merged(p.sketches(df, ["v", "s"], ["part"]))
+    assert p.errors_held(df, p.profile_of(parts, errors=True), ["v", "s"]).filter("not distinct_within or not coalesce(quantiles_within, true)").count() == 0
+    for r in p.profile_of(parts).collect():
+        w = whole[r.column]
+        assert (r.n_rows, r.n_missing, r.min_text, r.max_length) == (w.n_rows, w.n_missing, w.min_text, w.max_length)
+        assert r.sd == (pytest.approx(w.sd) if w.sd else None) and r["mean"] == (pytest.approx(w["mean"]) if w["mean"] else None)
+    assert whole["v"].rank_error == p.RANK_ERROR and whole["s"].rank_error is None

@@ -60,6 +60,17 @@ def csv_by_header(spark, folder):
     return delimited.read_csv(spark, path, SCHEMA, DATES)
 
 
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CASE WHEN o_custkey % 3 = 2 THEN NULL ELSE CAST(floor(o_totalprice) AS DOUBLE) END AS o_totalprice FROM orders""")
+def csv_other_headers(spark, folder):
+    """A folder of CSV files with three headers: other orders of columns, a further column, and one file set without the price."""
+    path = f"{stages.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.floor("o_totalprice").alias("o_totalprice"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"))
+    for k, columns in enumerate((["o_orderkey", "o_orderdate", "o_totalprice"], ["o_totalprice", "o_custkey", "o_orderdate", "o_orderkey"], ["o_orderdate", "o_orderkey"])):
+        delimited.write_table(orders.filter(F.col("o_custkey") % 3 == k).select(*columns), path, "csv", mode="append")
+    return delimited.read_csv(spark, path, SCHEMA, DATES, absent="null")
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def stage_round_trip(spark, folder):
     """Customers saved as a stage and loaded again."""

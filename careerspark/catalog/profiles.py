@@ -39,6 +39,15 @@ def profile_one_pass(spark, folder):
     return profiling.profile(table(spark, folder, "lineitem"))
 
 
+EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query(" UNION ALL ".join(f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS type, true AS nullable, count(*) > count({c}) AS has_missing FROM events"""
+                          for i, (c, kind) in enumerate(EVENT_TYPES.items(), 1)))
+def schema_listing(spark, folder):
+    return profiling.schema_listing(table(spark, folder, "events"))
+
+
 SKETCHED = {"l_orderkey": True, "l_partkey": True, "l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_shipdate": False, "l_returnflag": False}
 
 

@@ -88,6 +88,60 @@ def apply_aliases(spark, folder):
     return resolve.apply_aliases(yearly_lists(spark, folder), _aliases(spark, folder), "name", heavy=None).select("name", "rank", "year")
 
 
+# Names of two digits, which many customers share.
+SHORT = f"""short AS (SELECT 'C' || right(name, 2) AS name, id FROM lists),
+people AS (SELECT 'C' || right(c_name, 2) AS name, c_custkey AS id,
+  CASE WHEN c_custkey % 31 = 0 THEN 1 WHEN c_custkey % 37 = 0 THEN 2 END AS given, c_custkey % 41 = 0 AS known FROM customer),
+fixed AS (SELECT name, CASE WHEN right(name, 1) = '0' THEN left(name, 2) || '1' ELSE name END AS canonical FROM short),
+g AS (SELECT name, id, step, min(step) OVER (PARTITION BY name) AS first FROM (SELECT name, id, given AS step FROM people WHERE given IS NOT NULL)),
+open1 AS (SELECT name, count(*) AS n_rows FROM short WHERE id IS NULL GROUP BY name),
+open2 AS (SELECT CASE WHEN right(name, 1) = '0' THEN left(name, 2) || '1' ELSE name END AS name, sum(n_rows) AS n_rows
+  FROM open1 WHERE name NOT IN (SELECT name FROM g) GROUP BY ALL),
+review AS (
+  SELECT 'given' AS form, name, any_value(first) AS resolved_by, count(CASE WHEN step = first THEN 1 END) AS n_candidates,
+    string_agg(CASE WHEN step = first THEN CAST(id AS VARCHAR) END, ',' ORDER BY id) AS candidates,
+    coalesce(string_agg(CASE WHEN step > first THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS other_sources, any_value(n_rows) AS n_rows
+  FROM g JOIN open1 USING (name) GROUP BY name HAVING count(CASE WHEN step = first THEN 1 END) > 1
+  UNION ALL
+  SELECT 'corrected', name, 3, count(*), string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '', any_value(n_rows)
+  FROM people JOIN open2 USING (name) WHERE known GROUP BY name HAVING count(*) > 1)"""
+
+
+def _short_names(spark, folder):
+    def short(c):
+        return F.concat(F.lit("C"), F.substring(c, -2, 2))
+
+    lists = yearly_lists(spark, folder).select(short("name").alias("name"), "id")
+    people = table(spark, folder, "customer").select(short("c_name").alias("c_name"), "c_custkey")
+    key = F.col("c_custkey")
+    steps = [Step(people, "c_name", "c_custkey", key % 31 == 0), Step(people, "c_name", "c_custkey", (key % 37 == 0) & (key % 31 != 0)),
+             Step(people, "c_name", "c_custkey", key % 41 == 0, aliased=True)]
+    aliases = {f"C{d}0": f"C{d}1" for d in range(10)}
+    return lists, steps, aliases
+
+
+@query(f"WITH {LISTS}, {SHORT} SELECT *, (n_candidates - 1) * CAST(n_rows AS BIGINT) AS extra_rows FROM (SELECT form, name, resolved_by, n_candidates, candidates, other_sources, CAST(n_rows AS BIGINT) AS n_rows FROM review)")
+def cascade_review(spark, folder):
+    """Names that several customers share, with what each adds to the resolved lists."""
+    lists, steps, aliases = _short_names(spark, folder)
+    found = resolve.cascade_review(lists, steps, name="name", id="id", aliases=aliases, heavy=None)
+    return found.withColumns({c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",") for c in ("candidates", "other_sources")})
+
+
+@query(f"""WITH {LISTS}, {SHORT}, n AS (SELECT (SELECT count(*) FROM short) AS rows_before, (SELECT CAST(coalesce(sum((n_candidates - 1) * n_rows), 0) AS BIGINT) FROM review) AS extra_rows)
+SELECT rows_before, extra_rows, rows_before + extra_rows AS rows_after FROM n""")
+def cascade_balance(spark, folder):
+    """Rows before, rows that the review lists as extra, and rows after the cascade, which are the sum."""
+    lists, steps, aliases = _short_names(spark, folder)
+    review = resolve.cascade_review(lists, steps, name="name", id="id", aliases=aliases, heavy=None)
+    after = resolve.resolve_cascade(lists, steps, name="name", id="id", aliases=aliases, heavy=None)
+    zero = F.lit(0).cast("long")
+    counted = (lists.select(F.lit(1).cast("long").alias("b"), zero.alias("e"), zero.alias("a"))
+               .unionByName(review.select(zero.alias("b"), F.col("extra_rows").alias("e"), zero.alias("a")))
+               .unionByName(after.select(zero.alias("b"), zero.alias("e"), F.lit(1).cast("long").alias("a"))))
+    return counted.agg(F.sum("b").alias("rows_before"), F.sum("e").alias("extra_rows"), F.sum("a").alias("rows_after"))
+
+
 RULES = (
     Correction({"p_brand": "Brand#1", "p_type": "SMALL"}, {"p_name": None}),
     Correction({"p_brand": "Brand#1"}, {"p_brand": "Brand#01", "p_name": "renamed"}),

@@ -171,6 +171,14 @@ def _kind(dtype: T.DataType) -> str:
     return "text" if isinstance(dtype, T.StringType) else "other"
 
 
+def schema_listing(df: DataFrame) -> DataFrame:
+    """One row per column: position (from 1), name, type, whether missing values are allowed, and whether there are any."""
+    missing = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)])
+    return missing.select(F.inline(F.array(*[F.struct(
+        F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+        F.lit(f.nullable).alias("nullable"), (F.coalesce(F.col(f"_m{i}"), F.lit(0)) > 0).alias("has_missing")) for i, f in enumerate(df.schema)])))
+
+
 def violations(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows with impossible values."""
     return df.filter(predicate)

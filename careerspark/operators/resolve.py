@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..config import MIN_GAP_WEEKS, REFRESH_GAP_NULL_AFTER, REFRESH_RANKED_AFTER
 from ..functions.scalars import date_lit, if_else, weeks_between
+from .profiling import duplicate_keys
 from .sequence import arg_max_rows
-from .skew import AUTO, lookup_join
+from .skew import AUTO, join_back, lookup_join
 
 MAX_LITERAL_ROWS = 100_000   # literal tables up to this size are broadcast
 
@@ -128,6 +129,49 @@ def resolve_cascade(df: DataFrame, steps: Sequence[Step], *, name: str, id: str,
     return out
 
 
+def candidate_sets(steps: Sequence[tuple[int, Step]]) -> DataFrame:
+    """Every ID that any source has for a name: name, id, step (the source's priority) and ``decides``, whether it is the first
+    source that knows the name."""
+    parts = []
+    for priority, s in steps:
+        src = s.people if s.where is None else s.people.filter(s.where)
+        parts.append(src.select(F.col(s.name).alias("name"), F.col(s.id).alias("id"), F.lit(priority).alias("step"))
+                     .filter(F.col("name").isNotNull() & F.col("id").isNotNull()))
+    every = reduce(DataFrame.unionByName, parts).distinct()
+    first = every.groupBy("name").agg(F.min("step").alias("_first"))
+    return join_back(every, first, ["name"], heavy=None).withColumn("decides", F.col("step") == F.col("_first")).drop("_first")
+
+
+def cascade_review(df: DataFrame, steps: Sequence[Step], *, name: str, id: str, aliases: Mapping[str, str] | DataFrame | None = None,
+                   heavy: DataFrame | None | str = AUTO) -> DataFrame:
+    """What to look at by hand after ``resolve_cascade``: the names for which the source that decides has several IDs.
+
+    One row per name and name form (given or corrected): form, name, resolved_by, n_candidates, candidates (sorted),
+    other_sources (IDs that later sources have besides), n_rows (rows of ``df`` that the name fills) and extra_rows, by which
+    the result has more rows than ``df``. Rows of the result are the rows of ``df`` and all extra rows.
+    """
+    numbered = list(enumerate(steps, 1))
+    reviews = []
+    open_rows = df.filter(F.col(id).isNull()).groupBy(F.col(name).alias("_listed")).agg(F.count(F.lit(1)).alias("n_rows"))
+    for form, chosen in (("given", [(i, s) for i, s in numbered if not s.aliased]), ("corrected", [(i, s) for i, s in numbered if s.aliased])):
+        if not chosen:
+            continue
+        if form == "corrected" and aliases is not None:
+            fixed = apply_aliases(open_rows, aliases, "_listed", heavy=None)     # one row per name
+            open_rows = fixed.groupBy("_listed").agg(F.sum("n_rows").alias("n_rows"))
+        sets = candidate_sets(chosen)
+        found = sets.groupBy("name").agg(
+            F.min("step").alias("resolved_by"), F.sort_array(F.collect_set(F.when(F.col("decides"), F.col("id")))).alias("candidates"),
+            F.sort_array(F.collect_set(F.when(~F.col("decides"), F.col("id")))).alias("_later"))
+        several = duplicate_keys(sets.filter("decides"), ["name"]).select(F.col("name").alias("_name"), F.col("n").alias("n_candidates"))
+        listed = found.join(several, F.col("name") == F.col("_name")).join(open_rows, F.col("name") == F.col("_listed"))
+        reviews.append(listed.select(
+            F.lit(form).alias("form"), "name", "resolved_by", "n_candidates", "candidates",
+            F.array_except("_later", "candidates").alias("other_sources"), "n_rows", ((F.col("n_candidates") - 1) * F.col("n_rows")).alias("extra_rows")))
+        open_rows = open_rows.join(found.select("name"), F.col("_listed") == F.col("name"), "left_anti")
+    return reduce(DataFrame.unionByName, reviews)
+
+
 def _fill(df: DataFrame, found: DataFrame, name: str, id: str, step_out: str, unique: bool,
           heavy: DataFrame | None | str) -> DataFrame:
     side = found.withColumnRenamed("_step", "_by")

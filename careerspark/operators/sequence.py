@@ -238,10 +238,17 @@ def workload(df: DataFrame, entity, means: Mapping[str, str] | None = None, mins
 def tail_n(df: DataFrame, group, order: Sequence[str], n: int) -> DataFrame:
     """Last ``n`` rows of each group.
 
-    Spark keeps at most ``n`` rows per group in each task before the shuffle, so a huge group stays small.
+    Spark keeps at most ``n`` rows per group in each task before the shuffle, so a huge group stays small. It does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; for more, groups are first cut into as many parts as there are
+    shuffle partitions, by a hash of the order columns, and each part is limited by a task of its own.
     """
-    w = Window.partitionBy(*key_list(group)).orderBy(*_reverse(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    keys, conf = key_list(group), df.sparkSession.conf
+    rows, last = df, Window.partitionBy(*keys).orderBy(*_reverse(order))
+    if n >= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        part = F.pmod(F.xxhash64(*key_list(order)), F.lit(int(conf.get("spark.sql.shuffle.partitions"))))
+        of_part = Window.partitionBy(*keys, "_part").orderBy(*_reverse(order))
+        rows = df.withColumn("_part", part).withColumn("_rn", F.row_number().over(of_part)).filter(F.col("_rn") <= n).drop("_rn", "_part")
+    return rows.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def tail_matches(df: DataFrame, group, order: Sequence[str], n: int, predicate: Column,

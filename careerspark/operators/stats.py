@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..functions.student_t import p_value, t_quantile
+from ..sources.stages import session_stages
 from .sequence import annotate
 from .skew import AUTO, join_back
 
@@ -122,39 +123,49 @@ def bandwidth(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     A zero spread falls back to the standard deviation, then to the size of the value itself, then to 1.
     """
     keys = list(by) or ["_all"]
-    values = _grouped(df, by).filter(F.col(x).isNotNull()).withColumn(x, F.col(x).cast("double"))
-    basics = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("_sd"),
-                                     F.max(F.abs(F.col(x))).alias("_size"))
-    both = join_back(basics, exact_quantiles(values, x, {"_q1": 0.25, "_q3": 0.75}, keys), keys, heavy=None)
+    return _bandwidth(_value_counts(df, x, by), keys).select(*by, "n", "bw")
+
+
+def _value_counts(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
+    """How often each value occurs in each group: one scan and one shuffle of counts; all else is read from the written table."""
+    values = _grouped(df, by).select(*(list(by) or ["_all"]), F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    return session_stages(df.sparkSession).keep(values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("_k")), "values")
+
+
+def _bandwidth(counts: DataFrame, keys: list[str]) -> DataFrame:
+    sums = counts.groupBy(*keys).agg(F.sum("_k").alias("n"), (F.sum(F.col("_x") * F.col("_k")) / F.sum("_k")).alias("_mean"), F.max(F.abs(F.col("_x"))).alias("_size"))
+    away = F.col("_x") - F.col("_mean")
+    basics = (join_back(counts, sums, keys, heavy=None).groupBy(*keys, "n", "_size").agg(F.sum(away * away * F.col("_k")).alias("_squares"))
+              .withColumn("_sd", F.sqrt(F.try_divide(F.col("_squares"), F.col("n").cast("double") - 1.0))))
+    both = join_back(basics, quantiles_of_counts(counts, {"_q1": 0.25, "_q3": 0.75}, keys), keys, heavy=None)
     spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)
     spread = (F.when(spread > 0, spread).when(F.col("_sd") > 0, F.col("_sd"))
               .when(F.col("_size") > 0, F.col("_size")).otherwise(F.lit(1.0)))
-    return both.select(*by, "n", (F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
+    return both.select(*keys, "n", (F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
 
 
 def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, float] | None = None, n: int = 512,
-        bw: float | None = None, steps: int = 32) -> DataFrame:
+        bw: float | None = None, steps: int = 32, errors: bool = False, grid: tuple[float, float] | None = None) -> DataFrame:
     """``(by, point, x, density)``: Gaussian kernel density per group on ``n`` points.
 
     Values outside ``limits`` are left out before anything is computed; without limits the grid spans the values
-    of all groups. Equal values are counted first; then values are shared out between the two nearest positions,
-    ``steps`` to a bandwidth of their group, so the kernel is evaluated per filled position and not per row, and far
+    of all groups, or ``grid``, outside which values still count. Equal values are counted first, in one pass over ``df``; then values are shared out between the two nearest
+    positions, ``steps`` to a bandwidth of their group, so the kernel is evaluated per filled position and not per row, and far
     outliers do not make positions coarser. A position adds only to points at which its kernel is not zero in double
-    precision. ``df`` is read several times: save it first if it is costly.
+    precision. With ``errors``, the column error bounds how far a density can be from the sum over all values: sharing a
+    value out replaces the kernel by a chord, which is at most 1 / (8 steps^2) of its height away from it.
     """
     keys = list(by) or ["_all"]
-    values = _grouped(df, by).select(*keys, F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if limits is not None:
-        values = values.filter(F.col("_x").between(*limits))
-        lo, hi = F.lit(float(limits[0])), F.lit(float(limits[1]))
+    counts = _value_counts(df if limits is None else df.filter(F.col(x).cast("double").between(*limits)), x, by)
+    if grid or limits:
+        lo, hi = (F.lit(float(edge)) for edge in grid or limits)
     else:
-        lo, hi = values.agg(F.min("_x")).scalar(), values.agg(F.max("_x")).scalar()
+        lo, hi = counts.agg(F.min("_x")).scalar(), counts.agg(F.max("_x")).scalar()
     if bw is None:
-        width = bandwidth(values, "_x", keys)
+        width = _bandwidth(counts, keys)
     else:
-        width = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("bw", F.lit(float(bw)))
+        width = counts.groupBy(*keys).agg(F.sum("_k").alias("n")).withColumn("bw", F.lit(float(bw)))
     width = width.withColumns({"_lo": lo, "_hi": hi})
-    counts = values.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_k"))
     step, gap = F.col("bw") / F.lit(float(steps)), (F.col("_hi") - F.col("_lo")) / F.lit(float(n - 1))
     binned = (join_back(counts, width, keys, heavy=None).withColumn("_p", (F.col("_x") - F.col("_lo")) / step).withColumn("_b", F.floor("_p"))
               .groupBy(*keys, "n", "bw", "_lo", "_hi", "_b")
@@ -172,7 +183,21 @@ def kde(df: DataFrame, x: str, by: Sequence[str] = (), limits: tuple[float, floa
 
     mass = (F.col("_c") - F.col("_up")) * kernel(F.col("_b")) + F.col("_up") * kernel(F.col("_b") + 1)
     area = F.col("n") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))
-    grid = width.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    parts = near.select(*keys, "point", place.alias("x"), (mass / area).alias("_d")).unionByName(
-        grid.select(*keys, "point", place.alias("x"), F.lit(0.0).alias("_d")))
-    return parts.groupBy(*by, "point").agg(F.max("x").alias("x"), F.sum("_d").alias("density"))
+    every = width.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    bound = F.lit(1.0 / (8 * steps * steps)) / (F.col("bw") * F.lit(math.sqrt(2.0 * math.pi)))
+    parts = near.select(*keys, "point", place.alias("x"), (mass / area).alias("_d"), bound.alias("_e")).unionByName(
+        every.select(*keys, "point", place.alias("x"), F.lit(0.0).alias("_d"), bound.alias("_e")))
+    out = parts.groupBy(*by, "point").agg(F.max("x").alias("x"), F.sum("_d").alias("density"), F.max("_e").alias("error"))
+    return out if errors else out.drop("error")
+
+
+def kernel_sums(df: DataFrame, x: str, points: DataFrame, by: Sequence[str], bw: DataFrame) -> DataFrame:
+    """The exact Gaussian kernel sum at given points, for checks: every distinct value of a group meets every point of it.
+    ``points`` has the group, point and x; ``bw`` the group, n and bw. Returns the group, point and exact."""
+    counts = _value_counts(df, x, by)
+    keys = list(by) or ["_all"]
+    grid = _grouped(points, by).groupBy(*keys).agg(F.collect_list(F.struct("point", "x")).alias("_points"))
+    met = join_back(join_back(counts, _grouped(bw, by).select(*keys, "n", "bw"), keys, heavy=None), grid, keys, heavy=None)
+    u = (F.col("_at.x") - F.col("_x")) / F.col("bw")
+    each = met.withColumn("_at", F.explode("_points")).withColumn("_d", F.col("_k") * F.exp(u * u * F.lit(-0.5)) / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2.0 * math.pi))))
+    return each.groupBy(*by, F.col("_at.point").alias("point")).agg(F.sum("_d").alias("exact"))

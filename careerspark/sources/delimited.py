@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import parse_date, year_date
 
+HEADERS_AT_ONCE = 8
 YEAR_ONLY = "%Y"   # format name for a date that is only a year
 
 
@@ -33,36 +36,63 @@ def header_of(spark: SparkSession, path: str, **options) -> list[str]:
     return spark.read.options(**{**options, "header": True}).csv(path).columns
 
 
-def read_text(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, **options) -> DataFrame:
-    """The declared columns as text.
+def files_by_header(spark: SparkSession, path: str, **options) -> list[tuple[list[str], list[str]]]:
+    """The files of a folder, put together by their header lines: (column names, files), in the order of the first files.
 
-    With a header line, columns are taken by name, so files may have others and any order; a missing one raises, and so
-    does a file of a folder whose header differs from the first. Without a header line ``columns`` are all columns of
-    the file, in order.
+    One small job per file reads its first line; that is meant for files by year or month.
     """
-    names = header_of(spark, path, **options) if header else list(columns)
-    missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    if len(files) < 2:
+        return [(header_of(spark, path, **options), [path])]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda f: tuple(header_of(spark, f, **options)), files))
+    groups: dict[tuple, list[str]] = {}
+    for f, names in zip(files, headers):
+        groups.setdefault(names, []).append(f)
+    return [(list(names), found) for names, found in groups.items()]
+
+
+def _text_of(spark: SparkSession, files: str | list[str], names: Sequence[str], header: bool, **options) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    return (spark.read.options(header=header, enforceSchema=not header, **options).schema(schema).csv(path)
-            .select(*[F.col(_quoted(c)) for c in columns]))
+    return spark.read.options(header=header, enforceSchema=not header, **options).schema(schema).csv(files)
+
+
+def read_text(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, absent: str = "raise", **options) -> DataFrame:
+    """The declared columns as text.
+
+    With a header line, columns are taken by name in every file, so files of a folder may have others, and any order; files are read
+    once per header and appended by name. A column that a file lacks raises, or is missing there with ``absent="null"``;
+    one that all files lack always raises. Without a header line ``columns`` are all columns of the file, in order.
+    """
+    if absent not in ("raise", "null"):
+        raise ValueError("absent must be 'raise' or 'null'")
+    if not header:
+        return _text_of(spark, path, columns, False, **options).select(*[F.col(_quoted(c)) for c in columns])
+    groups, parts = files_by_header(spark, path, **options), []
+    for names, files in groups:
+        missing = [c for c in columns if c not in names]
+        if missing and (absent == "raise" or any(all(c not in found for found, _ in groups) for c in missing)):
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        raw = _text_of(spark, files, names, True, **options)
+        parts.append(raw.select(*[F.col(_quoted(c)) if c in names else F.lit(None).cast("string").alias(c) for c in columns]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def record_problems(spark: SparkSession, path: str, header: bool = True, columns: Sequence[str] = (), **options) -> DataFrame:
-    """``record`` and ``read_as`` (JSON) for each line with fewer or more values than there are columns."""
-    names = header_of(spark, path, **options) if header else list(columns)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_record"]])
-    whole = spark.read.options(header=header, columnNameOfCorruptRecord="_record", columnPruning=False, **options).schema(schema).csv(path)
-    # The columns go along: a reader that is asked for the record alone does not count values.
-    return whole.filter(F.col("_record").isNotNull()).select(
-        F.col("_record").alias("record"), F.to_json(F.struct(*[F.col(_quoted(c)) for c in names])).alias("read_as"))
+    """``record`` and ``read_as`` (JSON) for each line with fewer or more values than its file has columns."""
+    parts = []
+    for names, files in files_by_header(spark, path, **options) if header else [(list(columns), [path])]:
+        whole = _text_of(spark, files, [*names, "_record"], header, columnNameOfCorruptRecord="_record", columnPruning=False, **options)
+        # The columns go along: a reader that is asked for the record alone does not count values.
+        parts.append(whole.filter(F.col("_record").isNotNull()).select(
+            F.col("_record").alias("record"), F.to_json(F.struct(*[F.col(_quoted(c)) for c in names])).alias("read_as")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_formats: Mapping[str, str] | None = None,
-             header: bool = True, **options) -> DataFrame:
-    """Delimited file to a typed table. ``date_formats`` names the pattern of date columns."""
-    raw = read_text(spark, path, schema.names, header, **options)
+             header: bool = True, absent: str = "raise", **options) -> DataFrame:
+    """Delimited file, or folder of files, to a typed table. ``date_formats`` names the pattern of date columns."""
+    raw = read_text(spark, path, schema.names, header, absent, **options)
     return apply_types(raw, schema, date_formats)
 
 

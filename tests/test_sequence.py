@@ -224,3 +224,14 @@ def test_joins_of_rows_without_a_key(spark, kind):
     best = {r.sk: r.top for r in side.collect()}
     assert got == {r.id: None if r.k is None else best[r.k] for r in df.collect()}
     assert re.search(r"Exchange hashpartitioning\(k#\d+, _spread#", skew.join_known(df, side.hint("merge"), "k", "sk")._jdf.queryExecution().executedPlan().toString())
+
+
+def test_long_group_ends_are_limited_in_parts(spark):
+    """Beyond the number of rows up to which Spark limits groups itself, each part of a group is limited first."""
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 40_009).alias("o"), "id").repartition(4)
+    ends = seq.tail_n(df, "g", ["o"], 5_000)
+    text = ends._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window [") == 2 and re.search(r"hashpartitioning\(g#\d+L?, _part", text)
+    rows = df.collect()
+    want = {r.id for g in (0, 1) for r in sorted((r for r in rows if r.g == g), key=lambda r: r.o)[-5_000:]}
+    assert {r.id for r in ends.collect()} == want and ends.columns == df.columns

@@ -106,3 +106,19 @@ assert session_stages(spark).keep(spark.range(5)).count() == 5
 def entry_folder():
     from pathlib import Path
     return Path(__file__).resolve().parent.parent
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,x,born\na,1.5,7/4/1985\nb,2\n")
+    (tmp_path / "in" / "b.csv").write_text("born,extra,x,id\n7/5/1985,z,2.5,c\n1/1/1990,z,3,d,more\n")
+    (tmp_path / "in" / "c.csv").write_text("x,id\n9,e\n")
+    schema = T.StructType([SCHEMA["id"], SCHEMA["born"], SCHEMA["x"]])
+    path = str(tmp_path / "in")
+    rows = sorted(tuple(r) for r in delimited.read_csv(spark, path, schema, FORMATS, absent="null").collect())
+    assert rows == [("a", dt.date(1985, 7, 4), 1.5), ("b", None, 2.0), ("c", dt.date(1985, 7, 5), 2.5), ("d", dt.date(1990, 1, 1), 3.0), ("e", None, 9.0)]
+    assert sorted(r.record for r in delimited.record_problems(spark, path).collect()) == ["1/1/1990,z,3,d,more", "b,2"]
+    with pytest.raises(ValueError, match="born"):
+        delimited.read_csv(spark, path, schema, FORMATS)
+    with pytest.raises(ValueError, match="nowhere"):
+        delimited.read_text(spark, path, ["id", "nowhere"], absent="null")

@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import numpy as np
@@ -114,3 +115,21 @@ def test_tail_share_and_scatter(spark):
     df = xy(spark, [-.2, .05, .1, None], [1, 2, None, 3])
     assert stats.tail_share(df, "x", .1).first().tail_share == 2 / 3
     assert stats.scatter(df, "x", "y").count() == 2
+
+
+@pytest.mark.parametrize("steps", [4, 32])
+def test_densities_keep_the_error_that_they_state(spark, steps):
+    rnd = random.Random(3)
+    rows = [(k % 2, rnd.gauss(k % 2, 1 + k % 2)) for k in range(300)] + [(0, 1e8)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    widths = stats.bandwidth(df, "v", ["g"])
+    got = stats.kde(df, "v", ["g"], n=64, steps=steps, errors=True, grid=(-4.0, 5.0))
+    met = got.join(stats.kernel_sums(df, "v", got.select("g", "point", "x"), ["g"], widths), ["g", "point"]).collect()
+    assert len(met) == 128 and all(abs(r.density - r.exact) <= r.error for r in met) and any(abs(r.density - r.exact) > r.error / 50 for r in met)
+
+
+def test_densities_read_their_table_once(spark, tmp_path):
+    spark.createDataFrame([(k % 2, float(k % 17)) for k in range(100)], "g int, v double").write.parquet(str(tmp_path / "values"))
+    df = spark.read.parquet(str(tmp_path / "values"))
+    text = stats.kde(df, "v", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in text and "FileScan" in text     # all but the first pass reads the counts

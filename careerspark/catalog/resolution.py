@@ -91,7 +91,7 @@ def apply_aliases(spark, folder):
 # Names of two digits, which many customers share.
 SHORT = f"""short AS (SELECT 'C' || right(name, 2) AS name, id FROM lists),
 people AS (SELECT 'C' || right(c_name, 2) AS name, c_custkey AS id,
-  CASE WHEN c_custkey % 31 = 0 THEN 1 WHEN c_custkey % 37 = 0 THEN 2 END AS given, c_custkey % 41 = 0 AS known FROM customer),
+  CASE WHEN c_custkey % 3 = 0 AND c_custkey % 100 < 40 THEN 1 WHEN c_custkey % 7 = 0 AND c_custkey % 100 < 70 THEN 2 END AS given, c_custkey % 11 = 0 AS known FROM customer),
 fixed AS (SELECT name, CASE WHEN right(name, 1) = '0' THEN left(name, 2) || '1' ELSE name END AS canonical FROM short),
 g AS (SELECT name, id, step, min(step) OVER (PARTITION BY name) AS first FROM (SELECT name, id, given AS step FROM people WHERE given IS NOT NULL)),
 open1 AS (SELECT name, count(*) AS n_rows FROM short WHERE id IS NULL GROUP BY name),
@@ -114,8 +114,9 @@ def _short_names(spark, folder):
     lists = yearly_lists(spark, folder).select(short("name").alias("name"), "id")
     people = table(spark, folder, "customer").select(short("c_name").alias("c_name"), "c_custkey")
     key = F.col("c_custkey")
-    steps = [Step(people, "c_name", "c_custkey", key % 31 == 0), Step(people, "c_name", "c_custkey", (key % 37 == 0) & (key % 31 != 0)),
-             Step(people, "c_name", "c_custkey", key % 41 == 0, aliased=True)]
+    first, second = (key % 3 == 0) & (key % 100 < 40), (key % 7 == 0) & (key % 100 < 70)
+    steps = [Step(people, "c_name", "c_custkey", first), Step(people, "c_name", "c_custkey", second & ~first),
+             Step(people, "c_name", "c_custkey", key % 11 == 0, aliased=True)]
     aliases = {f"C{d}0": f"C{d}1" for d in range(10)}
     return lists, steps, aliases
 

@@ -12,7 +12,9 @@ directory above that has one.
 
 Results of odd rows: a null or empty text has no unit; a null path has no directory and inherits nothing; equal cosines
 go to the template, then the path, first in order; of several SPDX tags the first counts, expressions and ids that are
-not listed stay as written; repeated rows are judged one by one.
+not listed stay as written; repeated rows are judged one by one. A text of any length is read whole; a very long licence
+file is one unit, taken apart into words by Spark in one task. Columns other than the path, the text, the flag and ``keep`` are not
+read; ``keep`` must not name a result column.
 """
 
 from __future__ import annotations
@@ -93,6 +95,7 @@ some standard or customary means of facilitating copying of software.
 """
 SPEAKS = r"(?i)licen[cs]|permission|redistribut|copyright"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+\-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[a-z0-9.+()\-]+)*)"
+RESULTS = ("path", "licence", "origin", "cosine", "from_directory")
 WHOLE, PARAGRAPHS, LINES, LINE = 1, 2, 3, 4     # kinds of units, the one that decides first
 
 
@@ -120,8 +123,8 @@ def matches(units: DataFrame, least: float) -> DataFrame:
     own = units.select("unit", F.explode(F.split("text", " ")).alias("word")).groupBy("unit", "word").agg(F.count("*").alias("tf"))
     theirs = known.select("template", "licence", F.explode(words("text")).alias("word")).groupBy("template", "licence", "word").agg(F.count("*").alias("tf"))
     held = own.select("word").unionAll(theirs.select("word")).groupBy("word").agg(F.count("*").alias("df"))
-    total = units.count() + len(listed)
-    weighed = held.select("word", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    total = units.agg(F.count(F.lit(1))).scalar() + F.lit(len(listed))
+    weighed = held.select("word", (F.log((F.lit(1.0) + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     a = own.join(weighed, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("x"))
     b = theirs.join(weighed, "word").select("template", "licence", "word", (F.col("tf") * F.col("idf")).alias("y"))
     a_norm = a.groupBy(F.col("unit").alias("_unit")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
@@ -178,11 +181,15 @@ def directories(path: str) -> Column:
 def scan(files: DataFrame, path: str, text: str, is_licence_file: Column, keep: list[str], least: float = 0.6) -> DataFrame:
     """Returns the columns ``keep``, path, licence, origin (``header``, ``directory`` or ``none``), cosine and the
     directory that an inherited licence comes from."""
+    clash = [c for c in keep if c in RESULTS]
+    if clash:
+        raise ValueError(f"keep names result columns: {', '.join(clash)}")
     base = files.select(*keep, F.col(path).alias("path"), F.coalesce(is_licence_file, F.lit(False)).alias("_file"),
                         F.coalesce(F.col(text), F.lit("")).alias("_text"))
     speaks = (F.col("_file") & (F.col("_text") != "")) | F.col("_text").rlike(SPEAKS)
     key = F.when(speaks, F.md5(F.concat(F.col("_file").cast("string"), F.col("_text"))))
     base = base.withColumn("_copy", key)
+    marks = saved(base.drop("_text"), "licence-marks")      # files are read for these, and once more for the texts that speak of licences
     # Copies are taken apart once: equal files are one row here.
     copies = base.filter("_copy is not null").groupBy("_copy").agg(F.first("_file").alias("_file"), F.first("_text").alias("_text"))
     held = copies.select("_copy", tagged("_text").alias("_tag"), without_signs("_text").alias("_text"), "_file")
@@ -194,13 +201,15 @@ def scan(files: DataFrame, path: str, text: str, is_licence_file: Column, keep:
     best = F.struct("kind", -F.col("cosine"), "licence")
     of_copy = (by_unit.unionByName(by_tag).groupBy(F.col("_copy").alias("_of"))
                .agg(F.min_by(F.struct("licence", "cosine"), best).alias("m")).select("_of", "m.licence", "m.cosine"))
-    matched = base.drop("_text").join(of_copy, F.col("_copy") == F.col("_of"), "left").drop("_copy", "_of")
+    silent = marks.filter("_copy is null").drop("_copy").withColumns({c: F.lit(None).cast(t) for c, t in of_copy.dtypes if c != "_of"})
+    matched = (marks.filter("_copy is not null").join(of_copy, F.col("_copy") == F.col("_of"), "left").drop("_copy", "_of")
+               .unionByName(silent))
     nearest = (matched.filter(F.col("_file") & F.col("licence").isNotNull() & F.col("path").isNotNull())
                .select(F.element_at(directories("path"), 1)["directory"].alias("_directory"), "licence", "cosine", "path")
                .filter("_directory is not null").groupBy("_directory")
                .agg(F.min_by("licence", F.struct(-F.col("cosine"), "licence", "path")).alias("_inherited")))
     # Distinct directories of files, with the nearest one above that has a licence.
-    places = base.select(F.regexp_replace("path", "/[^/]*$", "/").alias("_place")).filter("_place like '%/'").distinct()
+    places = marks.select(F.regexp_replace("path", "/[^/]*$", "/").alias("_place")).filter("_place like '%/'").distinct()
     above = places.select("_place", F.explode(directories("_place")).alias("d")).select("_place", "d.directory", "d.depth")
     given = (above.join(nearest, F.col("directory") == F.col("_directory")).groupBy("_place")
              .agg(F.max_by(F.struct("directory", "_inherited"), "depth").alias("g")))

@@ -11,13 +11,17 @@ texts, columns shingles.
 3. A cluster is cut into blocks of bounded size. A task multiplies the rows of one or two blocks, adding up overlap
    counts column by column, drops pairs below the bound that both sizes give, and keeps a spanning forest of the rest,
    so links cost rows in proportion to the texts however large a group of near copies is.
-4. Large clusters take two passes. First each block meets itself and the first block of its own and the next size
-   class; then only classes outside the largest component of their cluster meet all the others. Pairs within a
-   component need no further product, so nothing is lost.
+4. Clusters of several blocks take two passes. First each block meets itself and the first block of its own and the next size
+   class, which connects what is one large group of near copies. Then candidates are told by each prefix shingle on its own:
+   only the sets that hold a shingle whose holders are not all connected yet meet, in blocks if these are many. Pairs
+   within a component need no further product, so nothing is lost, and a chain of sets that meet only over others
+   costs in proportion to its length. What grows with a square is a shingle that stands in the prefixes of very many
+   unlinked sets, in bounded tasks.
 
 Results of odd rows: texts without words (null texts too) have an empty set and link with nothing; fewer words than a
 shingle make one shingle of the whole; repeated rows link like other copies; a null id stays null unless the text links
-with one that has an id.
+with one that has an id. A text of any length is one row of the matrix; a very long one is hashed by itself, at some 60 bytes of memory
+a byte. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -260,22 +264,30 @@ def class_links(classes: DataFrame, threshold: Fraction) -> DataFrame:
     found = saved(found.union(_multiply(first_pass, threshold)), "links")
 
     roots = components(found).select(F.col("node").alias("_node"), "root")
-    rooted = large.join(roots, F.col("set_hash") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "set_hash"))
-    members = rooted.groupBy("cluster", "root").agg(F.count("*").alias("_n"))
-    dominant = members.groupBy("cluster").agg(F.max_by("root", F.struct("_n", "root")).alias("_dominant"))
-    others = _blocks(rooted.join(dominant, "cluster").filter("root <> _dominant").drop("blocks", "block"))
-    others = saved(others.select("cluster", "set_hash", "n_shingles", "shared", "class", "blocks", "block"), "other-classes")
-    places = others.select("cluster", F.col("class").alias("_class"), "block").distinct()
-    right = large.withColumnRenamed("block", "_own")
-    # every block of the others with every block of all, in the same or a neighbouring class
-    meets = shape.join(places.withColumnRenamed("block", "_other"), "cluster").filter("abs(class - _class) <= 1")
-    pairs = meets.withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = saved(pairs.withColumn("task", _task(F.col("class"), F.col("_own"), F.col("_class"), F.col("_other"))), "block-pairs")
-    all_side = right.join(pairs.select("cluster", "class", "_own", "task"), ["cluster", "class", "_own"])
-    other_side = others.join(pairs.select("cluster", F.col("_class").alias("class"), F.col("_other").alias("block"), "task"),
-                             ["cluster", "class", "block"])
-    columns = ["task", F.col("task").alias("bin"), "set_hash", "n_shingles", "shared"]
-    return found.union(_multiply(all_side.select(*columns).union(other_side.select(*columns)), threshold))
+    rooted = large.join(roots, F.col("set_hash") == F.col("_node"), "left").select(
+        "set_hash", "n_shingles", "shared", F.coalesce("root", "set_hash").alias("root"))
+    return found.union(_by_key(rooted, prefixes, threshold))
+
+
+def _by_key(rooted: DataFrame, prefixes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links between sets that share a prefix shingle but are not connected yet. ``rooted`` has set_hash, n_shingles, shared and
+    root."""
+    holders = saved(prefixes.join(rooted.select(F.col("set_hash").alias("_set"), "root", F.size("shared").alias("_size")),
+                                  F.col("set_hash") == F.col("_set")).select("key", "set_hash", "root", "_size"), "holders")
+    load = (holders.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.ceil(F.greatest(
+        F.count("*") / BLOCK_ROWS, F.sum("_size") / BLOCK_KEYS)).cast("int").alias("blocks")).filter("_a <> _b")
+        .select(F.col("key").alias("_key"), "blocks"))
+    own = F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # A block meets itself and every other one once: the task of two blocks is named by the key and both.
+    tasks = F.transform(others, lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
+    met = saved(holders.join(load, F.col("key") == F.col("_key")).select("set_hash", "_size", F.explode(tasks).alias("task")).distinct(), "holders-met")
+    total = met.agg(F.count("*"), F.sum("_size")).first()
+    bins = 1 + int(max((total[0] or 0) / BLOCK_ROWS, (total[1] or 0) / BLOCK_KEYS))
+    sets = rooted.select(F.col("set_hash").alias("_set"), "n_shingles", "shared")
+    rows = met.join(sets, F.col("set_hash") == F.col("_set")).select(
+        "task", F.pmod("task", F.lit(bins)).alias("bin"), "set_hash", "n_shingles", "shared")
+    return _multiply(rows, threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
@@ -30,20 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType
 
 from .bpe import byte_signs
-from .common import slices, text_bytes
+from .common import WHITE, ranges_of, slices, text_bytes
 
 REMEMBERED = 400_000        # words and pairs of tokens of each kind kept in a worker
 LONG_WORD = 64              # longer words are not remembered
 CHANGE = 1 << 22            # changes that are summed at once
-#: Fixed values of the format: the signs that are white space, as ranges of code points.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def ranges_of(kind: str) -> str:
-    """The code points of a general category, such as L, as ranges of a character class."""
-    inside = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000)
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
 def read_vocabulary(path: str) -> dict:
@@ -72,12 +62,13 @@ class Counter:
             self.parts.setdefault(pair[0] + pair[1], pair)
         if len(self.parts) < len(vocabulary["merges"]):
             raise ValueError("two merges make the same token")
+        if len(self.tokens & {bytes([b]) for b in range(256)}) < 256:
+            raise ValueError("the vocabulary lacks a byte")
         self.longest: dict[bytes, int] = {}         # of the tokens that end with two bytes
         for t in self.tokens:
             self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 0))
         self.edges: tuple[dict, dict] = {}, {}      # see ``edge``
-        self.agreed: dict[bytes, dict[bytes, bool]] = {}
-        self.n_agreed = 0
+        self.agreed: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.words = Words(self)
         white, letters, numbers = WHITE, vocabulary["letters"], vocabulary["numbers"]
@@ -132,32 +123,26 @@ class Counter:
         """Tokens of each prefix of a piece that no word border cuts, the empty one first."""
         tokens, longest, agreed = self.tokens, self.longest, self.agreed
         n = [0] * (len(piece) + 1)
-        last = [b""] * (len(piece) + 1)
-        for i in range(1, len(piece) + 1):
-            size = min(i, longest.get(piece[max(0, i - 2):i], 1))
-            while size:
-                t = piece[i - size:i]
-                if t in tokens:
-                    before = last[i - size]
-                    if size == i:
-                        fits = self.alone(t)
-                    else:
-                        row = agreed.get(before)
-                        if row is None:
-                            row = agreed[before] = {}
-                        fits = row.get(t)
-                        if fits is None:
-                            fits = row[t] = self.apart(before, t)
-                            self.n_agreed += 1
-                    if fits:
-                        n[i], last[i] = n[i - size] + 1, t
-                        break
-                size -= 1
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        if self.n_agreed > REMEMBERED:
+        last = [piece[:1]] * (len(piece) + 1)
+        if piece:
+            n[1] = 1                            # a byte alone is a token
+        for i in range(2, len(piece) + 1):
+            first = max(0, i - longest.get(piece[i - 2:i], 1))
+            for start in range(first, i):
+                t = piece[start:i]
+                if t not in tokens:
+                    continue
+                if start:
+                    fits = agreed.get((last[start], t))
+                    if fits is None:
+                        fits = agreed[last[start], t] = self.apart(last[start], t)
+                else:
+                    fits = self.alone(t)
+                if fits:
+                    n[i], last[i] = n[start] + 1, t
+                    break
+        if len(agreed) > REMEMBERED:
             agreed.clear()
-            self.n_agreed = 0
         return n
 
     def changes(self, word: str) -> bytes:
@@ -226,16 +211,17 @@ class Counter:
 
 
 class Words(dict):
-    """Changes of words, found when first asked for."""
+    """Changes of words, found when first asked for. Of full memories the last one is kept too, so frequent words stay."""
 
     def __init__(self, counter: Counter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.older = counter, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.counter.changes(word)
+        out = self.older.get(word) or self.counter.changes(word)
         if len(word) <= LONG_WORD:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out

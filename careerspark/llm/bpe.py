@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,17 +28,37 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import WHITE, code_ranges, ranges_of, slices, text_bytes
 
 END = "￿"              # stands for the end of a word inside the automaton
 REMEMBERED_ARCS = 1_500_000
 REMEMBERED_WORDS = 250_000
 LONG_WORD = 64              # longer words are not remembered
 #: Fixed values of the vocabulary file's format: how a text is split into words.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACES = regex.compile(r"\s+")
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+#: Small letters of capitals that Unicode 16 and 17 have over the tables of the Python used here.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+         **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+SPACES = re.compile(f"[{WHITE}]+")
+
+
+def word_patterns() -> tuple[re.Pattern, regex.Pattern, re.Pattern]:
+    """Endings, runs of letters, single numbers, runs of other signs: a pattern with the classes of Unicode 16, a faster one
+    with those of the ``regex`` module, and the signs on which the two, or small letters, differ."""
+    letters, numbers = ranges_of("L"), ranges_of("N")
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    differ = set(LOWER)
+    for kind, own in (("L", letters), ("N", numbers)):
+        differ |= set(map(ord, regex.findall(rf"\p{{{kind}}}", every))) ^ set(map(ord, re.findall(f"[{own}]", every)))
+    return (re.compile(f"{ENDINGS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+"),
+            regex.compile(rf"{ENDINGS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"),
+            re.compile(f"[{code_ranges(differ)}]") if differ else re.compile("(?!)"))
+
+
+WORD, FAST_WORD, DIFFERENT = word_patterns()
+PLAIN_WORD = re.compile(f"{ENDINGS}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")      # the same for texts of ASCII alone
 def byte_signs() -> dict[int, str]:
     """The printable sign that stands for each byte: itself where printable, else the next from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,15 +156,23 @@ class Words(dict):
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton, self.signs = automaton, byte_signs()
+        self.automaton, self.signs, self.older = automaton, byte_signs(), {}
         self.bytes = {i: i.to_bytes(4, "little") for i in automaton.label}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
+        known = self.older.get(word)
+        if known:
+            return self.kept(word, known)
         plain = word.isascii() and word.isalnum()
         path = self.automaton.path(word if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))
         out = b"".join(map(self.bytes.__getitem__, path)), " ".join(map(self.automaton.label.__getitem__, path))
+        return self.kept(word, out)
+
+    def kept(self, word: str, out: tuple[bytes, str]) -> tuple[bytes, str]:
+        """Of full memories the last one is kept too, so frequent words stay."""
         if len(word) <= LONG_WORD:
             if len(self) >= REMEMBERED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -154,7 +183,8 @@ def split_words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         text = SPACES.sub(" ", text).replace("Σ", "σ")     # letters are lower-cased one by one
-    return WORD.findall(text.lower())
+        return WORD.findall(text.translate(LOWER).lower()) if DIFFERENT.search(text) else FAST_WORD.findall(text.lower())
+    return PLAIN_WORD.findall(text.lower())
 
 
 class Encoder:
@@ -162,7 +192,7 @@ class Encoder:
         special = vocabulary["special"]
         self.special = {t: (np.array([i], "<u4").tobytes(), t) for t, i in special.items()}
         self.words = Words(Automaton(vocabulary))
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids of a text, 4 bytes each, and the text that they decode to."""
@@ -205,7 +235,9 @@ def _mapped(docs: DataFrame, path: str, keep: list[str] | None, text: str, colum
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shipped.value)
+        if "encoder" not in shipped.value:      # a worker keeps the broadcast from task to task, and the words it has encoded
+            shipped.value["encoder"] = Encoder(shipped.value)
+        encoder = shipped.value["encoder"]
         for batch in batches:
             last = batch.num_columns - 1
             _, offsets = text_bytes(batch.column(last))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,35 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+# ---- classes of signs -------------------------------------------------------
+
+#: Fixed values of the format: the signs that are white space, as ranges of code points.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+#: Letters and numbers that Unicode 16 has over Unicode 15.1, the tables of the Python used here.
+LATER = {
+    "L": ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+          (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+          (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+
+
+def ranges_of(kind: str) -> str:
+    """The code points of letters (L) or numbers (N) in Unicode 16, as ranges of a character class."""
+    later = [c for first, last in LATER[kind] for c in range(first, last + 1)]
+    return code_ranges([*(c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind), *later])
+
+
+def code_ranges(codes: Iterable[int]) -> str:
+    """Code points as ranges of a character class."""
+    inside = np.zeros(0x110000, np.int8)
+    inside[list(codes)] = 1
+    edges = np.flatnonzero(np.diff(inside, prepend=0, append=0))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 # ---- strings of an Arrow column --------------------------------------------
 
 

@@ -306,3 +306,92 @@ def test_quality_of_looped_texts(spark):
     rows = [(k, loops[k // 8 % 3]() if k % 8 == 0 else prose(rnd.randint(6, 40)), "en") for k in range(480)]
     wrong = [(r.doc_id, r.score, r.weak_posterior) for r in quality.classify(docs_of(spark, rows)).collect() if r.quality != (0 if r.doc_id % 8 == 0 else 1)]
     assert wrong == []
+
+
+def test_url_lists_of_addresses_and_final_dots(spark):
+    day = datetime.date
+    entries = spark.createDataFrame([("[2001:db8::1]", day(2024, 1, 1), "block"), ("Ex.com.", day(2024, 1, 1), "block"), (" ex.com ", day(2024, 2, 1), "allow"), ("", day(2024, 1, 1), "block")],
+                                    "name string, dated date, action string")
+    rows = [(1, "http://[2001:db8::1]:80/x"), (2, "http://[2001:db8::2]/x"), (3, "https://a@www.EX.com.:8080/"), (4, "ftp://ex.com?x"), (5, "http://[2001:db8::1"), (6, "http://:80/")]
+    captures = spark.createDataFrame([(i, u, d) for i, u in rows for d in (day(2024, 1, 15), day(2024, 3, 1))], "id int, url string, at date")
+    out = {(r.id, r["at"].month): (r.host, r.matched_name, r.action) for r in url_lists.judge(captures, entries, "url", "at", ["id", "at"]).collect()}
+    assert out[1, 1] == ("[2001:db8::1]", "[2001:db8::1]", "block") and out[2, 1] == ("[2001:db8::2]", None, "none")
+    assert out[3, 1] == ("www.ex.com", "ex.com", "block") and out[3, 3] == ("www.ex.com", "ex.com", "allow") and out[4, 3][2] == "allow"
+    assert out[5, 1][2] == out[6, 1][2] == "none"
+    with pytest.raises(ValueError, match="host"):
+        url_lists.judge(captures, entries, "url", "at", ["id", "host"])
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_url_lists_as_of_against_a_plain_search(spark, kind, monkeypatch):
+    """A third of all captures on one host, entries and captures on and between the same times."""
+    rnd = random.Random(6)
+    begin = datetime.datetime(2024, 1, 1)
+
+    def time():
+        t = begin + datetime.timedelta(days=rnd.randint(0, 40), hours=rnd.choice([0, 6, 18]))
+        return t.date() if kind == "date" else t
+
+    hosts = ["www.hot.example.com"] * 5 + [f"h{k}.{d}" for k in range(5) for d in ("example.com", "a.b.co.uk")]
+    captures = [(k, f"https://{rnd.choice(hosts)}/p{k}", time()) for k in range(400)]
+    entries = [(rnd.choice(["com", "example.com", "hot.example.com", "www.hot.example.com", "b.co.uk", "nowhere.org"]), time(), rnd.choice(["block", "allow", "review", "other"])) for _ in range(60)]
+    out = url_lists.judge(spark.createDataFrame(captures, f"id int, url string, at {kind}"), spark.createDataFrame(entries, f"name string, dated {kind}, action string"), "url", "at", ["id"])
+    order = {"block": 0, "review": 1, "allow": 2, "other": 3}
+    want = {}
+    for i, url, t in captures:
+        host = url.split("/")[2]
+        for name in [host[j:] for j in range(len(host)) if j == 0 or host[j - 1] == "."]:
+            valid = [(d, -order[a], a) for n, d, a in entries if n == name and d <= t]
+            if valid:
+                want[i] = (name, max(valid)[2], max(valid)[0])
+                break
+    assert {r.id: (r.matched_name, r.action, r.since) for r in out.collect()} == {i: want.get(i, (None, "none", None)) for i, _, _ in captures}
+
+
+@pytest.mark.parametrize("block_rows", [1024, 4])
+def test_near_duplicates_of_a_chain(spark, monkeypatch, block_rows):
+    """Sets that meet only over others, and unlinked sets that share their rare shingles."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    pool = [f"w{k}" for k in range(2000)]
+    rows = [(k, " ".join(pool[3 * k:3 * k + 30]), "en") for k in range(80)] + [(200 + k, " ".join(pool[3 * k:3 * k + 30] + ["end"]), "en") for k in range(0, 80, 7)]
+    rows += [(400 + k, " ".join(pool[1000:1012] + pool[1100 + 9 * k:1109 + 9 * k] + pool[1100 + 9 * (k // 2):1109 + 9 * (k // 2)]), "en") for k in range(40)]
+    found = jaccard.near_duplicates(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows)
+
+
+def test_bpe_of_every_sign():
+    """Letters, numbers, white space and capitals are those of the tokenizers library, whatever tables Python has."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    known, own = tokenizers.Tokenizer.from_file(path), bpe.Encoder(bpe.read_vocabulary(path))
+    for first in range(0, 0x30000, 32):
+        text = " ".join(f"a1 {chr(c)}b {chr(c)}!" for c in range(first, first + 32) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(own.encode(text)[0], "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, hex(first)
+
+
+def test_counts_over_several_splits(spark, rows, monkeypatch):
+    """Ranges that are split again and again give the same sums, and entries grow with the corpus alone."""
+    from careerspark.llm import counting
+    from careerspark.llm.common import saved
+
+    def found(docs):
+        return (Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()),
+                sorted((r.doc_id or 0, round(r.score, 9), r.n_known, r.train_tokens) for r in lm_score.score_texts(docs, learn=F.coalesce(F.col("doc_id"), F.lit(1)) % 3 != 0).collect()))
+
+    docs = docs_of(spark, rows)
+    plain = found(docs)
+    written = []
+    monkeypatch.setattr(counting, "saved", lambda df, name: written.append((name, saved(df, name))) or written[-1][1])
+    for name, value in (("BATCH_WORDS", 300), ("PART_KEYS", 40), ("FAN", 4), ("GROUP", 3)):
+        monkeypatch.setattr(counting, name, value)
+    assert found(docs) == plain
+    assert len([n for n, _ in written if n == "jaccard-counts-asked"]) >= 2
+    per_batch = []
+    for times in (1, 4):
+        written.clear()
+        many = docs_of(spark, [(1000 * t + (i or 0), " ".join(w + str(t) for w in text.split()) if text else text, lang) for t in range(times) for i, text, lang in rows])
+        jaccard.near_duplicates(many)
+        batches = next(df for n, df in written if n == "jaccard-batches").count()
+        first = next(df for n, df in written if n == "jaccard-counts-asked").count()
+        per_batch.append(first / batches)
+    assert max(per_batch) <= 4

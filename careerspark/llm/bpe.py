@@ -7,8 +7,12 @@ A gadget copies a row and a column of the transition table, so copies are kept a
 (``Automaton``): the table of 49,000 tokens would have 2.4 billion entries, the references are as many as merges. An
 entry is looked up by following references, and remembered.
 
-A word has one path through the automaton that spells it. It is found by trying arcs with long labels first; a position
-that turns out to lead nowhere is never tried again. Decoding emits the labels of the arcs.
+Of all paths through this automaton one spells a word, but which arc to take shows only some signs later. It is therefore
+made deterministic over signs (``Transitions``): a state of the table holds the token that ends at this sign and every
+label begun before it that may still go on, with the token it would follow. Words are read along the table from left to
+right, one entry a sign, without stepping back; each state names the token that ends there, and the arcs' labels are
+emitted from the end of the word. States and entries are made when first asked for, by the arcs of the automaton, and kept
+up to ``MOST_STATES``; then the table is begun anew. Decoding emits the labels of the arcs.
 
 Results of odd rows: a null or empty text has no tokens and decodes to an empty text; repeated rows are encoded one by
 one; a text of any length is encoded whole.
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, code_ranges, ranges_of, slices, text_bytes
 
-END = "￿"              # stands for the end of a word inside the automaton
-REMEMBERED_ARCS = 1_500_000
+ENDED = 0x200              # added to the code of a word's last sign
+START = (1 << 20) - 1      # the state before the first token; tokens have smaller numbers
+REMEMBERED_ARCS = 500_000
+MOST_STATES = 150_000
 REMEMBERED_WORDS = 250_000
 LONG_WORD = 64              # longer words are not remembered
 #: Fixed values of the vocabulary file's format: how a text is split into words.
@@ -59,6 +65,8 @@ def word_patterns() -> tuple[re.Pattern, regex.Pattern, re.Pattern]:
 
 WORD, FAST_WORD, DIFFERENT = word_patterns()
 PLAIN_WORD = re.compile(f"{ENDINGS}|[a-z]+|[0-9]|[^\\t-\\r a-z0-9]+")      # the same for texts of ASCII alone
+
+
 def byte_signs() -> dict[int, str]:
     """The printable sign that stands for each byte: itself where printable, else the next from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -77,14 +85,8 @@ def read_vocabulary(path: str) -> dict:
 
 class Automaton:
     def __init__(self, vocabulary: dict):
-        ids, suffix = vocabulary["ids"], vocabulary["suffix"]
+        ids = vocabulary["ids"]
         self.label = {i: t for t, i in ids.items()}
-        inner = {i: t[:-len(suffix)] + END if t.endswith(suffix) else t for t, i in ids.items()}
-        self.spelled = {t: i for i, t in inner.items()}
-        self.size = {i: len(t) for i, t in inner.items()}
-        self.longest: dict[str, int] = {}               # label length by the two signs it starts with
-        for t in self.spelled:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 0))
         self.born = dict.fromkeys(ids.values(), 0)      # the merge that made a token, from 1; 0 for single signs
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -121,51 +123,94 @@ class Automaton:
             else:                               # the state came with its token, a copy of the right part's
                 time, state = a, self.right[state]
 
+
+def sign_codes(word: str) -> list[int]:
+    """Codes of a word's byte signs, the last one marked."""
+    codes = list(map(ord, word))
+    codes[-1] += ENDED
+    return codes
+
+
+class Transitions:
+    """The automaton, deterministic over signs: a table (state, sign) -> state, filled when an entry is first asked for."""
+
+    def __init__(self, vocabulary: dict):
+        self.automaton, suffix = Automaton(vocabulary), vocabulary["suffix"]
+        self.size: dict[int, int] = {}              # signs of each token
+        self.begun: dict[int, int] = {}             # the label begun by another and one more sign
+        self.whole = [-1]                           # the token that a begun label is
+        self.goes_on = [True]                       # whether longer labels begin with it
+        for label, token in vocabulary["ids"].items():
+            codes = sign_codes(label[:-len(suffix)]) if label.endswith(suffix) and label != suffix else list(map(ord, label))
+            self.size[token], node = len(codes), 0
+            for code in codes:
+                self.goes_on[node] = True
+                node = self.begun.setdefault(node << 10 | code, len(self.whole))
+                if node == len(self.whole):
+                    self.whole.append(-1)
+                    self.goes_on.append(False)
+            self.whole[node] = token
+        self.restart()
+
+    def restart(self) -> None:
+        self.number = {(START,): 0}                 # of each state, by its begun labels and the tokens they follow
+        self.parts = [(START,)]
+        self.rows: list[dict[int, int]] = [{}]
+
+    def entry(self, state: int, code: int) -> int:
+        """The state that a sign leads to."""
+        token, parts = -1, []
+        for part in self.parts[state]:
+            node, follows = self.begun.get(part >> 20 << 10 | code), part & START
+            if node is not None:
+                whole = self.whole[node]
+                if whole >= 0 and token < 0 and (follows == START or self.automaton.arc(follows, whole)):
+                    token = whole
+                if self.goes_on[node]:
+                    parts.append(node << 20 | follows)
+        if token < 0:
+            raise ValueError(f"no token ends with the sign {chr(code % ENDED)!r}")
+        key = (*parts, token)                       # the last part begins nothing yet and follows the token that ends here
+        row, to = self.rows[state], self.number.get(key)
+        if to is None:
+            if len(self.parts) >= MOST_STATES:      # within a long word too
+                self.restart()
+            to = self.number[key] = len(self.parts)
+            self.parts.append(key)
+            self.rows.append({})
+        row[code] = to
+        return to
+
     def path(self, word: str) -> list[int]:
         """Tokens of a word, given as byte signs."""
-        text, spelled, arcs, longest = word + END, self.spelled, self.arcs, self.longest
-        n = len(text)
-        out: list[int] = []
-        dead: set[int] = set()
-        i, length = 0, longest.get(text[:2], 1)
-        while i < n:
-            length = min(length, n - i)
-            while length:
-                token = spelled.get(text[i:i + length])
-                if token is not None and i + length not in dead:
-                    if not out:
-                        break
-                    known = arcs.get(out[-1] << 20 | token)
-                    if known or known is None and self.arc(out[-1], token):
-                        break
-                length -= 1
-            if length:
-                out.append(token)
-                i += length
-                length = longest.get(text[i:i + 2], 1)
-            else:
-                dead.add(i)
-                length = self.size[out.pop()]
-                i -= length
-                length -= 1
-        return out
+        state, ending = 0, []
+        for code in sign_codes(word):
+            to = self.rows[state].get(code)
+            state = self.entry(state, code) if to is None else to
+            ending.append(self.parts[state][-1])
+        out, i = [], len(ending)
+        while i:
+            out.append(ending[i - 1])
+            i -= self.size[out[-1]]
+        return out[::-1]
 
 
 class Words(dict):
     """Ids (4 bytes each) and labels of words, found when first asked for."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, transitions: Transitions):
         super().__init__()
-        self.automaton, self.signs, self.older = automaton, byte_signs(), {}
-        self.bytes = {i: i.to_bytes(4, "little") for i in automaton.label}
+        self.transitions, self.signs, self.older = transitions, byte_signs(), {}
+        self.labels = transitions.automaton.label
+        self.bytes = {i: i.to_bytes(4, "little") for i in self.labels}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         known = self.older.get(word)
         if known:
             return self.kept(word, known)
         plain = word.isascii() and word.isalnum()
-        path = self.automaton.path(word if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))
-        out = b"".join(map(self.bytes.__getitem__, path)), " ".join(map(self.automaton.label.__getitem__, path))
+        path = self.transitions.path(word if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))
+        out = b"".join(map(self.bytes.__getitem__, path)), " ".join(map(self.labels.__getitem__, path))
         return self.kept(word, out)
 
     def kept(self, word: str, out: tuple[bytes, str]) -> tuple[bytes, str]:
@@ -191,7 +236,7 @@ class Encoder:
     def __init__(self, vocabulary: dict):
         special = vocabulary["special"]
         self.special = {t: (np.array([i], "<u4").tobytes(), t) for t, i in special.items()}
-        self.words = Words(Automaton(vocabulary))
+        self.words = Words(Transitions(vocabulary))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -36,8 +36,8 @@ def _letters() -> np.ndarray:
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number and code of each n-gram occurrence, and the n-gram of each code (21 bits a letter, in code order)."""
     low = [t.lower() for t in texts]
-    points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    text = np.repeat(np.arange(len(low), dtype=np.int64), [len(t) + 1 for t in low])[:len(points)]
+    points = np.frombuffer("".join(t + "\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(low), dtype=np.int64), [len(t) + 1 for t in low])
     letter = _letters()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]                 # a blank after each word

@@ -50,6 +50,70 @@ def test_scores_match_a_plain_model(spark, rows):
     assert all(np.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def plain_scores(rows, tuned):
+    """The interpolated model from dictionaries: weights by bucket of context count, learnt on the texts of ``tuned``."""
+    def tokens(t):
+        seq = [*words(t), None]
+        return list(zip(["", *seq[:-1]], seq))          # the context of a first word is no word
+
+    def counts(texts):
+        single, double = Counter(), Counter()
+        for t in texts:
+            for v, w in tokens(t):
+                single[w] += 1
+                double[v, w] += 1
+        return single, double, sum(single.values())
+
+    def estimates(model, v, w):
+        single, double, n = model
+        seen = single[None if v == "" else v]
+        return (int(math.log2(seen)) + 1 if seen else 0), double[v, w] / max(seen, 1), single[w] / max(n, 1)
+
+    learn = [(i, t) for i, t, _ in rows if i is not None and i % 3]
+    first, whole = counts(t for i, t in learn if i not in tuned), counts(t for _, t in learn)
+    cells = defaultdict(list)       # by bucket and quarter steps of log2, as the estimates are gathered
+    for i, t in learn:
+        for v, w in tokens(t) if i in tuned else ():
+            b, p2, p1 = estimates(first, v, w)
+            cells[b, *(math.floor(-4 * math.log2(p)) if p else None for p in (p2, p1))].append((p2, p1))
+    kinds = [(b, len(ps), sum(p[0] for p in ps) / len(ps), sum(p[1] for p in ps) / len(ps)) for (b, _, _), ps in cells.items()]
+
+    def fit(part):
+        a = [0.1, 0.4, 0.5]
+        for _ in range(60):
+            new = [0.0] * 3
+            for _, n, p2, p1 in part:
+                shares = [x * y for x, y in zip(a, (1 / (len(first[0]) + 1), p1, p2))]
+                new = [x + n * y / sum(shares) for x, y in zip(new, shares)]
+            new = [x / sum(new) for x in new]
+            new[0] = max(new[0], 1e-6)
+            a = [x / sum(new) for x in new]
+        return a
+
+    general = fit([k for k in kinds if k[0]])
+    weights = {b: fit([k for k in kinds if k[0] == b]) for b in {k[0] for k in kinds}}
+    a0, a1, _ = weights.get(0, general)
+    weights[0] = [a0 / (a0 + a1), a1 / (a0 + a1), 0.0]
+    for _, t, _ in rows:
+        total = 0.0
+        for v, w in tokens(t):
+            b, p2, p1 = estimates(whole, v, w)
+            total += math.log10(sum(x * y for x, y in zip(weights.get(b, general), (1 / (len(whole[0]) + 1), p1, p2))))
+        yield total
+
+
+def test_interpolated_scores_match_a_plain_model(spark, rows):
+    long = [(700, "the river " * 30_000 + "new", "en")]
+    docs = docs_of(spark, rows + long)
+    tuned = {r.doc_id for r in docs.filter("pmod(xxhash64(doc_id), 8) = 0 and doc_id % 3 != 0").collect()}
+    assert tuned
+    out = lm_score.score_texts(docs, learn=F.col("doc_id") % 3 != 0).collect()
+    want = sorted((-1 if i is None else i, s) for (i, _, _), s in zip(rows + long, plain_scores(rows + long, tuned)))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in out)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-6)
+
+
 def test_weights_by_expectation_maximisation():
     bucket = np.array([1, 1, 1, 0])
     w = lm_score.learnt_weights(bucket, np.array([8.0, 1.0, 1.0, 5.0]), np.array([0.5, 0.0, 0.0, 0.0]), np.array([0.01, 0.2, 0.0, 0.1]), 99)

@@ -249,6 +249,42 @@ def test_automaton_is_the_tokenizer(spark):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.decoded == known.decode(ids, skip_special_tokens=False)
 
 
+def one_by_one(counts, sizes):
+    """Best fit with every piece and bin for itself: rooms left and sizes of the bins."""
+    left, bins = dict(counts), []
+    for length in sorted(counts, reverse=True):
+        smaller = sorted(k for k in counts if k < length)
+        while left[length]:
+            fits = [b for b in bins if b[0] >= length]
+            if not fits:
+                size = packing.opening_size(length, left, smaller, sizes)
+                fits = [[size, size]]
+                bins += fits
+            min(fits)[0] -= length
+            left[length] -= 1
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_against_single_pieces(seed):
+    rnd, sizes = random.Random(seed), (16, 32, 64)
+    counts = {k: rnd.choice([1, 2, 3, 7, 40, 300]) for k in rnd.sample(range(1, 65), rnd.randint(1, 20))}
+    placed, used = packing.plan(counts, sizes), defaultdict(list)
+    for length, n in counts.items():        # every piece once
+        rows = placed[placed["length"] == length].sort_values("first")
+        assert list(rows["first"]) == [0, *rows["n"].cumsum()[:-1]] and rows["n"].sum() == n
+    for length, _, n, first, start, capacity in placed.itertuples(index=False):
+        for k in range(n):
+            used[first + k].append((start, start + length, capacity))
+    for spans in used.values():             # one after the other, in the smallest size that holds them
+        spans.sort()
+        assert [a for a, _, _ in spans] == [0, *[b for _, b, _ in spans[:-1]]]
+        assert {c for _, _, c in spans} == {min(s for s in sizes if s >= spans[-1][1])}
+    plain = one_by_one(counts, sizes)
+    cost = sum(min(s for s in sizes if s >= size - room) + packing.OVERHEAD for room, size in plain)
+    assert sum(spans[0][2] + packing.OVERHEAD for spans in used.values()) <= 1.02 * cost + max(sizes)
+
+
 @pytest.mark.parametrize("most", [3, 40, 10**6])
 def test_transitions(monkeypatch, most):
     """One table entry a sign, whether the table is kept or begun anew in the midst of words."""
